@@ -23,8 +23,8 @@ def adjacent_pairs(
 ) -> DataFrame:
     """Every pair of neighbours in ``order`` inside ``keys`` as (keys, prev struct, next struct).
 
-    ``levels`` are columns, coarse to fine, that follow the order: all rows of an earlier bucket
-    come before all rows of a later one. Pairs inside the finest bucket come from the rows; pairs
+    ``order`` sorts the rows of a key completely. ``levels`` are columns, coarse to fine, that follow
+    it: all rows of an earlier bucket come before all rows of a later one. Pairs inside the finest bucket come from the rows; pairs
     across buckets from one (first, last) summary per bucket, level by level.
     """
     item = F.struct(*[F.col(c) for c in [*order, *[p for p in payload if p not in order]]])
