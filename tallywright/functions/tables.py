@@ -65,19 +65,18 @@ def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFra
     adaptive execution may still change or split at run time.
     """
     size = planned_bytes(df if bound is None else bound)
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_BROADCAST_BYTES))
-    limit = int(text[:-1]) if text.lower().endswith("b") and text[:-1].isdigit() else _bytes(text)
+    limit = session_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", DEFAULT_BROADCAST_BYTES)
     if size is not None and 0 <= size <= limit:
         return F.broadcast(df)
     return df
 
 
-def _bytes(text: str) -> int:
-    units = {"k": 1024, "m": 1024**2, "g": 1024**3, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
-    text = text.strip().lower()
-    for unit in ("kb", "mb", "gb", "k", "m", "g"):
+def session_bytes(spark: SparkSession, key: str, default: int) -> int:
+    """A session setting in bytes, written plainly or with a unit."""
+    text = str(spark.conf.get(key, str(default))).strip().lower()
+    for unit, factor in (("kb", 1024), ("mb", 1024**2), ("gb", 1024**3), ("k", 1024), ("m", 1024**2), ("g", 1024**3), ("b", 1)):
         if text.endswith(unit):
-            return int(float(text[: -len(unit)]) * units[unit])
+            return int(float(text[: -len(unit)]) * factor)
     return int(text)
 
 

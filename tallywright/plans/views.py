@@ -165,3 +165,29 @@ SELECT *, risk_score >= investigate_threshold AS to_investigate FROM (SELECT *,
     sum=" + ".join(f"CASE WHEN {f} THEN coalesce(w_{f}, 0) ELSE 0 END" for f in _SINGLE),
     labels=", ".join("CASE WHEN {} THEN '{}' END".format(f, label.replace("'", "''")) for f, _, label in CRITERIA),
 ), "flags")
+
+
+# --- views whose SQL text is the same in both engines --------------------------------------------
+
+SHARED: dict[str, tuple[str, str]] = {}
+
+
+def define_shared(name: str, base: str, sql: str) -> None:
+    """A view over one table, written in the SQL that both engines read; ``{base}`` is the table."""
+    SHARED[name] = (base, sql)
+    define(name, sql.replace("{base}", base))
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    base, sql = SHARED[name]
+    return spark.sql(sql, base=table(spark, sf_dir, base))
+
+
+def italian_amount(cents: str) -> str:
+    """SQL text that writes whole cents as an amount with grouped thousands and a decimal comma."""
+    euros = f"CAST(floor({cents} / 100) AS BIGINT)"
+    return (
+        f"concat(CASE WHEN {euros} >= 1000 THEN concat(CAST(CAST(floor({euros} / 1000) AS BIGINT) AS STRING), '.', "
+        f"lpad(CAST({euros} % 1000 AS STRING), 3, '0')) ELSE CAST({euros} AS STRING) END, ',', "
+        f"lpad(CAST({cents} % 100 AS STRING), 2, '0'))"
+    )
