@@ -40,8 +40,14 @@ COMPOSED = [
 
 
 def _replace_pairs(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return F.aggregate(table, c, lambda acc, pair: F.replace(acc, pair["a"], pair["b"]))
+    """Replace each pair in turn; the pairs travel as one string literal to keep the plan small."""
+    width = len(pairs[0][0])
+    table = F.split(F.lit("\n".join(old + new for old, new in pairs)), "\n")
+    return F.aggregate(
+        table,
+        c,
+        lambda acc, pair: F.replace(acc, F.substring(pair, 1, width), F.substring(pair, width + 1, 99)),
+    )
 
 
 def fold_text(c: Column) -> Column:
