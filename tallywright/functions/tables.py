@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import date
 from decimal import Decimal
 
@@ -87,3 +88,15 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tallywright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result to the shared folder and read it back, so later steps start from the table.
+
+    Used where several steps share one costly result; it survives the loss of executors and cuts
+    the lineage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from tallywright.constants import (
     BANK_ALIASES, CATALOGUE, FOLDER_RULES, HINT_POINTS_NAME, HINT_POINTS_TEXT, ITEM_HINTS, MONTHS, NAME_RULES, UNKNOWN_BANK,
 )
 from tallywright.functions import text as T
+from tallywright.functions.tables import constant_table, stored
 from tallywright.operators import classification as D
 from tallywright.plans.views import define, define_shared, italian_amount, shared, table, with_views
 
@@ -247,8 +248,6 @@ define("extras", "SELECT * FROM (VALUES {}) AS t(engagement_id, item_order, hint
 
 
 def extras(spark: SparkSession) -> DataFrame:
-    from tallywright.functions.tables import constant_table
-
     return constant_table(spark, "engagement_id string, item_order int, hint_order int, item_id string, hint string", EXTRA_ROWS)
 
 
@@ -291,6 +290,11 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.manual_assignment(classified(spark, sf_dir), patches(spark, sf_dir), ["load_order"])
 
 
+def assigned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified and corrected documents without their text, stored once for the steps that follow."""
+    return stored(assigned(spark, sf_dir).drop("text"), "assigned")
+
+
 _add("D07_manual_assignment", lambda s, d: assigned(s, d).select(*_RESULT, "skip"), f"SELECT {_RESULT_SQL}, skip FROM assigned", "assigned")
 _add("D08_unclassified_documents", lambda s, d: D.unclassified_documents(assigned(s, d)).select("engagement_id", "load_order", "name"),
      "SELECT engagement_id, load_order, name FROM assigned WHERE item_id IS NULL", "assigned")
@@ -328,11 +332,7 @@ WHERE NOT EXISTS (SELECT 1 FROM assigned d WHERE NOT d.skip AND d.engagement_id
 _add("D09_evidence_found", lambda s, d: D.evidence_found(assigned(s, d), applicable(s, d)), "SELECT * FROM found_evidence", "found_evidence")
 
 
-def some_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assigned(spark, sf_dir)
-
-
-_add("D10_evidence_absent", lambda s, d: D.evidence_absent(some_assigned(s, d), applicable(s, d)), "SELECT * FROM absent_evidence", "absent_evidence")
+_add("D10_evidence_absent", lambda s, d: D.evidence_absent(assigned(s, d), applicable(s, d)), "SELECT * FROM absent_evidence", "absent_evidence")
 _add("D11_extract_fields", lambda s, d: D.extract_fields(assigned(s, d), ["engagement_id", "load_order"]), None)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywright.functions import parsing as P
@@ -361,7 +363,7 @@ _add("S16_trial_balance_scan", lambda s, d: D.trial_balance_scan(balance_sheet(s
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}_{spark.sparkContext.applicationId}_{spark.sql('SELECT uuid()').first()[0]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
