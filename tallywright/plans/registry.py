@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tallywright.plans import document_queries, entry_queries, ingest_queries, journal_queries, verification_queries
+from tallywright.plans import (
+    document_queries, entry_queries, ingest_queries, journal_queries, reconcile_queries, verification_queries,
+)
 
-MODULES = [journal_queries, entry_queries, ingest_queries, document_queries, verification_queries]
+MODULES = [
+    journal_queries, entry_queries, ingest_queries, document_queries, verification_queries, reconcile_queries,
+]
 
 
 def queries() -> dict:
