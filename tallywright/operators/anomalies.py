@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallywright.constants import FIRST_DIGIT_SHARES
-from tallywright.functions.ordered import adjacent_pairs, number_bucket
+from tallywright.functions.ordered import BUCKET_ROWS, adjacent_pairs, number_bucket
 from tallywright.operators import entries as E
 from tallywright.operators.entries import ENTRY_KEY, anomaly
 
@@ -54,23 +54,32 @@ def benford_first_digit(totalled: DataFrame, limit: str = DEVIATION_LIMIT) -> Da
 
 
 def quick_reversals(
-    totalled: DataFrame, lines: DataFrame, window_days: int = 7, line_order: list[str] | None = None
+    totalled: DataFrame, lines: DataFrame, window_days: int = 7, line_order: list[str] | None = None,
+    busy_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Neighbouring movements of an account on opposite sides with the same entry amount.
 
     Movements of an account are ordered by date and load order. Identical lines of an entry are on
-    the same side and cannot reverse each other, so copies collapse first; neighbours are then found
-    inside (account, date, load-order range) and across those ranges from summaries only.
+    the same side and cannot reverse each other, so copies collapse first. An account with more than
+    ``busy_rows`` movements is cut into (date, load-order range) and joined up from summaries; the
+    table of such accounts has at most one row per ``busy_rows`` lines, so it is always broadcast.
     """
     order = line_order or ["debit", "credit"]
     movements = lines.filter("account IS NOT NULL").select(
         *ENTRY_KEY, "account", F.when(F.col("debit") > 0, "D").otherwise("A").alias("side"), *order
     )
-    usage = movements.groupBy("engagement_id", "account").agg(F.count(F.lit(1)).alias("uses")).filter("uses >= 3")
+    usage = movements.groupBy("engagement_id", "account").agg(F.count(F.lit(1)).alias("uses"))
+    busy = usage.filter(F.col("uses") > busy_rows).select("engagement_id", "account", F.lit(True).alias("_busy"))
     heads = totalled.select(*ENTRY_KEY, "entry_number", "registration_date", "load_order", "amount")
-    dated = movements.distinct().join(heads, ENTRY_KEY).withColumn("_range", number_bucket("load_order", 100_000))
+    dated = movements.distinct().join(heads, ENTRY_KEY).join(F.broadcast(busy), ["engagement_id", "account"], "left")
+    dated = dated.withColumns(
+        {
+            "_day": F.when(F.col("_busy"), F.col("registration_date")),
+            "_range": F.when(F.col("_busy"), number_bucket("load_order", 100_000)),
+        }
+    )
     pairs = adjacent_pairs(
-        dated, ["engagement_id", "account"], ["registration_date", "_range"],
+        dated, ["engagement_id", "account"], ["_day", "_range"],
         ["registration_date", "load_order", *order], ["entry_id", "entry_number", "amount", "side"],
     )
     days = F.date_diff(F.col("next.registration_date"), F.col("prev.registration_date"))
@@ -83,7 +92,7 @@ def quick_reversals(
         "engagement_id", "account", F.col("next.entry_id").alias("entry_id"),
         F.col("next.entry_number").alias("entry_number"), F.col("prev.entry_number").alias("first_number"),
         F.col("prev.amount").alias("amount"), days.alias("days"),
-    ).join(usage.select("engagement_id", "account"), ["engagement_id", "account"], "left_semi")
+    ).join(usage.filter("uses >= 3"), ["engagement_id", "account"], "left_semi")
     c = F.col
     text = E._say(
         "Possibile round-tripping: registrazione {b} inverte la {a} sullo stesso conto '{k}' entro {d} giorni "

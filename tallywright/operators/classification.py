@@ -9,7 +9,6 @@ tables and no pair of document and keyword is ever materialised.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,163 +18,157 @@ from tallywright.functions.tables import broadcast_if_small
 
 ITEMS = [item for item, _, _ in CATALOGUE]
 LABELS = {item: label for item, label, _ in CATALOGUE}
+PLACE = {item: i for i, item in enumerate(ITEMS)}
+# Points are kept in whole tenths while scoring.
+TENTHS = 10
 POINTS = "decimal(10,2)"
 # Where an item first gets points decides ties: name rules, folder rules, adjustments, hints.
 FOLDER_STAGE, ADJUSTED_STAGE, HINT_STAGE, UNSEEN = 100, 200, 300, 999
-SURE = "0.55"
+SURE = 55
 ABSENCE_NOTE = "Nessun documento classificato su questa voce dopo la scansione completa della cartella."
 
 
-def _num(value) -> Column:
-    return F.lit(str(value)).cast(POINTS)
+def _tenths(points: str) -> int:
+    return round(float(points) * TENTHS)
 
 
-def _kept(entries: list[Column]) -> Column:
-    """An array the optimizer computes once instead of copying it into every later access."""
-    return F.slice(F.array(*entries), 1, len(entries))
+def _any(column: str, needles: list[str]) -> str:
+    pattern = "|".join(re.escape(n) for n in needles).replace("\\", "\\\\").replace("'", "\\'")
+    return f"{column} RLIKE '{pattern}'"
 
 
-def _any(c: Column, needles: list[str]) -> Column:
-    return c.rlike("|".join(re.escape(n) for n in needles))
+def _kept(entries: list[str]) -> Column:
+    """An array that is computed once: the slice keeps the optimizer from copying it into each access."""
+    return F.expr(f"slice(array({', '.join(entries)}), 1, {len(entries)})")
 
 
-def _rule_points(c: Column, rules, item: str, first_stage: int) -> tuple[Column, Column]:
-    """Points of an item from a rule list (NULL when no rule fires) and the stage of its first rule."""
-    own = [(stage, points, needles) for stage, (i, points, needles) in enumerate(rules, first_stage) if i == item]
+def _rule_sql(column: str, rules, item: str, first_stage: int) -> tuple[str, str]:
+    """SQL for an item's points from a rule list (0 when no rule fires) and the stage of its first rule."""
+    own = [(stage, _tenths(points), _any(column, needles)) for stage, (i, points, needles) in enumerate(rules, first_stage) if i == item]
     if not own:
-        return F.lit(None).cast(POINTS), F.lit(UNSEEN)
-    hits = [(stage, _num(points), _any(c, needles)) for stage, points, needles in own]
-    total = reduce(lambda a, b: a + b, [F.when(hit, points).otherwise(_num(0)) for _, points, hit in hits])
-    fired = reduce(lambda a, b: a | b, [hit for _, _, hit in hits])
-    stage = reduce(F.least, [F.when(hit, s).otherwise(UNSEEN) for s, _, hit in hits]) if len(hits) > 1 else F.when(
-        hits[0][2], hits[0][0]).otherwise(UNSEEN)
-    return F.when(fired, total.cast(POINTS)), stage
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull() | b.isNotNull(), (F.coalesce(a, _num(0)) + F.coalesce(b, _num(0))).cast(POINTS))
+        return "0", str(UNSEEN)
+    points = " + ".join(f"IF({hit}, {points}, 0)" for _, points, hit in own)
+    stages = [f"IF({hit}, {stage}, {UNSEEN})" for stage, _, hit in own]
+    return points, stages[0] if len(stages) == 1 else f"least({', '.join(stages)})"
 
 
 def _with_rules(documents: DataFrame) -> DataFrame:
-    """Folded name and path, and ``_rules``: points, stage and name hit per item from name and folder."""
+    """Folded name and path, and ``_rules``: points and stage per item from name and folder.
+
+    A stage of 999 marks an item that no rule has touched.
+    """
     folded = documents.withColumns({"_name": T.fold_text(F.col("name")), "_path": T.fold_text(T.normalise_path(F.col("rel_path")))})
-    folded = folded.withColumn("_blob", F.concat_ws(" ", "_path", "_name"))
     entries = []
     for item in ITEMS:
-        named, named_stage = _rule_points(F.col("_blob"), NAME_RULES, item, 0)
-        filed, filed_stage = _rule_points(F.col("_path"), FOLDER_RULES, item, FOLDER_STAGE)
+        named, named_stage = _rule_sql("_blob", NAME_RULES, item, 0)
+        filed, filed_stage = _rule_sql("_path", FOLDER_RULES, item, FOLDER_STAGE)
         entries.append(
-            F.struct(
-                named.alias("name_points"),
-                _plus(named, filed).alias("points"),
-                F.least(named_stage, filed_stage).alias("stage"),
-            )
+            f"named_struct('named', {named}, 'filed', {filed}, 'stage', least({named_stage}, {filed_stage}))"
         )
-    return folded.withColumn("_rules", _kept(entries))
+    return folded.withColumn("_blob", F.concat_ws(" ", "_path", "_name")).withColumn("_rules", _kept(entries))
 
 
 def _with_adjustments(ruled: DataFrame) -> DataFrame:
-    """Settle conflicts between items into ``_adjusted`` (points, stage, name hit)."""
-    name = F.col("_name")
-    points = {item: F.col("_rules")[i]["points"] for i, item in enumerate(ITEMS)}
-    stage = {item: F.col("_rules")[i]["stage"] for i, item in enumerate(ITEMS)}
-    zero = lambda item: F.coalesce(points[item], _num(0))
-    at_least = lambda item, n: F.greatest(zero(item), _num(n))
-    at_most = lambda item, n: F.least(zero(item), _num(n))
-
-    assembly = zero("C.1") >= 8
-    board = F.when(assembly & (zero("C.3") > 0), at_most("C.3", 3)).otherwise(points["C.3"])
-    meeting = F.when(
-        assembly & F.contains(name, F.lit("collegio")),
-        F.greatest(points["C.1"], F.coalesce(board, _num(0)) + _num(1)).cast(POINTS),
-    ).otherwise(points["C.1"])
-    support = zero("F.2") >= 10
-    ledgers = F.contains(name, F.lit("mastrini"))
-    journal = F.contains(name, F.lit("giornale")) & ~ledgers
-    final = journal & name.rlike("definitiv|bollat")
-    draft = journal & ~final & name.rlike("provvisor")
+    """Settle conflicts between items into ``_adjusted``, and count hints in the name."""
+    entry = {item: f"_rules[{i}]" for item, i in PLACE.items()}
+    points = {item: f"({e}.named + {e}.filed)" for item, e in entry.items()}
+    seen = {item: f"({e}.stage < {UNSEEN})" for item, e in entry.items()}
+    facts = {
+        "_assembly": f"{points['C.1']} >= {8 * TENTHS}",
+        "_board": f"IF({points['C.1']} >= {8 * TENTHS} AND {points['C.3']} > 0, least({points['C.3']}, {3 * TENTHS}), {points['C.3']})",
+        "_support": f"{points['F.2']} >= {10 * TENTHS}",
+        "_ledgers": "contains(_name, 'mastrini')",
+        "_final": "NOT contains(_name, 'mastrini') AND contains(_name, 'giornale') AND _name RLIKE 'definitiv|bollat'",
+    }
+    known = ruled.withColumns({name: F.expr(sql) for name, sql in facts.items()})
+    known = known.withColumn(
+        "_draft",
+        F.expr("NOT _ledgers AND NOT _final AND contains(_name, 'giornale') AND contains(_name, 'provvisor')"),
+    )
+    provisional = "(_ledgers OR _draft)"
+    top, low, under = 16 * TENTHS, 2 * TENTHS, 3 * TENTHS
+    first, second = ADJUSTED_STAGE + 1, ADJUSTED_STAGE + 2
     adjusted = {
-        "C.3": (board, None),
-        "C.1": (meeting, None),
-        "F.1": (F.when(support, at_most("F.1", 1)).otherwise(points["F.1"]), F.when(support, ADJUSTED_STAGE)),
+        "C.3": ("_board", None),
+        "C.1": (f"IF(_assembly AND contains(_name, 'collegio'), greatest({points['C.1']}, _board + {TENTHS}), {points['C.1']})", None),
+        "F.1": (f"IF(_support, least({points['F.1']}, {TENTHS}), {points['F.1']})", f"IF(_support, {ADJUSTED_STAGE}, {UNSEEN})"),
         "B.4": (
-            F.when(ledgers | draft, at_least("B.4", 16)).when(final, at_most("B.4", 3)).otherwise(points["B.4"]),
-            F.when(ledgers | draft, ADJUSTED_STAGE + 1).when(final, ADJUSTED_STAGE + 2),
+            f"CASE WHEN {provisional} THEN greatest({points['B.4']}, {top}) WHEN _final THEN least({points['B.4']}, {under}) ELSE {points['B.4']} END",
+            f"CASE WHEN {provisional} THEN {first} WHEN _final THEN {second} ELSE {UNSEEN} END",
         ),
         "D.1": (
-            F.when(final, at_least("D.1", 16)).when(ledgers | draft, at_most("D.1", 2)).otherwise(points["D.1"]),
-            F.when(final, ADJUSTED_STAGE + 1).when(ledgers | draft, ADJUSTED_STAGE + 2),
+            f"CASE WHEN _final THEN greatest({points['D.1']}, {top}) WHEN {provisional} THEN least({points['D.1']}, {low}) ELSE {points['D.1']} END",
+            f"CASE WHEN _final THEN {first} WHEN {provisional} THEN {second} ELSE {UNSEEN} END",
         ),
     }
     entries = []
-    for i, item in enumerate(ITEMS):
+    for item in ITEMS:
         value, inserted = adjusted.get(item, (points[item], None))
-        seen = stage[item] if inserted is None else F.least(stage[item], F.coalesce(inserted, F.lit(UNSEEN)))
-        entries.append(
-            F.struct(
-                value.cast(POINTS).alias("points"),
-                seen.alias("stage"),
-                F.col("_rules")[i]["name_points"].isNotNull().alias("in_name"),
-            )
-        )
-    adjusted = ruled.withColumn("_adjusted", _kept(entries))
-    return adjusted.withColumn("_named_hints", _kept([_hints_in(F.col("_name"), item) for item in ITEMS]))
+        stage = f"{entry[item]}.stage" if inserted is None else f"least({entry[item]}.stage, {inserted})"
+        entries.append(f"named_struct('points', {value}, 'stage', {stage}, 'in_name', {entry[item]}.named > 0)")
+    settled = known.withColumn("_adjusted", _kept(entries))
+    return settled.withColumn("_named_hints", _kept([_hints_in("_name", item) for item in ITEMS]))
+
 
+def _contains(column: str, hint: str) -> str:
+    return f"contains({column}, '{hint}')"
 
-def _hints_in(c: Column, item: str) -> Column:
+
+def _hints_in(column: str, item: str) -> str:
     """Number of an item's hints found in a text; a hint listed twice counts twice."""
-    found = [F.contains(c, F.lit(hint)).cast("int") for hint in ITEM_HINTS.get(item, [])]
-    return reduce(lambda a, b: a + b, found) if found else F.lit(0)
+    return " + ".join(f"IF({_contains(column, h)}, 1, 0)" for h in ITEM_HINTS.get(item, [])) or "0"
 
 
-def _hints_only_in(text: Column, item: str) -> Column:
-    name = F.col("_name")
-    found = [
-        F.coalesce(F.contains(text, F.lit(hint)) & ~F.contains(name, F.lit(hint)), F.lit(False)).cast("int") for hint in ITEM_HINTS.get(item, [])
-    ]
-    return reduce(lambda a, b: a + b, found) if found else F.lit(0)
+def _hints_only_in(column: str, item: str) -> str:
+    found = [f"IF({_contains(column, h)} AND NOT {_contains('_name', h)}, 1, 0)" for h in ITEM_HINTS.get(item, [])]
+    return " + ".join(found) or "0"
 
 
-def _with_hints(adjusted: DataFrame, text: Column | None, out: str) -> DataFrame:
+def _with_hints(adjusted: DataFrame, text: str | None, out: str) -> DataFrame:
+    """Items that have points, with their total, first stage and whether the name shows them."""
     if text is not None:
         adjusted = adjusted.withColumn("_text_hints", _kept([_hints_only_in(text, item) for item in ITEMS]))
+    name_points, text_points = _tenths(HINT_POINTS_NAME), _tenths(HINT_POINTS_TEXT)
     entries = []
-    for i, item in enumerate(ITEMS):
-        base, in_name = F.col("_adjusted")[i], F.col("_named_hints")[i]
-        in_text = F.lit(0) if text is None else F.col("_text_hints")[i]
-        hints = in_name * _num(HINT_POINTS_NAME) + in_text * _num(HINT_POINTS_TEXT)
-        hinted = (in_name > 0) | (in_text > 0)
-        points = F.when(base["points"].isNotNull() | hinted, (F.coalesce(base["points"], _num(0)) + hints).cast(POINTS))
-        stage = F.least(base["stage"], F.when(hinted, HINT_STAGE + i).otherwise(UNSEEN))
+    for item, i in PLACE.items():
+        hinted, hints = f"_named_hints[{i}] > 0", f"_named_hints[{i}] * {name_points}"
+        if text is not None:
+            hinted, hints = f"({hinted} OR _text_hints[{i}] > 0)", f"{hints} + _text_hints[{i}] * {text_points}"
         entries.append(
-            F.struct(
-                points.alias("points"), (-stage).alias("early"), F.lit(item).alias("item_id"),
-                (base["in_name"] | (in_name > 0)).alias("in_name"),
-            )
+            f"named_struct('points', _adjusted[{i}].points + {hints}, "
+            f"'early', -least(_adjusted[{i}].stage, IF({hinted}, {HINT_STAGE + i}, {UNSEEN})), 'item_id', '{item}', "
+            f"'in_name', _adjusted[{i}].in_name OR _named_hints[{i}] > 0)"
         )
-    return adjusted.withColumn(out, F.filter(F.array(*entries), lambda e: e["points"].isNotNull()))
+    return adjusted.withColumn(out, F.expr(f"filter(array({', '.join(entries)}), e -> e.early > -{UNSEEN})"))
+
 
+def _as_points(tenths: Column) -> Column:
+    return (tenths / F.lit(TENTHS)).cast(POINTS)
 
-def _confidence(points: Column) -> Column:
-    return F.least(F.lit("0.95").cast("decimal(6,4)"), F.lit("0.40").cast("decimal(6,4)") + points * F.lit("0.06").cast("decimal(3,2)"))
 
+def _thousandths(tenths: Column) -> Column:
+    """Confidence in thousandths: 0.40 plus 0.06 per point, at most 0.95."""
+    return F.least(F.lit(950), F.lit(400) + tenths * 6)
 
-def _exploded(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+
+def _exploded(df: DataFrame, entries: str, keys: list[str]) -> DataFrame:
+    """One row per item with points; ``entries`` is an array of (points, stage) in catalogue order."""
+    items = ", ".join(f"'{item}'" for item in ITEMS)
     # The outer form keeps the optimizer from copying the whole array into a filter on its size.
-    rows = df.select(*keys, F.posexplode_outer(column).alias("_i", "e")).filter("e.points IS NOT NULL")
-    item = F.element_at(F.array(*[F.lit(i) for i in ITEMS]), F.col("_i") + 1)
-    return rows.select(*keys, item.alias("item_id"), F.col("e.points").alias("points"))
+    rows = df.select(*keys, F.posexplode_outer(F.expr(entries)).alias("_i", "e")).filter(F.col("e.stage") < UNSEEN)
+    return rows.select(*keys, F.expr(f"array({items})[_i]").alias("item_id"), _as_points(F.col("e.points")).alias("points"))
 
 
 def name_rule_scores(documents: DataFrame, keys: list[str]) -> DataFrame:
     """Points per document and item from keywords in path and name; each rule counts once."""
-    rules = F.transform("_rules", lambda e: F.struct(e["name_points"].alias("points")))
-    return _exploded(_with_rules(documents).withColumn("_named", rules), "_named", keys)
+    named = f"transform(_rules, e -> named_struct('points', e.named, 'stage', IF(e.named > 0, 0, {UNSEEN})))"
+    return _exploded(_with_rules(documents), named, keys)
 
 
 def path_rule_scores(documents: DataFrame, keys: list[str]) -> DataFrame:
     """Name points plus the fractional points of folder keywords."""
-    return _exploded(_with_rules(documents), "_rules", keys)
+    both = "transform(_rules, e -> named_struct('points', e.named + e.filed, 'stage', e.stage))"
+    return _exploded(_with_rules(documents), both, keys)
 
 
 def rule_adjustments(documents: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,9 +183,9 @@ def _text(text_limit: int | None) -> Column:
 def hint_scores(documents: DataFrame, keys: list[str], text_limit: int | None = None) -> DataFrame:
     """Final points per document and item with the catalogue's hints in name or text."""
     scored = _with_adjustments(_with_rules(documents)).withColumn("_text", _text(text_limit))
-    scored = _with_hints(scored, F.col("_text"), "_scores")
-    return scored.select(*keys, F.explode_outer("_scores").alias("e")).filter("e.points IS NOT NULL").select(
-        *keys, F.col("e.item_id").alias("item_id"), F.col("e.points").alias("points")
+    scored = _with_hints(scored, "_text", "_scores")
+    return scored.select(*keys, F.explode_outer("_scores").alias("e")).filter("e.item_id IS NOT NULL").select(
+        *keys, F.col("e.item_id").alias("item_id"), _as_points(F.col("e.points")).alias("points")
     )
 
 
@@ -201,26 +194,24 @@ def classify_documents(documents: DataFrame, text_limit: int | None = None) -> D
 
     The text is folded and searched only where the name alone leaves no item or a low confidence.
     """
+    columns = documents.columns
     named = _with_hints(_with_adjustments(_with_rules(documents)), None, "_by_name")
     named = named.withColumn("_best_name", F.array_max("_by_name"))
-    low = F.col("_best_name").isNull() | (F.col("_best_name.points") <= 0)
-    unsure = low | (_confidence(F.col("_best_name.points")) < F.lit(SURE).cast("decimal(6,4)"))
+    tenths = F.col("_best_name.points")
+    unsure = F.coalesce(tenths <= 0, F.lit(True)) | (_thousandths(tenths) < SURE * 10)
     named = named.withColumn("_text", F.when(unsure, _text(text_limit)))
-    both = _with_hints(named, F.col("_text"), "_by_text")
+    both = _with_hints(named, "_text", "_by_text")
     best = F.when(F.col("_text").isNull(), F.col("_best_name")).otherwise(F.array_max("_by_text"))
     chosen = both.withColumn("_best", best)
     found = F.coalesce(F.col("_best.points") > 0, F.lit(False))
     read = F.coalesce(F.col("_text"), F.lit("")) != ""
     method = F.when(~found, "unclassified").when(F.col("_best.in_name"), "filename").when(read, "content").otherwise("folder")
-    return chosen.withColumns(
-        {
-            "item_id": F.when(found, F.col("_best.item_id")),
-            "confidence": F.when(found, _confidence(F.col("_best.points"))).otherwise(0).cast("decimal(4,2)"),
-            "method": method,
-        }
-    ).drop(
-        "_name", "_path", "_blob", "_rules", "_adjusted", "_named_hints", "_by_name", "_best_name", "_text", "_text_hints", "_by_text",
-        "_best",
+    confidence = F.when(found, _thousandths(F.col("_best.points")) / 1000).otherwise(0).cast("decimal(6,4)")
+    return chosen.select(
+        *columns,
+        F.when(found, F.col("_best.item_id")).alias("item_id"),
+        confidence.cast("decimal(4,2)").alias("confidence"),
+        method.alias("method"),
     )
 
 
