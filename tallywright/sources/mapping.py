@@ -66,8 +66,9 @@ def accepted_rows(mapped: DataFrame, strict: bool = False) -> DataFrame:
     """Rows that can be staged; in strict mode the first rejected row aborts the job."""
     if strict:
         message = F.concat(F.lit("row not importable: "), F.array_join("rejected", ", "))
-        ok = F.when(F.size("rejected") == 0, True).otherwise(F.raise_error(message).cast("boolean"))
-        return mapped.filter(ok).drop("rejected")
+        # In the projection, not in a filter: filters may be reordered before those of the source.
+        checked = F.when(F.size("rejected") > 0, F.raise_error(message).cast("string")).otherwise(F.col("entry_id"))
+        return mapped.withColumn("entry_id", checked).drop("rejected")
     return mapped.filter(F.size("rejected") == 0).drop("rejected")
 
 
