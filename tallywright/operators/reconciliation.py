@@ -30,9 +30,7 @@ def _record_starts(lines: DataFrame) -> DataFrame:
     numbered = number_rows(bucketed, ["source_id"], ["_b"], ["line_number"], "n").drop("_b")
     reach = RECORD_LINES - 1
     home = F.floor(F.col("n") / RECORD_BUCKET)
-    near = F.array_distinct(
-        F.array(home, F.floor((F.col("n") - reach) / RECORD_BUCKET), F.floor((F.col("n") + reach) / RECORD_BUCKET))
-    )
+    near = F.sequence(F.floor((F.col("n") - reach) / RECORD_BUCKET), F.floor((F.col("n") + reach) / RECORD_BUCKET))
     spread = numbered.withColumn("_home", home).withColumn("_part", F.explode(near))
     part = W.partitionBy("source_id", "_part").orderBy("n")
     seen = spread.withColumns({f"l{i}": F.lead("value", i).over(part) for i in range(1, RECORD_LINES)})
