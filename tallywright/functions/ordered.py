@@ -25,14 +25,16 @@ def adjacent_pairs(
 
     ``order`` sorts the rows of a key completely. ``levels`` are columns, coarse to fine, that follow
     it: all rows of an earlier bucket come before all rows of a later one. Pairs inside the finest bucket come from the rows; pairs
-    across buckets from one (first, last) summary per bucket, level by level. A key known to be
-    small may have NULL levels: it is then one run and takes no part in the summaries.
+    across buckets from one (first, last) summary per bucket, level by level. Without levels each key
+    is one run, which suits keys known to be small.
     """
     item = F.struct(*[F.col(c) for c in [*order, *[p for p in payload if p not in order]]])
     rows = df.select(*keys, *levels, item.alias("prev"))
     inner = rows.withColumn("next", F.lead("prev").over(W.partitionBy(*keys, *levels).orderBy("prev")))
     found = inner.filter(F.col("next").isNotNull()).select(*keys, "prev", "next")
-    runs = inner.filter(F.col(levels[-1]).isNotNull()).groupBy(*keys, *levels).agg(F.min("prev").alias("first"), F.max("prev").alias("last"))
+    if not levels:
+        return found
+    runs = inner.groupBy(*keys, *levels).agg(F.min("prev").alias("first"), F.max("prev").alias("last"))
     for depth in range(len(levels) - 1, -1, -1):
         outer = [*keys, *levels[:depth]]
         across = W.partitionBy(*outer).orderBy("first")

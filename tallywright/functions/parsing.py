@@ -8,8 +8,15 @@ MONEY = "decimal(18,2)"
 PRECISE = "decimal(28,6)"
 
 
+# --- Fixed values: characters that count as blank at either end of a cell ------------------------
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def text_or_null(c: Column) -> Column:

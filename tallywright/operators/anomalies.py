@@ -69,19 +69,14 @@ def quick_reversals(
         *ENTRY_KEY, "account", F.when(F.col("debit") > 0, "D").otherwise("A").alias("side"), *order
     )
     usage = movements.groupBy("engagement_id", "account").agg(F.count(F.lit(1)).alias("uses"))
-    busy = usage.filter(F.col("uses") > busy_rows).select("engagement_id", "account", F.lit(True).alias("_busy"))
+    account = ["engagement_id", "account"]
+    busy = F.broadcast(usage.filter(F.col("uses") > busy_rows).select(*account))
     heads = totalled.select(*ENTRY_KEY, "entry_number", "registration_date", "load_order", "amount")
-    dated = movements.distinct().join(heads, ENTRY_KEY).join(F.broadcast(busy), ["engagement_id", "account"], "left")
-    dated = dated.withColumns(
-        {
-            "_day": F.when(F.col("_busy"), F.col("registration_date")),
-            "_range": F.when(F.col("_busy"), number_bucket("load_order", 100_000)),
-        }
-    )
-    pairs = adjacent_pairs(
-        dated, ["engagement_id", "account"], ["_day", "_range"],
-        ["registration_date", "load_order", *order], ["entry_id", "entry_number", "amount", "side"],
-    )
+    dated = movements.distinct().join(heads, ENTRY_KEY)
+    sort, payload = ["registration_date", "load_order", *order], ["entry_id", "entry_number", "amount", "side"]
+    calm = adjacent_pairs(dated.join(busy, account, "left_anti"), account, [], sort, payload)
+    cut = dated.join(busy, account).withColumn("_range", number_bucket("load_order", 100_000))
+    pairs = calm.unionByName(adjacent_pairs(cut, account, ["registration_date", "_range"], sort, payload))
     days = F.date_diff(F.col("next.registration_date"), F.col("prev.registration_date"))
     hits = pairs.filter(
         (F.col("prev.side") != F.col("next.side"))
