@@ -128,7 +128,7 @@ _months = lambda a: F.array_join(F.transform(a, lambda m: F.concat_ws("-", m["ye
 _text_query("F16_period_months", lambda: [_months(T.period_months(F.col("period"))).alias("months"), T.period_quarter(F.col("period")).alias("quarter"),
                                           T.period_year(F.col("period")).alias("year")], """
  CASE load_order % 3 WHEN 0 THEN '2026-4,2026-5,2026-6' WHEN 1 THEN '2025-7,2025-8,2025-9' ELSE '2024-10,2024-11,2024-12' END AS months,
- CASE load_order % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS quarter, 2026 - load_order % 3 AS year""")
+ CASE load_order % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS quarter, CAST(2026 - load_order % 3 AS INT) AS year""")
 _QUARTER = r"""CASE WHEN regexp_matches({n}, '(?:^|[_\s.-])4\s*tr|\biv\s*tr|4[°ºo]') THEN 4 WHEN regexp_matches({n}, '(?:^|[_\s.-])3\s*tr|\biii\s*tr|3[°ºo]') THEN 3
  WHEN regexp_matches({n}, '(?:^|[_\s.-])2\s*tr|\bii\s*tr|2[°ºo]') THEN 2 WHEN regexp_matches({n}, '(?:^|[_\s.-])1\s*tr|\bi\s*tr|1[°ºo]') THEN 1 END"""
 _text_query("F17_quarter_in_name", lambda: [T.quarter_in_name(_name()).alias("quarter")], _QUARTER.format(n="lower(name)") + " AS quarter")
@@ -158,7 +158,7 @@ def ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("F22_ledger_closing", ledger_pages, """
-SELECT load_order, load_order % 300 + 1 AS page, '30/06/26' AS closing_date, 'PLUSV. SU PARTECIP. — Rilevazione costi' AS description
+SELECT load_order, CAST(load_order % 300 + 1 AS INT) AS page, '30/06/26' AS closing_date, 'PLUSV. SU PARTECIP. — Rilevazione costi' AS description
 FROM document_files WHERE load_order % 5 = 2""", "document_files")
 _text_query("F23_normalise_path", lambda: [T.normalise_path(F.concat(F.lit(".././a//"), F.lit("b\\..\\"), "rel_path", F.lit("/"))).alias("path")],
             "concat('a/', rel_path) AS path")
@@ -235,7 +235,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.classify_documents(files(spark, sf_dir))
 
 
-_add("D01_name_rule_scores", lambda s, d: D.name_rule_scores(files(s, d), ["load_order"]), "SELECT load_order, item_id, points FROM named", "named")
+_add("D01_name_rule_scores", lambda s, d: D.name_rule_scores(files(s, d), ["load_order"]), "SELECT load_order, item_id, CAST(points AS DECIMAL(10,2)) AS points FROM named", "named")
 _add("D02_path_rule_scores", lambda s, d: D.path_rule_scores(files(s, d), ["load_order"]), "SELECT load_order, item_id, points FROM ruled", "ruled")
 _add("D03_rule_adjustments", lambda s, d: D.rule_adjustments(files(s, d), ["load_order"]), "SELECT load_order, item_id, points FROM adjusted", "adjusted")
 _add("D04_hint_scores", lambda s, d: D.hint_scores(files(s, d), ["load_order"]), "SELECT load_order, item_id, points FROM final_points", "final_points")
@@ -326,14 +326,37 @@ define("found_evidence", """
 SELECT engagement_id, item_id, true AS found, rel_path AS source_path, name AS source_name, method, confidence, excerpt, '' AS notes
 FROM assigned WHERE NOT skip AND item_id IS NOT NULL AND (engagement_id, item_id) IN (SELECT (engagement_id, item_id) FROM applicable)""", "assigned", "applicable")
 define("absent_evidence", f"""
-SELECT engagement_id, item_id, false AS found, CAST(NULL AS VARCHAR) AS source_path, CAST(NULL AS VARCHAR) AS source_name, 'scan' AS method, 0 AS confidence,
+SELECT engagement_id, item_id, false AS found, CAST(NULL AS VARCHAR) AS source_path, CAST(NULL AS VARCHAR) AS source_name, 'scan' AS method, CAST(0 AS DECIMAL(4,2)) AS confidence,
  '' AS excerpt, '{D.ABSENCE_NOTE}' AS notes FROM applicable a
 WHERE NOT EXISTS (SELECT 1 FROM assigned d WHERE NOT d.skip AND d.engagement_id = a.engagement_id AND d.item_id = a.item_id)""", "assigned", "applicable")
 _add("D09_evidence_found", lambda s, d: D.evidence_found(assigned(s, d), applicable(s, d)), "SELECT * FROM found_evidence", "found_evidence")
 
 
 _add("D10_evidence_absent", lambda s, d: D.evidence_absent(assigned(s, d), applicable(s, d)), "SELECT * FROM absent_evidence", "absent_evidence")
-_add("D11_extract_fields", lambda s, d: D.extract_fields(assigned(s, d), ["engagement_id", "load_order"]), None)
+
+
+def _expression(name: str, column: str) -> str:
+    """The SQL expression behind an already registered text function."""
+    return ORACLE[name].split("SELECT load_order, ", 1)[1].rsplit(f" AS {column}", 1)[0]
+
+
+_ANY_DATE = f"regexp_extract_all(text, '{_DATES}', 1)[-1]"
+_FIELD_SQL = [
+    ("('E.1')", "importo", f"CAST({_expression('F10_tax_payment_amount', 'amount')} AS VARCHAR)", "'EUR'"),
+    ("('E.1')", "data_versamento", _expression("F13_payment_date", "payment_day"), "NULL"),
+    ("('E.1')", "protocollo", _expression("F12_protocol_number", "protocol"), "NULL"),
+    ("('F.1')", "saldo_ec", f"CAST({_expression('F11_statement_balance', 'balance')} AS VARCHAR)", "'EUR'"),
+    ("('B.4', 'D.1')", "data_ultimo_verbale",
+     f"coalesce(regexp_extract_all(text, '(?i)Progr\\.e saldo al\\s+([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}})', 1)[-1], {_ANY_DATE})", "NULL"),
+    ("('B.4', 'D.1')", "ultima_pagina", "regexp_extract_all(text, '(?i)Pagina\\s+([0-9]+)', 1)[-1]", "NULL"),
+    ("('C.1', 'C.2', 'C.4')", "data_verbale",
+     "CASE WHEN regexp_matches(name, '20[0-9]{6}') THEN regexp_replace(regexp_extract(name, '20[0-9]{6}'), '^(....)(..)(..)$', '\\3/\\2/\\1') "
+     f"ELSE {_ANY_DATE} END", "NULL"),
+]
+_add("D11_extract_fields", lambda s, d: D.extract_fields(assigned(s, d), ["engagement_id", "load_order"]),
+     "SELECT * FROM (" + " UNION ALL ".join(
+         f"SELECT engagement_id, load_order, item_id, '{kind}' AS kind, {value} AS value, CAST({unit} AS VARCHAR) AS unit "
+         f"FROM assigned WHERE NOT skip AND item_id IN {items}" for items, kind, value, unit in _FIELD_SQL) + ") t WHERE value IS NOT NULL", "assigned")
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:

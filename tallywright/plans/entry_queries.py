@@ -112,7 +112,7 @@ def chart_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHEET_SQL = """
 SELECT concat('S', CAST(user_id % 2 AS VARCHAR)) AS source_id, event_id + 1 AS position,
- CASE WHEN event_id % 4 = 0 OR event_id % 8 = 1 THEN floor(event_id / 4) END AS entry_number,
+ CASE WHEN event_id % 4 = 0 OR event_id % 8 = 1 THEN CAST(floor(event_id / 4) AS BIGINT) END AS entry_number,
  CASE WHEN event_id % 31 = 0 THEN '' ELSE concat('C', CAST(user_id % 40 AS VARCHAR)) END AS account,
  CAST(ts AS DATE) AS registration_date, event_type AS description,
  CAST(CASE WHEN event_type = 'purchase' THEN 0 ELSE value END AS DECIMAL(18,2)) AS debit,
@@ -340,7 +340,7 @@ SELECT engagement_id, sample_size, digit, digit_rows, expected, CAST(digit_rows
 WHERE sample_size >= 50""", "totalled")
 _add("E19_benford_first_digit", lambda s, d: A.first_digit_distribution(totalled(s, d)), "SELECT * FROM digits", "digits")
 define("a_benford", f"""
-SELECT engagement_id, 'other' AS anomaly_type, 'warning' AS severity, '' AS entry_id, 0 AS entry_number,
+SELECT engagement_id, 'other' AS anomaly_type, 'warning' AS severity, '' AS entry_id, CAST(0 AS BIGINT) AS entry_number,
  concat('Distribuzione delle prime cifre devia dalla Legge di Benford: cifra ''', digit, ''' devia del ',
   CAST(deviation * 100 AS DECIMAL(9,1)), '% (osservato: ', CAST(observed * 100 AS DECIMAL(9,1)), '%, atteso: ',
   CAST(expected * 100 AS DECIMAL(9,1)), '%)') AS description FROM (
@@ -382,7 +382,7 @@ def month_end_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 define("a_spike", """
-SELECT engagement_id, 'other' AS anomaly_type, 'info' AS severity, '' AS entry_id, 0 AS entry_number,
+SELECT engagement_id, 'other' AS anomaly_type, 'info' AS severity, '' AS entry_id, CAST(0 AS BIGINT) AS entry_number,
  concat('Concentrazione anomala a fine mese (', d, '): ', n, ' registrazioni vs media di ',
   CAST(total / days AS DECIMAL(18,1)), '/giorno') AS description, CAST(CAST(n / (total / days) AS DECIMAL(18,2)) AS VARCHAR) AS ratio FROM (
  SELECT *, count(*) OVER (PARTITION BY engagement_id) AS days, CAST(sum(n) OVER (PARTITION BY engagement_id) AS BIGINT) AS total FROM (
@@ -475,7 +475,7 @@ SELECT engagement_id, severity, entry_number, anomaly_type, description FROM (
  SELECT *, row_number() OVER (PARTITION BY engagement_id, severity ORDER BY entry_number, anomaly_type, description) AS rn FROM found) t
 WHERE severity <> 'info' OR rn <= 10""", "found")
 _add("E26_sample_report", lambda s, d: P.report_sample(combined(s, d), sample_validations(s, d)), """
-SELECT engagement_id, rn AS position, entry_number, registration_date, left(description, 30) AS description, total_debit, total_credit,
+SELECT engagement_id, CAST(rn AS INT) AS position, entry_number, registration_date, left(description, 30) AS description, total_debit, total_credit,
  CASE WHEN is_valid THEN '✓' ELSE '⚠' END AS outcome FROM (
  SELECT s.*, v.is_valid, row_number() OVER (PARTITION BY s.engagement_id ORDER BY
   list_position(['threshold', 'focus_account', 'unbalanced', 'round_amount', 'random'], sample_reason), load_order) AS rn

@@ -315,9 +315,9 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("S14_source_fingerprint", fingerprints, """
-SELECT concat('doc_', doc_id) AS path, sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes FROM documents""")
+SELECT concat('doc_', doc_id) AS path, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS INT) AS size_bytes FROM documents""")
 _add("S14_identical_files", lambda s, d: T.identical_files(fingerprints(s, d)), """
-SELECT sha256(text) AS sha256, octet_length(encode(text)) AS size_bytes, count(*) AS files, min(concat('doc_', doc_id)) AS first_path
+SELECT sha256(text) AS sha256, CAST(octet_length(encode(text)) AS INT) AS size_bytes, count(*) AS files, min(concat('doc_', doc_id)) AS first_path
 FROM documents GROUP BY 1, 2 HAVING count(*) > 1""")
 
 define_shared("folder_files", "documents", """

@@ -67,7 +67,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("B02_pick_statements", lambda s, d: statements(s, d).select("engagement_id", "bank_key", "load_order", "name", "points", "row_no"),
-     "SELECT engagement_id, bank_key, load_order, name, points, row_no FROM statements", "statements")
+     "SELECT engagement_id, bank_key, load_order, name, points, CAST(row_no AS INT) AS row_no FROM statements", "statements")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ SELECT engagement_id, slot, CASE m0 WHEN 4 THEN 2026 WHEN 7 THEN 2025 ELSE 2024
   ['gennaio','febbraio','marzo','aprile','maggio','giugno','luglio','agosto','settembre','ottobre','novembre','dicembre'][m0 + i - 1])
   OR coalesce(list_contains(date_months, m0 + i - 1), false))[1], CASE WHEN k <= 3 THEN k END) AS slot FROM receipts) t WHERE slot IS NOT NULL GROUP BY ALL""", "receipts")
 _add("B08_tax_payment_slots", lambda s, d: B.tax_payment_slots(files(s, d)),
-     "SELECT engagement_id, slot, year, month, receipts, paid_on, amount, protocol FROM tax_slots", "tax_slots")
+     "SELECT engagement_id, slot, year, CAST(month AS INT) AS month, receipts, paid_on, amount, protocol FROM tax_slots", "tax_slots")
 _add("B09_fund_quarter_slots", lambda s, d: B.fund_quarter_slots(files(s, d)), f"""
 SELECT engagement_id, load_order, row_label, CASE WHEN q = 1 THEN '✓' END AS q1, CASE WHEN q = 2 THEN '✓' END AS q2, CASE WHEN q = 3 THEN '✓' END AS q3, CASE WHEN q = 4 THEN '✓' END AS q4 FROM (
  SELECT engagement_id, load_order, left(regexp_replace(name, '\\.[^.]*$', ''), 40) AS row_label,
@@ -168,7 +168,7 @@ SELECT *, CASE WHEN item_id = 'B.4' AND NOT contains(lower(name), 'mastrini') TH
 WHERE item_id IN ('D.3', 'G.1') OR (item_id IN ('B.4', 'D.1') AND load_order % 5 = 2)""", "item_files")
 _add("B10_books_update", lambda s, d: B.books_update(closing_books(s, d)), """
 SELECT b.engagement_id, b.item_id, left(array_to_string(names, ', '), 240) AS names,
- CASE WHEN b.item_id IN ('B.4', 'D.1') THEN DATE '2026-06-30' END AS last_date, CASE WHEN b.item_id IN ('B.4', 'D.1') THEN first_doc % 300 + 1 END AS last_page,
+ CASE WHEN b.item_id IN ('B.4', 'D.1') THEN DATE '2026-06-30' END AS last_date, CASE WHEN b.item_id IN ('B.4', 'D.1') THEN CAST(first_doc % 300 + 1 AS INT) END AS last_page,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN 'PLUSV. SU PARTECIP. — Rilevazione costi' END AS description,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN 'ultima pagina (chiusura stampa)' ELSE concat(n, ' file in cartella') END AS note FROM (
  SELECT engagement_id, item_id, count(*) AS n, (array_agg(load_order ORDER BY pref, by_name, load_order))[1] AS first_doc FROM ranked GROUP BY 1, 2) b JOIN (
