@@ -106,8 +106,7 @@ def section_status(engagements: DataFrame, connected: DataFrame, evidence: DataF
         .when(c("all_skipped"), ALL_SKIPPED)
         .when(complete & ~judged, F.concat(everything, F.lit(") sono state trovate.")))
         .when(complete, F.concat(everything, F.lit(
-            ") sono state trovate, ma questa è una sezione di giudizio umano (A/D/H/I): l'app non assegna ✓ da sola "
-            "(TEMPLATE_RULES.md §4.1).")))
+            ") sono state trovate, ma questa è una sezione di giudizio umano (A/D/H/I): l'app non assegna ✓ da sola.")))
         .otherwise(F.concat(F.lit("Mancano ancora: "), c("missing_list"), F.lit(".")))
     )
     missing = F.when(human, "").otherwise(F.coalesce("missing_list", F.lit("")))

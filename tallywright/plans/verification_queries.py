@@ -80,7 +80,7 @@ SELECT engagement_id, section, CASE WHEN decision IS NOT NULL THEN decision WHEN
  CASE WHEN decision IS NOT NULL THEN coalesce(nullif(note, ''), 'Decisione umana applicata all''intera sezione.') WHEN n IS NULL THEN {_quoted(V.NO_ITEMS)}
   WHEN skipped = n THEN {_quoted(V.ALL_SKIPPED)}
   WHEN missing = 0 AND section NOT IN ('A','D','H','I') THEN concat('Tutte le voci collegate (', items, ') sono state trovate.')
-  WHEN missing = 0 THEN concat('Tutte le voci collegate (', items, ') sono state trovate, ma questa è una sezione di giudizio umano (A/D/H/I): l''app non assegna ✓ da sola (TEMPLATE_RULES.md §4.1).')
+  WHEN missing = 0 THEN concat('Tutte le voci collegate (', items, ') sono state trovate, ma questa è una sezione di giudizio umano (A/D/H/I): l''app non assegna ✓ da sola.')
   ELSE concat('Mancano ancora: ', missing_list, '.') END AS reasoning,
  CASE WHEN decision IS NOT NULL THEN '' ELSE coalesce(missing_list, '') END AS missing_items
 FROM nine LEFT JOIN (SELECT c.engagement_id, c.section, count(*) AS n, string_agg(c.item_id, ', ' ORDER BY c.position) AS items,
