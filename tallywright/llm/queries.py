@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import mixing, quality, search, secrets
+from tallywright.llm import mixing, quality, search, secrets, token_files
 from tallywright.llm.common import ROW, table
 
 
@@ -46,6 +47,13 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col(ROW)["doc_id"].alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op6_secret_automaton, op8_pivotal_mixing)}
+def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written to wavelet files and read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder, files = token_files.write_ids(table(spark, sf_dir, "documents"), path)
+    return token_files.read_ids(spark, folder, files)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op6_secret_automaton, op8_pivotal_mixing, op10_wavelet_token_files)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
