@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import mixing, quality, search, secrets, token_files
+from tallywright.llm import language, mixing, quality, search, secrets, token_files
 from tallywright.llm.common import ROW, table
 
 
@@ -40,6 +40,19 @@ def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_text(based), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def learnable_language():
+    """Rows that the language models may learn from."""
+    return F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
+
+
+def op7_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the held-out quarter's is never read."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(learnable_language()).select("doc_id", "text", "lang"))
+    found = language.identify(docs, model, ["doc_id"]).withColumn("doc_id", F.col(ROW)["doc_id"])
+    return found.select("doc_id", (~learnable_language()).alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
 def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
     docs = table(spark, sf_dir, "documents")
@@ -54,6 +67,6 @@ def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op6_secret_automaton, op8_pivotal_mixing, op10_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op10_wavelet_token_files)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
