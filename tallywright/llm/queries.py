@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import language, mixing, quality, search, secrets, token_files
+from tallywright.llm import contamination, language, mixing, quality, search, secrets, token_files
 from tallywright.llm.common import ROW, table
 
 
@@ -29,6 +29,12 @@ def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages found in documents, one row each."""
+    found = contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(F.col(ROW)["doc_id"].alias("doc_id"), F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base rules, all spans."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -67,6 +73,6 @@ def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op10_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op3_decontamination, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op10_wavelet_token_files)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
