@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import contamination, language, mixing, quality, search, secrets, token_files
+from tallywright.llm import contamination, language, mixing, near, quality, search, secrets, token_files
 from tallywright.llm.common import ROW, table
 
 
@@ -66,6 +66,11 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col(ROW)["doc_id"].alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op9_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates and number of links."""
+    return near.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written to wavelet files and read back."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +78,6 @@ def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op3_decontamination, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op10_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op3_decontamination, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op9_chosen_path_join, op10_wavelet_token_files)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
