@@ -6,11 +6,11 @@ import math
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallywright.functions.tables import planned_bytes, session_bytes, shared_folder, stored
 
-__all__ = ["columns_of", "new_folder", "row_struct", "run_parts", "stored", "table", "unpack_row"]
+__all__ = ["columns_of", "new_folder", "row_struct", "run_parts", "stored", "table", "thinned", "top_of_label", "unpack_row"]
 
 ROW = "_row"
 
@@ -46,3 +46,19 @@ def unpack_row(df: DataFrame, columns: list[str], added: dict[str, str]) -> Data
 
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def thinned(rows: DataFrame, label: str, id_col: str, most: int, seed: int) -> DataFrame:
+    """About twice ``most`` rows of each label (all, where there are fewer), chosen by hashed id, with ``draw`` in 0 to 1.
+
+    Only counts by label are gathered; the rows stay where they are.
+    """
+    draw = F.xxhash64(F.lit(seed), F.col(id_col)) / F.lit(2.0**64) + 0.5
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_rows"))
+    shares = stored(counts.select("_label", (F.lit(2.0 * most) / F.col("_rows")).alias("_share")), "shares")
+    return rows.withColumn("draw", draw).join(shares, F.col(label) == F.col("_label")).filter("draw < _share").drop("_label", "_share")
+
+
+def top_of_label(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each label, numbered from 1 in ``n``."""
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(label).orderBy(*order))).filter(F.col("n") <= most)

@@ -16,9 +16,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tallywright.llm.common import ROW, row_struct, stored
+from tallywright.llm.common import ROW, row_struct, stored, thinned, top_of_label
 
 ORDER = 4
 BLANK = 32
@@ -235,10 +235,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Two rows of three give the counts, taken language by language in tasks; the third calibrates the score and
     the rejection. Rows with a null text or language are left out. Without any the model rejects everything.
     """
-    key = F.xxhash64(F.lit(7), F.col(id_col))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), key.alias("key"), F.length(text_col).alias("size"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    picked = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "size", "h"))).filter(F.col("n") <= per_language)
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    picked = top_of_label(thinned(rows, "lang", "id", per_language, 7).withColumn("h", F.xxhash64("text")), "lang", ["draw", "h"], per_language)
     sample = stored(picked.select("lang", "n", "text"), "languages")
     counted = sample.filter("n % 3 != 0 OR n < 3").groupBy("lang").applyInArrow(_count_batches, "lang string, grams binary, counts binary")
     tables = {}
