@@ -14,9 +14,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tallywright.llm.common import ROW, row_struct, stored
+from tallywright.llm.common import ROW, row_struct, stored, thinned, top_of_label
 
 
 class Model(NamedTuple):
@@ -80,19 +80,20 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         per_label: int = 1500, dictionary_bytes: int = 64 << 10, piece_bytes: int = 4 << 10, level: int = 3) -> Model:
     """Fit on a bounded sample of labelled rows: the ``per_label`` rows of each label whose hashed id comes first.
 
     Whole texts are used; for the dictionaries they are cut into pieces of ``piece_bytes``. Half of a label's
     rows build its dictionary, the other half the curve. Rows with a null label or text are left out. Without
-    any labelled rows every score is 0.5; with one label only it is that label's side of 0.5.
+    any labelled rows every score is 0.5; with one label only it is that label's side of 0.5. Ids are chosen
+    before texts are read, so no text but the sample's is moved.
     """
-    chosen = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
-    key = F.xxhash64(F.lit(5), F.col("id"))
-    order = W.partitionBy("label").orderBy("key", "size", F.xxhash64("text"))
-    picked = chosen.select("id", "label", key.alias("key"), F.length("text").alias("size"), "text").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label)
+    named = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    present = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"))
+    ids = stored(thinned(named.join(present, "id"), "label", "id", per_label, 5).distinct(), "labelled-ids")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    picked = top_of_label(texts.join(ids, "id").withColumn("h", F.xxhash64("text")), "label", ["draw", "h"], per_label)
     rows = sorted((r.label, r.n, r.text.encode("utf-8", "replace")) for r in stored(picked.select("label", "n", "text"), "labelled").toLocalIterator())
     pieces = {0: [], 1: []}
     for label, n, text in rows:

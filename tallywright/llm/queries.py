@@ -23,8 +23,7 @@ def op2_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored; labels of the held-out fifth are never read."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    known = docs.filter(~held_out).select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id")
-    model = quality.fit(known)
+    model = quality.fit(docs, labels.filter(~held_out))
     scored = quality.score(docs, model, ["doc_id"]).withColumn("doc_id", F.col(ROW)["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
