@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import contamination, language, mixing, near, quality, search, secrets, token_files
+from tallywright.llm import contamination, language, licenses, mixing, near, quality, search, secrets, sentences, token_files
 from tallywright.llm.common import ROW, table
 
 
@@ -34,6 +34,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col(ROW)["doc_id"].alias("doc_id"), F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence; a document is a file of its source's folder."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed")), F.lit(".txt"))
+    found = licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"], F.concat_ws("/", F.coalesce("source", F.lit("unknown")), name))
+    return found.select(F.col(ROW)["doc_id"].alias("doc_id"), "path", "license", "kind", "score")
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages."""
+    cleaned = sentences.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"])
+    return cleaned.select(F.col(ROW)["doc_id"].alias("doc_id"), "text", "n_sentences", F.size("removed").alias("n_removed"), "removed")
+
+
 def op6_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base rules, all spans."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -77,6 +90,8 @@ def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_compression, op3_decontamination, op6_secret_automaton, op7_kneser_ney_language, op8_pivotal_mixing, op9_chosen_path_join, op10_wavelet_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_top_k, op2_quality_compression, op3_decontamination, op4_license_scan, op5_sentence_spans, op6_secret_automaton,
+    op7_kneser_ney_language, op8_pivotal_mixing, op9_chosen_path_join, op10_wavelet_token_files)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
