@@ -27,6 +27,9 @@ UNKNOWN = "und"
 ALPHABET = 1 << 16
 #: Variance of one character's surprise (nats squared), for the entropy's spread in short texts.
 CHARACTER_VARIANCE = 6.0
+#: A language's texts are taken to differ by at least this many nats per character, as a sample of plain texts
+#: does not show lists, names or noise; and a text this many deviations out is not rejected yet.
+LEAST_SPREAD, LEAST_DISTANCE = 0.25, 6.0
 
 
 @cache
@@ -266,18 +269,20 @@ def _calibrated(model: Model, tests: list[tuple[str, str]]) -> Model:
     for i in range(len(model.languages)):
         mine = h[(own == i) & right & (sizes >= 50), i]
         if len(mine):
-            entropy[i] = mine.mean(), max(mine.std(), 0.05)
+            entropy[i] = mine.mean(), max(mine.std(), LEAST_SPREAD)
     far = [distance(entropy, o, h[i, o], n) for i, (o, n) in enumerate(zip(own.tolist(), sizes.tolist())) if right[i]]
     x = np.array([margin(row, n) for row, n in zip(h, sizes.tolist())])
-    x, y = np.stack([np.ones(len(x)), np.minimum(x, 50)], axis=1), right.astype(float)
-    w = np.array([0.0, 0.5])
-    for _ in range(50):
+    x = np.stack([np.ones(len(x)), np.minimum(x, 50)], axis=1)
+    y = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))  # no certainty from a sample
+    w = prior = np.array([0.0, 0.5])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), x.T @ (y - p) - 1e-2 * (w - [0.0, 0.5]))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), x.T @ (y - p) - 0.1 * (w - prior))
+        step = step / max(1.0, np.abs(step).max())
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return model._replace(entropy=entropy, reject=max(8.0, 1.5 * max(far, default=0.0)), margin=(float(w[0]), float(max(w[1], 0.0))))
+    return model._replace(entropy=entropy, reject=max(LEAST_DISTANCE, 1.5 * max(far, default=0.0)), margin=(float(w[0]), float(max(w[1], 0.0))))
 
 
 def _identify_batches(model: Model, most: int = 300_000):
