@@ -65,20 +65,27 @@ def anchors(idf: dict[str, float], threshold: float, templates=TEMPLATES) -> lis
 
 def cosines(tokens: Column, idf: dict[str, float], templates=TEMPLATES) -> Column:
     """Array of (score, name) for a non-empty array of terms, by template."""
-    counted = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), F.size(F.filter(tokens, lambda x: x == t)).cast("double").alias("n")))
     weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
-    norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda a, x: a + F.pow(x["n"] * F.coalesce(weight[x["t"]], F.lit(1.0)), F.lit(2))))
+    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
+
+    def add(state: Column, term: Column) -> Column:
+        """The nth occurrence of a term makes its square grow from (n - 1)^2 to n^2."""
+        run = F.when(state["term"] == term, state["run"] + 1).otherwise(F.lit(1.0))
+        grown = (run * 2 - 1) * F.pow(F.coalesce(weight[term], F.lit(1.0)), F.lit(2))
+        return F.struct(term.alias("term"), run.alias("run"), (state["squares"] + grown).alias("squares"))
+
+    norm = F.sqrt(F.aggregate(F.array_sort(tokens), start, add)["squares"])
     out = []
     for name, text in templates:
         own = template_terms(text)
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
         product = F.create_map(*[F.lit(x) for t, n in sorted(own.items()) for x in (t, n * idf[t] ** 2)])
-        out.append(F.struct(F.round(_dot(counted, product) / norm / length, 6).alias("score"), F.lit(name).alias("name")))
+        out.append(F.struct(F.round(_dot(tokens, product) / norm / length, 6).alias("score"), F.lit(name).alias("name")))
     return F.array(*out)
 
 
-def _dot(counted: Column, product: Column) -> Column:
-    return F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["n"] * F.coalesce(product[x["t"]], F.lit(0.0)))
+def _dot(tokens: Column, product: Column) -> Column:
+    return F.aggregate(tokens, F.lit(0.0), lambda total, term: total + F.coalesce(product[term], F.lit(0.0)))
 
 
 def _best(found: Column) -> Column:
