@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from tallywright.llm.components import components
 SKETCH = 64
 #: Sketches estimate a similarity with a deviation of 0.05 at 0.8; a pair is passed on from here.
 SLACK = 0.3
+#: Tokens hashed at once.
+CHUNK = 4096
 
 
 class WordHashes(dict):
@@ -66,21 +69,20 @@ def runs_needed(boost: float, depth: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - meets))
 
 
-def chosen(tokens: np.ndarray, path: int, limit: float) -> np.ndarray:
-    """Paths one token longer: those of the tokens whose hash for this path lies under the limit."""
-    keys = scramble(tokens ^ scramble(np.array([path], np.uint64)))
-    if limit < 1:
-        keys = keys[keys < np.uint64(int(limit * 2.0**64))]
-    return scramble(keys + np.uint64(1))
+def chosen(tokens: np.ndarray, paths: np.ndarray, limit: float) -> np.ndarray:
+    """Paths one token longer: for each path those of the tokens whose hash for it lies under the limit."""
+    found = []
+    for a in range(0, len(tokens), CHUNK):
+        keys = scramble(tokens[None, a : a + CHUNK] ^ scramble(paths)[:, None]).ravel()
+        found.append(keys if limit >= 1 else keys[keys < np.uint64(int(limit * 2.0**64))])
+    return scramble(np.concatenate(found) + np.uint64(1))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
     """One byte of each of the smallest hashes under ``SKETCH`` orders."""
-    seeds = scramble(np.arange(1, SKETCH + 1, dtype=np.uint64))
-    least = np.empty(SKETCH, np.uint64)
-    for i, seed in enumerate(seeds):
-        least[i] = ((tokens ^ seed) * np.uint64(0x9E3779B97F4A7C15)).min()
-    return (scramble(least) & np.uint64(255)).astype(np.uint8).tobytes()
+    seeds = scramble(np.arange(1, SKETCH + 1, dtype=np.uint64))[:, None]
+    parts = [((tokens[None, a : a + CHUNK] ^ seeds) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1) for a in range(0, len(tokens), CHUNK)]
+    return (scramble(np.minimum.reduce(parts)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -89,7 +91,7 @@ def _signed(x: np.ndarray) -> list[int]:
 
 def _mark_batches(width: int, runs: int, share: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, roots = WordHashes(), np.arange(runs, dtype=np.uint64)
         for batch in batches:
             sids, sizes, picks, marks = [], [], [], []
             for value in batch.column(2):
@@ -97,7 +99,7 @@ def _mark_batches(width: int, runs: int, share: float):
                 n = len(tokens)
                 sids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if n else None)
                 sizes.append(n)
-                picks.append(_signed(np.concatenate([chosen(tokens, r, share / n) for r in range(runs)])) if n else [])
+                picks.append(_signed(chosen(tokens, roots, share / n)) if n else [])
                 marks.append(sketch(tokens) if n else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(picks, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
@@ -122,7 +124,7 @@ def _longer_paths(share: float):
             for a in range(batch.num_rows):
                 sid, data, paths = (c[0] for c in columns_of(batch.slice(a, 1), "sid", "tokens", "paths"))
                 tokens = np.frombuffer(data, np.uint64)
-                found = np.unique(np.concatenate([chosen(tokens, p % (1 << 64), share / len(tokens)) for p in paths]))
+                found = np.unique(chosen(tokens, np.array(paths, np.int64).view(np.uint64), share / len(tokens)))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64), pa.int64()), pa.array([sid] * len(found), pa.int64())], names=["path", "sid"])
 
     return run
@@ -247,8 +249,16 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(counts.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path")).drop("_path")
 
 
+def _tokens_of(rows: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """(sid, tokens) of the named sets, each from one of its documents. Texts of equal hash have equal sets, so a null id may stand for 0."""
+    reps = named.select("sid", F.col("one.h").alias("_h"), F.coalesce("one.id", F.lit(0)).alias("_id"))
+    keyed = rows.filter("h IS NOT NULL").select(F.col("h").alias("k"), F.coalesce("id", F.lit(0)).alias("i"), "text")
+    texts = keyed.join(reps, (F.col("k") == F.col("_h")) & (F.col("i") == F.col("_id"))).dropDuplicates(["k", "i"])
+    return texts.select("sid", "text").mapInArrow(_token_batches(width), "sid bigint, tokens binary")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8,
-         boost: float = 1.6, depth: int = 3, miss: float = 1e-5, bucket: int = 64, block: int = 512) -> DataFrame:
+         boost: float = 1.6, depth: int = 3, miss: float = 1e-5, bucket: int = 1024, block: int = 512) -> DataFrame:
     """(id, h, class_id, n_links) of every row: the smallest id of its group of linked documents, and how many others it is linked to.
 
     Two documents are linked when the Jaccard similarity of their sets of ``width``-word shingles reaches the
@@ -265,32 +275,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("least_id"), F.min(F.struct("h", "id")).alias("one"),
         F.first("n").alias("n"), F.first("picks").alias("picks"), F.first("sketch").alias("sketch")), "sets")
 
-    first = stored(_several(sets.select(F.explode("picks").alias("path"), "sid")), "buckets")
-    wanted = first.select("sid").distinct().withColumnRenamed("sid", "_sid")
-    source = stored(sets.join(wanted, F.col("sid") == F.col("_sid")).select("sid", "n", "copies", "sketch", "one"), "candidates")
-    reps = source.select("sid", F.col("one.h").alias("_h"), F.col("one.id").alias("_id"))
-    texts = rows.join(reps, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))).select("sid", "text")
-    tokens = stored(texts.mapInArrow(_token_batches(width), "sid bigint, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
-
-    level, edges = first, None
+    level, edges, tokens = stored(_several(sets.select(F.explode("picks").alias("path"), "sid")), "buckets-1"), [], None
     for step in range(1, depth + 1):
         small = level.filter(F.col("in_bucket") <= bucket).select("path", "sid").join(
-            source.select(F.col("sid").alias("_sid"), "n", "sketch"), F.col("sid") == F.col("_sid")).drop("_sid")
-        compared = small.repartition("path").sortWithinPartitions("path", "sid").mapInArrow(_bucket_batches(threshold), "a bigint, b bigint")
-        edges = compared if edges is None else edges.unionByName(compared)
+            sets.select(F.col("sid").alias("_sid"), "n", "sketch"), F.col("sid") == F.col("_sid")).drop("_sid")
+        edges.append(stored(small.repartition("path").sortWithinPartitions("path", "sid").mapInArrow(_bucket_batches(threshold), "a bigint, b bigint").distinct(), "alike"))
         large = level.filter(F.col("in_bucket") > bucket)
+        if tokens is None:  # of all sets that can come into a group
+            wanted = edges[0].select(F.col("a").alias("_sid")).unionByName(edges[0].select(F.col("b").alias("_sid"))).unionByName(large.select(F.col("sid").alias("_sid"))).distinct()
+            tokens = stored(_tokens_of(rows, sets.join(wanted, F.col("sid") == F.col("_sid")).select("sid", "one"), width), "tokens")
         if step == depth:
-            heads = large.groupBy("path").agg(F.min("sid").alias("b"))
-            edges = edges.unionByName(large.join(heads.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path")).select(F.col("sid").alias("a"), "b"))
+            heads = large.groupBy(F.col("path").alias("_path")).agg(F.min("sid").alias("b"))
+            edges.append(large.join(heads, F.col("path") == F.col("_path")).select(F.col("sid").alias("a"), "b"))
             break
         held = large.groupBy("sid").agg(F.collect_list("path").alias("paths"))  # as many as a set has paths, a bounded number
         longer = held.join(tokens.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid")).select("sid", "tokens", "paths").mapInArrow(
             _longer_paths(share), "path bigint, sid bigint")
         level = stored(_several(longer), f"buckets-{step + 1}")
 
-    groups = stored(components(edges), "groups")
+    groups = stored(components(reduce(DataFrame.unionByName, edges)), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_size")).select(F.col("root").alias("_root"), F.ceil(F.col("_size") / block).cast("int").alias("blocks"))
-    placed = groups.join(sizes, F.col("root") == F.col("_root")).join(source.select("sid", "copies"), F.col("node") == F.col("sid")).select(
+    placed = groups.join(sizes, F.col("root") == F.col("_root")).join(sets.select("sid", "copies"), F.col("node") == F.col("sid")).select(
         "root", "blocks", "sid", "copies", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = placed.select("*", other).select("root", "sid", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
