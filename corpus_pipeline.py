@@ -22,10 +22,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row that repeats another's id and text goes too. Documents without an id go where one with an id is in
     their group; a group without any id keeps one document of each text.
     """
-    kept = near.join(docs).filter(F.col("id").eqNullSafe(F.col("class_id"))).select("id", F.col("h").alias("_h")).distinct()
+    kept = near.join(docs).filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_kept_id"), F.col("h").alias("_kept_hash")).distinct()
     h = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
     marked = docs.withColumn("_text_hash", h)
-    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("_text_hash").eqNullSafe(F.col("_h")), "left_semi")
+    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & F.col("_text_hash").eqNullSafe(F.col("_kept_hash")), "left_semi")
     return joined.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallywright.functions.tables import planned_bytes, session_bytes, shared_folder, stored
 
-__all__ = ["columns_of", "new_folder", "row_struct", "run_parts", "stored", "table", "thinned", "top_of_label", "unpack_row"]
+__all__ = ["columns_of", "new_folder", "row_struct", "run_parts", "stored", "table", "thinned", "top_of_label", "unpack_row", "with_text"]
 
 ROW = "_row"
+#: The optimizer writes sizes it can't tell (tables in memory, results of Python) as numbers of this order.
+UNKNOWN_SIZE = 1 << 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,7 @@ def run_parts(df: DataFrame, part_bytes: int = 64 << 20) -> int:
     """Number of partitions for rows that carry their text: at least the session's, more for larger input."""
     spark = df.sparkSession
     size = planned_bytes(df) or 0
+    size = size if size < UNKNOWN_SIZE else 0
     unit = min(part_bytes, session_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / unit))
 
@@ -38,6 +41,11 @@ def row_struct(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))
 
 
+def with_text(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """Columns ``keep`` packed into one, and the text as ``data``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias(ROW), F.col(f"`{text_col}`").alias("data"))
+
+
 def unpack_row(df: DataFrame, columns: list[str], added: dict[str, str]) -> DataFrame:
     """The packed columns again, and ``added`` columns (name of the result: column here) beside them."""
     taken = {c: F.col(ROW)[c].alias(c) for c in columns if c not in added}

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywright.llm.common import ROW, row_struct, stored
+from tallywright.llm.common import ROW, stored, with_text
 from tallywright.llm.language import HashArray
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -247,8 +247,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str
     equal results; repeated items count once each by id. Empty tables give no leaks. Each block of items is one
     pass over the documents; nothing is shuffled.
     """
-    found = row_struct(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))).select(
-        F.struct(*[F.col(ROW)[c].alias(c) for c in keep]).alias(ROW), F.col(ROW)["__text"].alias("data"), F.expr("array()").cast(LEAK).alias("leaks"))
+    found = with_text(docs, keep, text_col).withColumn("leaks", F.expr("array()").cast(LEAK))
     inner = found.schema[ROW].dataType.simpleString()
     for block in item_blocks(items, block_chars=block_chars):
         found = found.mapInArrow(_find_batches(block, q, error_rate, clean_only), f"{ROW} {inner}, data string, leaks {LEAK}")

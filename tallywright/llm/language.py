@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywright.llm.common import ROW, row_struct, stored, thinned, top_of_label
+from tallywright.llm.common import ROW, stored, thinned, top_of_label, with_text
 
 ORDER = 4
 BLANK = 32
@@ -311,7 +311,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     Null and empty texts and texts without a letter are ``und`` with score 0 and rejected. Ties go to the first
     language by name. Equal texts get equal results; an empty table gives an empty result.
     """
-    packed = row_struct(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))).select(
-        F.struct(*[F.col(ROW)[c].alias(c) for c in keep]).alias(ROW), F.col(ROW)["__text"].alias("data"))
+    packed = with_text(docs, keep, text_col)
     inner = packed.schema[ROW].dataType.simpleString()
     return packed.mapInArrow(_identify_batches(model), f"{ROW} {inner}, lang_pred string, score double, rejected boolean, entropy double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tallywright.llm.common import ROW, row_struct, stored, thinned, top_of_label
+from tallywright.llm.common import ROW, stored, thinned, top_of_label, with_text
 
 
 class Model(NamedTuple):
@@ -124,7 +124,6 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     Null and empty texts get the score of an empty text. Equal texts get equal scores. Labels, ids and other
     columns play no part. An empty table gives an empty result.
     """
-    packed = row_struct(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))).select(
-        F.struct(*[F.col(ROW)[c].alias(c) for c in keep]).alias(ROW), F.col(ROW)["__text"].cast("binary").alias("data"))
+    packed = with_text(docs, keep, text_col).withColumn("data", F.col("data").cast("binary"))
     inner = packed.schema[ROW].dataType.simpleString()
     return packed.mapInArrow(_score_batches(model), f"{ROW} {inner}, difference double, score double")

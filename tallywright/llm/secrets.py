@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallywright.llm.automaton import Automaton
-from tallywright.llm.common import ROW, row_struct
+from tallywright.llm.common import ROW, with_text
 
 
 class Rule(NamedTuple):
@@ -137,8 +137,7 @@ def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", rules
     Null and empty texts have no spans; texts of any length are read whole; equal rows give equal results; an
     empty table gives an empty result. Only the text and ``keep`` leave the scan, so further columns don't matter.
     """
-    packed = row_struct(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))).select(
-        F.struct(*[F.col(ROW)[c].alias(c) for c in keep]).alias(ROW), F.col(ROW)["__text"].cast("binary").alias("data"))
+    packed = with_text(docs, keep, text_col).withColumn("data", F.col("data").cast("binary"))
     inner = packed.schema[ROW].dataType.simpleString()
     return packed.mapInArrow(_scan_batches(tuple(rules)), f"{ROW} {inner}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
