@@ -163,11 +163,11 @@ _add("R01_filter_results",
      lambda s, d: R.filter_results(results(s, d), to_investigate=True, account="C2", minimum_score=5),
      f"SELECT {_RESULT_SQL} FROM scored WHERE to_investigate AND account = 'C2' AND risk_score >= 5", "scored")
 _add("R02_page_results",
-     lambda s, d: R.page_results(results(s, d).filter("engagement_id = 'E0'"), page=2, size=50),
-     f"SELECT {_RESULT_SQL} FROM scored WHERE engagement_id = 'E0' ORDER BY risk_score DESC, load_order LIMIT 50 OFFSET 50",
+     lambda s, d: R.page_results(results(s, d), page=2, size=50),
+     f"SELECT {_RESULT_SQL} FROM scored ORDER BY risk_score DESC, load_order LIMIT 50 OFFSET 50",
      "scored")
-_add("R02_page_totals", lambda s, d: R.page_totals(results(s, d).filter("engagement_id = 'E0'"), size=50),
-     "SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM scored WHERE engagement_id = 'E0'", "scored")
+_add("R02_page_totals", lambda s, d: R.page_totals(results(s, d), size=50),
+     "SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM scored", "scored")
 _JOURNAL_TEXT = ["engagement_id", "load_order", "description", "user_name", "account"]
 _add("R03_table_search", lambda s, d: R.table_search(journal(s, d).select(*_JOURNAL_TEXT), "U7"), """
 SELECT engagement_id, load_order, description, user_name, account FROM journal
@@ -216,8 +216,7 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     engagements = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("N"), "n_nationkey").alias("engagement_id"),
         (F.col("n_nationkey") % 4 != 0).alias("has_parameters"))
-    some = sources(spark, sf_dir).filter("engagement_id NOT IN ('N3', 'N8')")
-    return R.analysis_readiness(engagements, some)
+    return R.analysis_readiness(engagements, sources(spark, sf_dir))
 
 
 _add("R07_analysis_readiness", readiness, """
@@ -234,7 +233,7 @@ SELECT *, blockers = '' AS ready FROM (
    count(*) FILTER (WHERE active AND state = 'errore') AS sources_in_error,
    count(*) FILTER (WHERE active AND state = 'caricata' AND file_format = 'txt') AS sources_without_profile,
    count(*) FILTER (WHERE active AND state = 'caricata' AND file_format = 'xlsx') AS sources_without_mapping
-  FROM nation LEFT JOIN (SELECT * FROM sources WHERE engagement_id NOT IN ('N3', 'N8')) s
+  FROM nation LEFT JOIN sources s
    ON s.engagement_id = concat('N', CAST(n_nationkey AS VARCHAR)) GROUP BY 1, 2) t) u""", "sources")
 
 # --- event rate ----------------------------------------------------------------------------------

@@ -112,7 +112,7 @@ SELECT concat('F', CAST(o_orderkey AS STRING)) AS finding_id, concat('C', CAST(o
  CASE o_orderstatus WHEN 'F' THEN 'sistemato' WHEN 'O' THEN 'aperto' ELSE 'in_corso' END AS status, 'P0' AS first_raised_engagement, 'T0' AS first_raised_period,
  CASE WHEN o_orderkey % 4 = 3 THEN concat('F', CAST(o_orderkey - 1 AS STRING)) END AS previous_id, CAST(NULL AS STRING) AS resolved_in FROM {base}""")
 define_shared("new_periods", "customer", """
-SELECT concat('C', CAST(c_custkey AS STRING)) AS client, concat('P', CAST(c_custkey % 4 AS STRING)) AS engagement_id, 'T9' AS period FROM {base} WHERE c_custkey % 2 = 0""")
+SELECT concat('C', CAST(c_custkey AS STRING)) AS client, concat('P', CAST(c_custkey % 4 AS STRING)) AS engagement_id, 'T9' AS period FROM {base}""")
 _add("V06_open_findings", lambda s, d: V.open_findings(shared(s, d, "findings")), "SELECT * FROM findings WHERE status <> 'sistemato'", "findings")
 _CARRY = """
 SELECT left(sha1(concat(n.engagement_id, ':', f.finding_id)), 12) AS finding_id, f.client, n.engagement_id, n.period, f.section, f.check_no, f.kind, f.description,
