@@ -288,7 +288,7 @@ def _narrative_line(line: Column) -> Column:
     return F.regexp_replace(line, r"^[ -]+|[ -]+$", "")
 
 
-def ledger_description(c: Column, width: int = 80) -> Column:
+def ledger_description(c: Column, width: int | None = None) -> Column:
     sub_account = _squeeze(
         F.regexp_extract(c, r"(?im)Sottoconto\s+\S+\s+(.+?)(?:\s{2,}Elaborazione|\s*$)", 1)
     )
@@ -306,7 +306,7 @@ def ledger_description(c: Column, width: int = 80) -> Column:
         lambda s: (F.length(s) >= 4) & ~s.startswith("-") & ~s.rlike(LEDGER_TAIL_NOISE) & s.rlike(WORD),
     )
     described = F.coalesce(F.nullif(joined, F.lit("")), _squeeze(_last(tail)), F.lit(""))
-    return F.left(described, F.lit(width))
+    return described if width is None else F.left(described, F.lit(width))
 
 
 def ledger_closing(c: Column) -> Column:

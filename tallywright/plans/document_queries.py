@@ -154,12 +154,18 @@ _text_query("F21_last_print_page", lambda: [F.md5(T.last_print_page(_text())).al
 
 def ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     closing = T.ledger_closing(T.last_print_page(_text())).alias("c")
-    return files(spark, sf_dir).filter("load_order % 5 = 2").select("load_order", closing).select("load_order", "c.*")
-
-
-_add("F22_ledger_closing", ledger_pages, """
-SELECT load_order, CAST(load_order % 300 + 1 AS INT) AS page, '30/06/26' AS closing_date, 'PLUSV. SU PARTECIP. — Rilevazione costi' AS description
-FROM document_files WHERE load_order % 5 = 2""", "document_files")
+    return files(spark, sf_dir).select("load_order", closing).select("load_order", "c.*")
+
+
+define("closings", rf"""
+SELECT load_order, TRY_CAST(regexp_extract_all(text, '(?i)Pagina\s+([0-9]+)', 1)[-1] AS INT) AS page,
+ coalesce(regexp_extract_all(text, '(?i)Progr\.e saldo al\s+([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}})', 1)[-1], regexp_extract_all(text, '{_DATES}', 1)[-1]) AS closing_date,
+ CASE WHEN contains(text, 'Sottoconto') THEN concat(trim(regexp_extract(text, 'Sottoconto\s+[^\s]+\s+([^\n]+?)\s\s+Elaborazione', 1)), ' — ',
+   trim(regexp_extract(text, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}}\s+[0-9]+ ([A-Za-z ]+) [0-9.]+,[0-9]{{2}}\n   Progr', 1)))
+ ELSE coalesce(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(9))), lambda s: length(s) >= 4 AND NOT starts_with(s, '-')
+   AND regexp_matches(s, '[A-Za-zÀ-ÿ]{{4,}}') AND NOT regexp_matches(s, '(?i)FINE STAMPA|Saldi preced|Progr\.e saldo|Pagina\s+[0-9]+|Elaborazione'))[-1], '\s+', ' ', 'g'), '') END AS description
+FROM document_files""", "document_files")
+_add("F22_ledger_closing", ledger_pages, "SELECT * FROM closings", "closings")
 _text_query("F23_normalise_path", lambda: [T.normalise_path(F.concat(F.lit(".././a//"), F.lit("b\\..\\"), "rel_path", F.lit("/"))).alias("path")],
             "concat('a/', rel_path) AS path")
 _text_query("F24_document_key", lambda: [T.document_key(F.col("engagement_id"), F.col("rel_path")).alias("document_id")],
@@ -270,7 +276,7 @@ SELECT engagement_id, load_order, coalesce(x.item_id, u.item_id) AS item_id,
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    return table(spark, sf_dir, "labels").filter(key % 2 == 0).select(
+    return table(spark, sf_dir, "labels").select(
         key.alias("load_order"),
         F.when(key % 6 == 0, "").when(key % 6 == 2, "A.1").alias("item_id"),
         F.when(key % 10 == 0, True).alias("skip"),
@@ -279,7 +285,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 define("patches", """
 SELECT doc_id AS load_order, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 2 THEN 'A.1' END AS item_id,
- CASE WHEN doc_id % 10 = 0 THEN true END AS skip FROM labels WHERE doc_id % 2 = 0""")
+ CASE WHEN doc_id % 10 = 0 THEN true END AS skip FROM labels""")
 define("assigned", """
 SELECT c.engagement_id, c.load_order, c.name, c.rel_path, c.text, c.excerpt, c.period, CASE WHEN p.item_id IS NOT NULL THEN nullif(p.item_id, '') ELSE c.item_id END AS item_id,
  CASE WHEN p.item_id IS NOT NULL THEN 1 ELSE c.confidence END AS confidence, CASE WHEN p.item_id IS NOT NULL THEN 'umano' ELSE c.method END AS method,

@@ -157,23 +157,23 @@ SELECT engagement_id, load_order, row_label, CASE WHEN q = 1 THEN '✓' END AS q
 
 
 def closing_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books whose ledgers end with the closing page of document kind 2."""
-    rows = files(spark, sf_dir)
-    return rows.filter("item_id IN ('D.3', 'G.1') OR (item_id IN ('B.4', 'D.1') AND load_order % 5 = 2)")
+    """Books; those of document kind 2 end with a closing page."""
+    return files(spark, sf_dir).filter("item_id IN ('D.3', 'G.1', 'B.4', 'D.1')")
 
 
 define("ranked", """
 SELECT *, CASE WHEN item_id = 'B.4' AND NOT contains(lower(name), 'mastrini') THEN 1 WHEN item_id = 'D.1' AND NOT contains(lower(rel_path), 'libri fiscali') THEN 1 ELSE 0 END AS pref,
  CASE WHEN item_id IN ('B.4', 'D.1') THEN name ELSE '' END AS by_name FROM item_files
-WHERE item_id IN ('D.3', 'G.1') OR (item_id IN ('B.4', 'D.1') AND load_order % 5 = 2)""", "item_files")
+WHERE item_id IN ('D.3', 'G.1', 'B.4', 'D.1')""", "item_files")
 _add("B10_books_update", lambda s, d: B.books_update(closing_books(s, d)), """
 SELECT b.engagement_id, b.item_id, left(array_to_string(names, ', '), 240) AS names,
- CASE WHEN b.item_id IN ('B.4', 'D.1') THEN DATE '2026-06-30' END AS last_date, CASE WHEN b.item_id IN ('B.4', 'D.1') THEN CAST(first_doc % 300 + 1 AS INT) END AS last_page,
- CASE WHEN b.item_id IN ('B.4', 'D.1') THEN 'PLUSV. SU PARTECIP. — Rilevazione costi' END AS description,
+ CASE WHEN b.item_id IN ('B.4', 'D.1') THEN CAST(CASE WHEN length(closing_date) = 8 THEN try_strptime(closing_date, '%d/%m/%y') ELSE try_strptime(translate(closing_date, '.-', '//'), '%d/%m/%Y') END AS DATE) END AS last_date,
+ CASE WHEN b.item_id IN ('B.4', 'D.1') THEN page END AS last_page,
+ CASE WHEN b.item_id IN ('B.4', 'D.1') THEN nullif(description, '') END AS description,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN 'ultima pagina (chiusura stampa)' ELSE concat(n, ' file in cartella') END AS note FROM (
  SELECT engagement_id, item_id, count(*) AS n, (array_agg(load_order ORDER BY pref, by_name, load_order))[1] AS first_doc FROM ranked GROUP BY 1, 2) b JOIN (
  SELECT engagement_id, item_id, array_agg(name ORDER BY o) AS names FROM (
-  SELECT engagement_id, item_id, name, min(struct_pack(pref, by_name, load_order)) AS o FROM ranked GROUP BY 1, 2, 3) x GROUP BY 1, 2) l USING (engagement_id, item_id)""", "ranked")
+  SELECT engagement_id, item_id, name, min(struct_pack(pref, by_name, load_order)) AS o FROM ranked GROUP BY 1, 2, 3) x GROUP BY 1, 2) l USING (engagement_id, item_id) JOIN closings ON closings.load_order = first_doc""", "ranked", "closings")
 _add("B11_minutes_register", lambda s, d: B.minutes_register(files(s, d)), f"""
 SELECT engagement_id, item_id, name, CASE WHEN item_id <> 'C.3' THEN CASE WHEN regexp_matches(name, '20[0-9]{{6}}') THEN CAST(strptime(regexp_extract(name, '20[0-9]{{6}}'), '%Y%m%d') AS DATE)
   ELSE {_TOKEN_DATE.replace('{x}', f"(regexp_extract_all(text, '{Q._DATES}', 1)[-1])")} END END AS meeting_date,
