@@ -12,20 +12,27 @@ LEVEL_WIDTHS = (10**18, 10**12, 10**6)
 DEFAULT_MAX_GAP = 10_000
 
 
+def _significant(number: str):
+    """Digits of an all-digit number without leading zeros, else NULL."""
+    text = strip(F.col(number))
+    return F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=.)", ""))
+
+
+def unreadable_numbers(rows: DataFrame, number: str = "document_number") -> DataFrame:
+    """Rows whose all-digit number is too long to be compared with others."""
+    return rows.filter(F.length(_significant(number)) > 38)
+
+
 def numbering_gaps(rows: DataFrame, number: str = "document_number") -> DataFrame:
     """(engagement, previous, following, missing) for every gap between all-digit numbers.
 
     Copies collapse before any ordering; the distinct numbers are compared inside number ranges of
-    a million and then range by range, so no engagement is sorted in one task. A number of more
-    than 38 significant digits stops the job instead of being lost.
+    a million and then range by range, so no engagement is sorted in one task. Numbers of more than 38
+    significant digits can't be compared; ``unreadable_numbers`` lists them.
     """
-    text = strip(F.col(number))
-    digits = rows.filter(text.rlike("^[0-9]+$")).select("engagement_id", text.alias("text"))
-    significant = F.regexp_replace("text", "^0+(?=.)", "")
-    parsed = F.when(
-        F.length(significant) > 38, F.raise_error(F.concat(F.lit("number too long: "), "text")).cast(NUMBER)
-    ).otherwise(significant.try_cast(NUMBER))
-    numbers = digits.select("engagement_id", parsed.alias("number")).distinct()
+    significant = _significant(number)
+    readable = rows.filter(F.length(significant) <= 38)
+    numbers = readable.select("engagement_id", significant.try_cast(NUMBER).alias("number")).distinct()
     levels = {f"_level{i}": number_bucket(F.col("number"), width).cast(NUMBER) for i, width in enumerate(LEVEL_WIDTHS)}
     pairs = adjacent_pairs(numbers.withColumns(levels), ["engagement_id"], list(levels), ["number"], [])
     gap = F.col("next.number") - F.col("prev.number") - 1

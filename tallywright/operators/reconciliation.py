@@ -84,10 +84,10 @@ def statement_points(name: Column, month: Column) -> Column:
     )
 
 
-def pick_statements(documents: DataFrame, rows: int = 17) -> DataFrame:
-    """One statement per bank and account, best name first, as many as the work paper has rows.
+def pick_statements(documents: DataFrame, rows: int | None = None) -> DataFrame:
+    """One statement per bank and account, best name first, numbered in ``row_no``; only the first ``rows`` where given.
 
-    The best per key is an aggregate, the best per engagement a top-n, so no group is gathered.
+    The best per key is an aggregate, so the numbering sees one row per bank account of an engagement.
     """
     month = F.coalesce(T.last_month(F.col("period")), F.lit(6))
     scored = documents.filter(F.col("item_id") == "F.1").withColumns(
@@ -98,7 +98,13 @@ def pick_statements(documents: DataFrame, rows: int = 17) -> DataFrame:
     best = scored.groupBy(ENGAGEMENT, "bank_key").agg(F.min_by(F.struct(*rest), rank).alias("d")).select(
         ENGAGEMENT, "bank_key", "d.*"
     )
-    return first_n(best, [ENGAGEMENT], [F.desc("points"), F.col("load_order")], rows, "row_no")
+    return _ranked(best, [ENGAGEMENT], [F.desc("points"), F.col("load_order")], rows, "row_no")
+
+
+def _ranked(df: DataFrame, keys: list[str], order: list[Column], most: int | None, name: str) -> DataFrame:
+    if most is not None:
+        return first_n(df, keys, order, most, name)
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
 def _statement_rows(statements: DataFrame) -> DataFrame:
@@ -178,8 +184,8 @@ def balance_variation(accounts: DataFrame) -> DataFrame:
     )
 
 
-def tax_payment_slots(documents: DataFrame, slots: int = 6) -> DataFrame:
-    """Tax receipts in the months of the period, with date, amount and protocol per month.
+def tax_payment_slots(documents: DataFrame, slots: int | None = None) -> DataFrame:
+    """Tax receipts in the months of the period (the first ``slots`` where given), with date, amount and protocol per month.
 
     A receipt takes the first month that its name, a month word or a date names; otherwise its own
     place in load order while that is a month of the period. Later receipts overwrite field by field.
@@ -189,7 +195,7 @@ def tax_payment_slots(documents: DataFrame, slots: int = 6) -> DataFrame:
     stamp = F.contains(F.lower("name"), F.lit("bollo"))
     others = receipts.groupBy(ENGAGEMENT).agg(F.bool_or(~stamp).alias("_others"))
     used = receipts.join(others, ENGAGEMENT).filter(~stamp | ~F.col("_others")).drop("_others")
-    early = first_n(used.select(ENGAGEMENT, "load_order"), [ENGAGEMENT], [F.col("load_order")], slots, "_place")
+    early = _ranked(used.select(ENGAGEMENT, "load_order"), [ENGAGEMENT], [F.col("load_order")], slots, "_place")
     placed = used.join(early, [ENGAGEMENT, "load_order"], "left")
 
     name, text = F.col("name"), F.coalesce("text", F.lit(""))
@@ -197,7 +203,7 @@ def tax_payment_slots(documents: DataFrame, slots: int = 6) -> DataFrame:
     words = F.array(*[F.lit(m) for m in MONTHS])
     placed = placed.withColumns(
         {
-            "_months": F.slice(T.period_months(F.col("period")), 1, slots),
+            "_months": T.period_months(F.col("period")) if slots is None else F.slice(T.period_months(F.col("period")), 1, slots),
             "_name_month": T.month_in_name(name),
             "_date_months": F.transform(T.find_dates(text), lambda d: F.month(T.read_date(d))),
             "_blob": blob,
@@ -233,7 +239,7 @@ def fund_quarter_slots(documents: DataFrame) -> DataFrame:
     blob = F.lower(F.concat_ws(" ", "name", "excerpt"))
     stem = F.regexp_replace(F.regexp_replace("name", r"\.[^.]*$", ""), "(?i)pdf$", "")
     funds = documents.filter(F.col("item_id") == "E.2").select(
-        ENGAGEMENT, "load_order", F.left(stem, F.lit(40)).alias("row_label"),
+        ENGAGEMENT, "load_order", stem.alias("row_label"),
         F.coalesce(T.quarter_in_name(blob), quarter).alias("quarter"),
     )
     vat = documents.filter(F.col("item_id").isin("E.3", "E.4")).groupBy(ENGAGEMENT, "item_id").agg(
@@ -260,8 +266,8 @@ def _first_document(documents: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def books_update(documents: DataFrame, width: int = 240) -> DataFrame:
-    """Per statutory book: file names, and last page, date and description, or the number of files."""
+def books_update(documents: DataFrame, width: int | None = None) -> DataFrame:
+    """Per statutory book: file names (cut to ``width`` characters where given), and last page, date and description, or the number of files."""
     books = documents.filter(F.col("item_id").isin("D.1", "B.4", "D.3", "G.1"))
     item = F.col("item_id")
     preferred = (
@@ -274,7 +280,7 @@ def books_update(documents: DataFrame, width: int = 240) -> DataFrame:
     # Every name adds at least three characters, so a third of the width is all that can be shown.
     order = F.struct(preferred.alias("a"), by_name.alias("b"), F.col("load_order").alias("c"))
     names = books.groupBy(ENGAGEMENT, "item_id", "name").agg(F.min(order).alias("o"))
-    top = first_n(names, [ENGAGEMENT, "item_id"], [F.col("o")], width // 3 + 1)
+    top = _ranked(names, [ENGAGEMENT, "item_id"], [F.col("o")], None if width is None else width // 3 + 1, "rank_no")
     listed = top.groupBy(ENGAGEMENT, "item_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank_no", "name"))), lambda x: x["name"]), ", ").alias("names")
     )
@@ -284,7 +290,7 @@ def books_update(documents: DataFrame, width: int = 240) -> DataFrame:
     page = F.coalesce(T.ledger_page(page_text), _page_in(F.col("name"), page_text))
     note = F.when(read, "ultima pagina (chiusura stampa)").otherwise(F.concat("files", F.lit(" file in cartella")))
     return rows.select(
-        ENGAGEMENT, "item_id", F.left("names", F.lit(width)).alias("names"),
+        ENGAGEMENT, "item_id", (F.col("names") if width is None else F.left("names", F.lit(width))).alias("names"),
         F.when(read, T.read_date(T.ledger_date(page_text))).alias("last_date"),
         F.when(read, page).alias("last_page"),
         F.when(read, F.nullif(T.ledger_description(page_text), F.lit(""))).alias("description"),
@@ -309,12 +315,13 @@ def minutes_register(documents: DataFrame) -> DataFrame:
     )
 
 
-def provenance(rows: DataFrame, fields: dict[str, str], keys: list[str]) -> DataFrame:
+def provenance(rows: DataFrame, fields: dict[str, str], keys: list[str], excerpt_width: int | None = None) -> DataFrame:
     """One lineage row per filled output value.
 
     ``fields`` maps value columns to checklist items; ``rows`` carries source_path, source_name,
-    method, confidence, excerpt and human.
+    method, confidence, excerpt (cut to ``excerpt_width`` where given) and human.
     """
+    excerpt = F.col("excerpt") if excerpt_width is None else F.left("excerpt", F.lit(excerpt_width))
     values = F.array(
         *[
             F.struct(F.lit(name).alias("field"), F.lit(item).alias("item_id"), F.col(name).cast("string").alias("value"))
@@ -325,5 +332,5 @@ def provenance(rows: DataFrame, fields: dict[str, str], keys: list[str]) -> Data
     long = rows.select(*keys, *lineage, F.explode(values).alias("v")).filter("v.value IS NOT NULL")
     return long.select(
         *keys, "v.field", "v.item_id", "v.value", "source_path", "source_name", "method", "confidence",
-        F.left("excerpt", F.lit(400)).alias("excerpt"), "human",
+        excerpt.alias("excerpt"), "human",
     )

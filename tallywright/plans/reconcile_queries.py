@@ -57,13 +57,13 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY engagement_id ORDER BY
    + CASE WHEN m = 6 AND regexp_matches(n, 'aprile|maggio|apr-|may-|apr26|mag26') THEN -8 ELSE 0 END
    + CASE WHEN contains(n, 'scalar') THEN -4 ELSE 0 END + CASE WHEN regexp_matches(n, 'ecommerce|e commerce|e-commerce') THEN 1 ELSE 0 END AS points
   FROM (SELECT *, lower(name) AS n, CASE load_order % 3 WHEN 0 THEN 6 WHEN 1 THEN 9 ELSE 12 END AS m FROM item_files WHERE item_id = 'F.1') f) a
- WHERE points >= 0) b WHERE best = 1) c WHERE row_no <= {rows}""".replace("{key}", f"""coalesce(list_filter({Q._ALIASES}, lambda a: contains(lower(name), a))[1] || ':' ||
+ WHERE points >= 0) b WHERE best = 1) c""".replace("{key}", f"""coalesce(list_filter({Q._ALIASES}, lambda a: contains(lower(name), a))[1] || ':' ||
  coalesce(nullif(regexp_extract(lower(name), 'cc[_\\s-]*([0-9]+)', 1), ''), CASE WHEN contains(lower(name), 'usd') THEN 'usd'
-  WHEN regexp_matches(lower(name), 'ecomm|e comm|e-comm') THEN 'ecom' ELSE 'cc' END), lower(name))""").replace("{rows}", "4"), "item_files")
+  WHEN regexp_matches(lower(name), 'ecomm|e comm|e-comm') THEN 'ecom' ELSE 'cc' END), lower(name))"""), "item_files")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.pick_statements(files(spark, sf_dir), rows=4)
+    return B.pick_statements(files(spark, sf_dir))
 
 
 _add("B02_pick_statements", lambda s, d: statements(s, d).select("engagement_id", "bank_key", "load_order", "name", "points", "row_no"),
@@ -150,7 +150,7 @@ _add("B08_tax_payment_slots", lambda s, d: B.tax_payment_slots(files(s, d)),
      "SELECT engagement_id, slot, year, CAST(month AS INT) AS month, receipts, paid_on, amount, protocol FROM tax_slots", "tax_slots")
 _add("B09_fund_quarter_slots", lambda s, d: B.fund_quarter_slots(files(s, d)), f"""
 SELECT engagement_id, load_order, row_label, CASE WHEN q = 1 THEN '✓' END AS q1, CASE WHEN q = 2 THEN '✓' END AS q2, CASE WHEN q = 3 THEN '✓' END AS q3, CASE WHEN q = 4 THEN '✓' END AS q4 FROM (
- SELECT engagement_id, load_order, left(regexp_replace(name, '\\.[^.]*$', ''), 40) AS row_label,
+ SELECT engagement_id, load_order, regexp_replace(name, '\\.[^.]*$', '') AS row_label,
   coalesce({Q._QUARTER.format(n="lower(concat(name, ' ', excerpt))")}, CASE load_order % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) AS q FROM item_files WHERE item_id = 'E.2'
  UNION ALL SELECT engagement_id, min(load_order), CASE item_id WHEN 'E.3' THEN 'LIPE' ELSE 'IVA annuale' END, CASE min(load_order) % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END
  FROM item_files WHERE item_id IN ('E.3', 'E.4') GROUP BY engagement_id, item_id) t""", "item_files")
@@ -166,7 +166,7 @@ SELECT *, CASE WHEN item_id = 'B.4' AND NOT contains(lower(name), 'mastrini') TH
  CASE WHEN item_id IN ('B.4', 'D.1') THEN name ELSE '' END AS by_name FROM item_files
 WHERE item_id IN ('D.3', 'G.1', 'B.4', 'D.1')""", "item_files")
 _add("B10_books_update", lambda s, d: B.books_update(closing_books(s, d)), """
-SELECT b.engagement_id, b.item_id, left(array_to_string(names, ', '), 240) AS names,
+SELECT b.engagement_id, b.item_id, array_to_string(names, ', ') AS names,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN CAST(CASE WHEN length(closing_date) = 8 THEN try_strptime(closing_date, '%d/%m/%y') ELSE try_strptime(translate(closing_date, '.-', '//'), '%d/%m/%Y') END AS DATE) END AS last_date,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN page END AS last_page,
  CASE WHEN b.item_id IN ('B.4', 'D.1') THEN nullif(description, '') END AS description,

@@ -9,12 +9,20 @@ from tallywright.functions.parsing import amount_text, strip, text_or_null
 
 
 def delimited_cells(lines: DataFrame, width: int, sep: str = ";") -> DataFrame:
-    """Cells of every line as an array, without a byte-order mark."""
+    """Cells of every line as an array of at least ``width``, without a byte-order mark.
+
+    Cells beyond ``width`` follow as they are found, so a ragged line shows more cells than its header.
+    """
     clean = F.regexp_replace("value", "^\uFEFF", "")
     schema = ", ".join(f"c{i} string" for i in range(width))
     parsed = F.from_csv(clean, schema, {"sep": sep})
-    return lines.select("source_id", "line_number", parsed.alias("_row")).select(
-        "source_id", "line_number", F.array(*[F.col(f"_row.c{i}") for i in range(width)]).alias("cells")
+    first = F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    mark = "\\" + sep
+    quoted = '"(?:[^"]|"")*"'
+    further = F.slice(F.regexp_extract_all("_line", F.lit(f"(?:^|{mark})({quoted}|[^{mark}]*)"), 1), width + 1, 1_000_000)
+    plain = F.transform(further, lambda c: F.nullif(F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')), F.lit("")))
+    return lines.select("source_id", "line_number", clean.alias("_line"), parsed.alias("_row")).select(
+        "source_id", "line_number", F.concat(first, plain).alias("cells")
     )
 
 

@@ -13,8 +13,15 @@ EXPORT_COLUMNS = [
 ]
 
 
-def replace_partition(df: DataFrame, path: str, by: str = "engagement_id") -> None:
-    """Replace the partitions present in ``df`` and leave all others as they are."""
+def replace_partition(df: DataFrame, path: str, by: str = "engagement_id", replaced: list | None = None) -> None:
+    """Replace the partitions present in ``df`` and leave all others as they are.
+
+    ``replaced`` names the values that are meant to be replaced: one of them without rows in ``df`` ends up empty.
+    """
+    if replaced is not None:
+        left = {r[0] for r in df.filter(F.col(by).isin(replaced)).select(by).distinct().collect()}  # no more than ``replaced``
+        for value in set(replaced) - left:
+            _remove(df.sparkSession, f"{path}/{by}={value}")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
@@ -32,6 +39,11 @@ def append_only_write(df: DataFrame, path: str, key: str = "id") -> None:
     df.write.mode("append").parquet(path)
 
 
+def _remove(spark, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def _exists(spark, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

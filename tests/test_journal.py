@@ -141,8 +141,9 @@ def test_numbering(spark):
     assert ("10", "999999", "999988") in wide and ("1000001", "4220425800000010", "4220425799000008") in wide and len(wide) == 3
     with pytest.raises(ValueError):
         Q.sequence_missing(rows, -1)
-    with pytest.raises(Exception, match="too long"):
-        Q.sequence_missing(numbers(spark, "1" * 39, "2")).collect()
+    long = numbers(spark, "1" * 39, "2", "4", "0" * 40 + "5")
+    assert [r.expected_number for r in Q.sequence_missing(long).collect()] == ["3"]
+    assert [r.document_number for r in Q.unreadable_numbers(long).collect()] == ["1" * 39]
 
 
 def test_calendar(spark):

@@ -99,6 +99,20 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 6
 
 
+def test_replacing_by_nothing_leaves_nothing(spark, tmp_path):
+    rows = spark.range(6).select(F.concat(F.lit("E"), F.col("id") % 2).alias("engagement_id"), "id")
+    K.replace_partition(rows, str(tmp_path / "t"))
+    K.replace_partition(rows.filter("id < 0"), str(tmp_path / "t"), replaced=["E1"])
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [0, 2, 4]
+
+
+def test_ragged_lines_keep_their_cells(spark):
+    lines = [("s", 1, "a;b;c;d;EXTRA"), ("s", 2, "a;b"), ("s", 3, '"x;y";b;c;d;"e ""f"";g";;h'), ("s", 4, "a;b;c;")]
+    df = constant_table(spark, "source_id string, line_number bigint, value string", lines)
+    cells = [r.cells for r in D.delimited_cells(df, 4).orderBy("line_number").collect()]
+    assert cells == [["a", "b", "c", "d", "EXTRA"], ["a", "b", None, None], ["x;y", "b", "c", "d", 'e "f";g', None, "h"], ["a", "b", "c", None]]
+
+
 def test_cells(spark):
     assert value(spark, P.amount_lenient(F.lit("1.234,56"))) == value(spark, P.amount_lenient(F.lit("1,234.56"))) == Decimal("1234.56")
     assert value(spark, P.amount_lenient(F.lit(""))) == 0 and value(spark, P.amount_strict(F.lit("1.234"))) == Decimal("1.234")
