@@ -9,7 +9,9 @@ from pyspark.sql import Column, functions as F
 from tallywright.constants import BANK_ALIASES, MONTHS, MONTH_PREFIXES, UNKNOWN_BANK
 from tallywright.functions.parsing import amount_text, date_lenient, strip
 
-AMOUNT_PATTERN = r"-?\d{1,3}(?:[.\s]\d{3})+,\d{2}|-?\d{1,3}(?:[.\s]\d{3})*,\d{2}|-?\d+[.,]\d{2}"
+#: White space between thousands: that of ASCII and the blanks of other scripts, non-breaking ones included.
+BLANKS = r"\s\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
+AMOUNT_PATTERN = rf"-?\d{{1,3}}(?:[.{BLANKS}]\d{{3}})+,\d{{2}}|-?\d{{1,3}}(?:[.{BLANKS}]\d{{3}})*,\d{{2}}|-?\d+[.,]\d{{2}}"
 GROUPED_AMOUNT_PATTERN = r"\d{1,3}(?:\.\d{3})+,\d{2}"
 DATE_PATTERN = r"\b(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
@@ -18,7 +20,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
     """Characters whose compatibility decomposition leaves one ASCII character, and the longer ones."""
     source, target, longer = [], [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
@@ -52,7 +54,9 @@ def _replace_pairs(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def fold_text(c: Column) -> Column:
     """Lower-case ASCII text for keyword matching; accents dropped, other characters removed."""
-    expanded = F.when(c.rlike(FOLD_LONGER_CLASS), _replace_pairs(c, FOLD_LONGER)).otherwise(c)
+    longer = F.str_to_map(F.lit("\n".join(f"{old}\t{new}" for old, new in FOLD_LONGER)), F.lit("\n"), F.lit("\t"))
+    present = F.array_distinct(_matches(c, FOLD_LONGER_CLASS))
+    expanded = F.aggregate(present, c, lambda text, char: F.replace(text, char, longer[char]))
     folded = F.regexp_replace(F.translate(expanded, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
     return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c))
 

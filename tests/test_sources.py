@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import unicodedata
 from datetime import date
 from decimal import Decimal
 
@@ -166,3 +167,11 @@ def test_inventory_of_a_folder(spark, tmp_path):
         path.write_text("uno\n  due")
     rows = I.document_inventory(I.read_documents(spark, str(tmp_path), "E")).collect()
     assert [(r.rel_path, r.name, r.extension, r.excerpt) for r in rows] == [("a/F24.TXT", "F24.TXT", ".txt", "uno due")]
+
+
+def test_figures_with_other_blanks_and_scripts(spark):
+    texts = ["1\u00a0234,56", "saldo contabile 12\u202f500,40", "\U0001d400bc\u2026 \ufb01 \u00bd \u00e9 \u216b", "plain", "\u65e5\u672c"]
+    df = constant_table(spark, "i int, t string", list(enumerate(texts)))
+    rows = df.select(T.find_amounts(F.col("t")).alias("a"), T.fold_text(F.col("t")).alias("f"), "t").orderBy("i").collect()
+    assert rows[0].a == [Decimal("1234.56")] and rows[1].a == [Decimal("12500.40")]
+    assert [r.f for r in rows] == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() for t in texts]
