@@ -33,7 +33,6 @@ def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 FOLD_FROM, FOLD_TO, FOLD_LONGER = _fold_table()
-FOLD_LONGER_CLASS = "[" + "".join(char for char, _ in FOLD_LONGER) + "]"
 COMPOSED = [
     (unicodedata.normalize("NFD", chr(code)), chr(code))
     for code in range(0xC0, 0x250)
@@ -55,7 +54,7 @@ def _replace_pairs(c: Column, pairs: list[tuple[str, str]]) -> Column:
 def fold_text(c: Column) -> Column:
     """Lower-case ASCII text for keyword matching; accents dropped, other characters removed."""
     longer = F.str_to_map(F.lit("\n".join(f"{old}\t{new}" for old, new in FOLD_LONGER)), F.lit("\n"), F.lit("\t"))
-    present = F.array_distinct(_matches(c, FOLD_LONGER_CLASS))
+    present = F.filter(F.array_distinct(_matches(c, r"[^\x00-\x7F]")), lambda char: longer[char].isNotNull())
     expanded = F.aggregate(present, c, lambda text, char: F.replace(text, char, longer[char]))
     folded = F.regexp_replace(F.translate(expanded, FOLD_FROM, FOLD_TO), r"[^\x00-\x7F]", "")
     return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c))
