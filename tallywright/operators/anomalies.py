@@ -62,7 +62,7 @@ def quick_reversals(
     Movements of an account are ordered by date and load order. Identical lines of an entry are on
     the same side and cannot reverse each other, so copies collapse first. An account with more than
     ``busy_rows`` movements is cut into (date, load-order range) and joined up from summaries; the
-    table of such accounts has at most one row per ``busy_rows`` lines, so it is always broadcast.
+    table of such accounts has at most one row per ``busy_rows`` lines; adaptive execution broadcasts it when it is small.
     """
     order = line_order or ["debit", "credit"]
     movements = lines.filter("account IS NOT NULL").select(
@@ -70,7 +70,7 @@ def quick_reversals(
     )
     usage = movements.groupBy("engagement_id", "account").agg(F.count(F.lit(1)).alias("uses"))
     account = ["engagement_id", "account"]
-    busy = F.broadcast(usage.filter(F.col("uses") > busy_rows).select(*account))
+    busy = usage.filter(F.col("uses") > busy_rows).select(*account)
     heads = totalled.select(*ENTRY_KEY, "entry_number", "registration_date", "load_order", "amount")
     dated = movements.distinct().join(heads, ENTRY_KEY)
     sort, payload = ["registration_date", "load_order", *order], ["entry_id", "entry_number", "amount", "side"]

@@ -218,7 +218,8 @@ def classify_documents(documents: DataFrame, text_limit: int | None = None) -> D
 def client_extra_items(classified: DataFrame, extras: DataFrame) -> DataFrame:
     """Match unclassified documents with a client's extra items, first item and hint first.
 
-    ``extras``: engagement_id, item_order, hint_order, item_id, hint (a handful per engagement).
+    ``extras``: engagement_id, item_order, hint_order, item_id, hint (a handful per engagement). Hints are
+    looked for in the name, the excerpt and, where the table has it, the whole text.
     """
     hint = T.fold_text(F.col("hint"))
     listed = (
@@ -228,7 +229,8 @@ def client_extra_items(classified: DataFrame, extras: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("item_order", "hint_order", "item_id", "hint"))).alias("_extras"))
     )
     joined = classified.join(broadcast_if_small(listed, bound=extras), "engagement_id", "left")
-    name, excerpt = T.fold_text(F.col("name")), T.fold_text(F.coalesce("excerpt", F.lit("")))
+    content = [c for c in ("excerpt", "text") if c in classified.columns]
+    name, excerpt = T.fold_text(F.col("name")), T.fold_text(F.concat_ws("\n", *content))
     joined = joined.withColumns({"_n": name, "_e": excerpt})
     hits = F.filter(
         "_extras", lambda x: F.contains(F.col("_n"), x["hint"]) | F.contains(F.col("_e"), x["hint"])

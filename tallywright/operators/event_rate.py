@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 SLICES = 64
+#: Windows in a run of slices that one task orders; each run also sees the run before it.
+SLICE_BLOCKS = 64
 
 
 def over_limit_events(
@@ -36,8 +38,12 @@ def over_limit_events(
         (F.coalesce(earlier_here, F.lit(0)) + F.coalesce(still_inside, F.lit(0))).alias("partial"),
     ).filter("is_event = 1")
     whole = own.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("slice_events"))
-    between = W.partitionBy("key").orderBy("slice").rangeBetween(-(slices - 1), -1)
-    middle = whole.select("key", "slice", F.coalesce(F.sum("slice_events").over(between), F.lit(0)).alias("middle"))
+    block = F.floor(F.col("slice") / (slices * SLICE_BLOCKS))
+    spread = whole.withColumn("_home", block).withColumn("_block", F.explode(F.array(block, block + 1)))
+    between = W.partitionBy("key", "_block").orderBy("slice").rangeBetween(-(slices - 1), -1)
+    middle = spread.select(
+        "key", "slice", "_home", "_block", F.coalesce(F.sum("slice_events").over(between), F.lit(0)).alias("middle")
+    ).filter("_home = _block").select("key", "slice", "middle")
     earlier = F.col("partial") + F.col("middle")
     return local.join(middle, ["key", "slice"]).select(
         "key",

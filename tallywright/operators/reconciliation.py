@@ -233,10 +233,10 @@ def tax_payment_slots(documents: DataFrame, slots: int | None = None) -> DataFra
 def fund_quarter_slots(documents: DataFrame) -> DataFrame:
     """Quarter marks of pension-fund receipts, the periodic and the annual VAT documents.
 
-    ``documents`` also has excerpt. One row per fund receipt; VAT rows name their first document.
+    The quarter is looked for in the name, the excerpt and the whole text. One row per fund receipt; VAT rows name their first document.
     """
     quarter = T.period_quarter(F.col("period"))
-    blob = F.lower(F.concat_ws(" ", "name", "excerpt"))
+    blob = F.lower(F.concat_ws(" ", "name", *[c for c in ("excerpt", "text") if c in documents.columns]))
     stem = F.regexp_replace(F.regexp_replace("name", r"\.[^.]*$", ""), "(?i)pdf$", "")
     funds = documents.filter(F.col("item_id") == "E.2").select(
         ENGAGEMENT, "load_order", stem.alias("row_label"),

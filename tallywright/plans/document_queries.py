@@ -271,7 +271,7 @@ SELECT engagement_id, load_order, coalesce(x.item_id, u.item_id) AS item_id,
  SELECT load_order, item_id, in_name, row_number() OVER (PARTITION BY load_order ORDER BY item_order, hint_order) AS rn FROM (
   SELECT u.load_order, e.item_id, e.item_order, e.hint_order, contains({_FOLD.format('u.name')}, {_FOLD.format('e.hint')}) AS in_name
   FROM unsorted u JOIN extras e USING (engagement_id) WHERE u.item_id IS NULL AND (contains({_FOLD.format('u.name')}, {_FOLD.format('e.hint')})
-   OR contains({_FOLD.format('u.excerpt')}, {_FOLD.format('e.hint')}))) a) x USING (load_order) WHERE coalesce(rn, 1) = 1""", "unsorted", "extras")
+   OR contains({_FOLD.format('u.excerpt')}, {_FOLD.format('e.hint')}) OR contains({_FOLD.format('u.text')}, {_FOLD.format('e.hint')}))) a) x USING (load_order) WHERE coalesce(rn, 1) = 1""", "unsorted", "extras")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ _add("B08_tax_payment_slots", lambda s, d: B.tax_payment_slots(files(s, d)),
 _add("B09_fund_quarter_slots", lambda s, d: B.fund_quarter_slots(files(s, d)), f"""
 SELECT engagement_id, load_order, row_label, CASE WHEN q = 1 THEN '✓' END AS q1, CASE WHEN q = 2 THEN '✓' END AS q2, CASE WHEN q = 3 THEN '✓' END AS q3, CASE WHEN q = 4 THEN '✓' END AS q4 FROM (
  SELECT engagement_id, load_order, regexp_replace(name, '\\.[^.]*$', '') AS row_label,
-  coalesce({Q._QUARTER.format(n="lower(concat(name, ' ', excerpt))")}, CASE load_order % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) AS q FROM item_files WHERE item_id = 'E.2'
+  coalesce({Q._QUARTER.format(n="lower(concat(name, ' ', excerpt, ' ', text))")}, CASE load_order % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END) AS q FROM item_files WHERE item_id = 'E.2'
  UNION ALL SELECT engagement_id, min(load_order), CASE item_id WHEN 'E.3' THEN 'LIPE' ELSE 'IVA annuale' END, CASE min(load_order) % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END
  FROM item_files WHERE item_id IN ('E.3', 'E.4') GROUP BY engagement_id, item_id) t""", "item_files")
 
