@@ -244,8 +244,11 @@ def _block_pair(threshold: float):
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Bucket rows (path, sid) with the size of their bucket, without buckets of one set."""
-    counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1")
+    """Bucket rows (path, sid) with the size of their bucket, without buckets of one set.
+
+    The sizes are a table of their own, so that adaptive execution can split a bucket with many sets in the join.
+    """
+    counts = stored(rows.groupBy("path").agg(F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1"), "bucket-sizes")
     return rows.join(counts.withColumnRenamed("path", "_path"), F.col("path") == F.col("_path")).drop("_path")
 
 
