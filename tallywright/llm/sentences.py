@@ -98,7 +98,8 @@ def deduplicate(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_c
     rows = docs.select(doc.alias("doc"), h.alias("h"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias(ROW))
     found = stored(rows.select("doc", "h", "text").mapInArrow(
         _run_batches(least_sentences, least_words), "hash bigint, doc bigint, h bigint, start int, size int, again boolean"), "runs")
-    firsts = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1")
+    # a table of its own, so that adaptive execution can split a passage with many occurrences in the join
+    firsts = stored(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).filter("n > 1"), "firsts")
     repeated = found.join(firsts.select(F.col("hash").alias("_hash"), "first"), F.col("hash") == F.col("_hash")).filter("again OR doc <> first")
     spans = repeated.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # as many as a text has sentences
     spans = stored(spans.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "spans"), "repeated")
