@@ -123,8 +123,8 @@ def scan(docs: DataFrame, keep: list[str], path: Column, text_col: str = "text",
     depth = F.size(F.split("folder", "/"))
     above = F.when(F.col("folder") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(
         F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(F.split("folder", "/"), 1, n), "/"))))
-    nearest = folders.select("folder", F.posexplode(above).alias("level", "above")).join(givers, "above").groupBy("folder").agg(
-        F.max_by("gives", "level").alias("gives"))
+    nearest = stored(folders.select("folder", F.posexplode(above).alias("level", "above")).join(givers, "above").groupBy("folder").agg(
+        F.max_by("gives", "level").alias("gives")), "nearest")  # a table of its own, so that a folder with many files can be split in the join
     joined = own.join(nearest.withColumnRenamed("folder", "_folder"), F.col("folder") == F.col("_folder"), "left")
     taken = F.col("own").isNull() & F.col("gives").isNotNull()
     return joined.select(
