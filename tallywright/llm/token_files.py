@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,12 +19,21 @@ from tallywright.llm import wavelet
 from tallywright.llm.common import new_folder, run_parts, stored
 
 BLANK = re.compile("[ \n]+")
-#: Letters and marks of a word that a lower-casing tokenizer cuts into these two pieces.
-SIMPLE = re.compile("([A-Za-z]+)([.,;:!?]*)")
+#: Letters (one code point each, in either case) and marks of a word that a lower-casing tokenizer cuts into these two pieces.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([.,;:!?]*)")
+#: Byte-level tokenizers write a byte as a visible character: its own, or the next one from 256 on.
+SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_LEVEL = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+AS_BYTES = "".join(BYTE_LEVEL[b] for b in range(256))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark spreads the work
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -40,7 +51,7 @@ class WordEncoder:
         self.model, self.kept, self.words = tokenizer(path), kept, {}
         self.by_word = self.splits()
         self.by_piece = self.by_word and all(
-            self._pieces(SIMPLE.fullmatch(p)) == self._plain(p) for p in ("The", "tokenization.", "etc.,", "Wh!?", "Ingthatou", "a"))
+            self._pieces(SIMPLE.fullmatch(p)) == self._plain(p) for p in ("The", "tokenization.", "etc.,", "Wh!?", "Ingthatou", "a", "Óciónes.", "Ärßöø", "Šžçœ!"))
 
     def splits(self) -> bool:
         probe = ["a b", "x\ny", "'s the", "é 1", "A  B."]
@@ -49,35 +60,30 @@ class WordEncoder:
     def _pieces(self, found: re.Match) -> list[int]:
         """The library's merges on the pieces of a simple word, without its checks for other scripts."""
         merge = self.model.model.tokenize
-        return [t.id for piece in (found[1].lower(), found[2]) if piece for t in merge(piece)]
+        letters, marks = found[1].lower(), found[2]
+        ids = [t.id for t in merge(letters if letters.isascii() else letters.encode().decode("latin-1").translate(AS_BYTES))]
+        return ids + [t.id for t in merge(marks)] if marks else ids
 
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) > self.kept:
-            self.words = {}
         if self.by_piece:
             simple = [(w, m) for w in words if (m := SIMPLE.fullmatch(w))]
-            self.words.update((w, np.array(self._pieces(m), "<u4").tobytes()) for w, m in simple)
+            self.words.update((w, _packed(self._pieces(m))) for w, m in simple)
             words = [w for w in words if w not in self.words]
         found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found))
+        self.words.update((w, _packed(e.ids)) for w, e in zip(words, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            words = BLANK.split(text)
-            new = {w for w in words if w not in self.words}
-            if new:
-                self._learn(list(new))
-                if not self.words.keys() >= set(words):  # kept words were cleared meanwhile
-                    self._learn([w for w in set(words) if w not in self.words])
-            out.append(b"".join(map(self.words.__getitem__, words)))
-        return out
+            return [_packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.words) > self.kept:
+            self.words = {}
+        cut = [BLANK.split(text) for text in texts]
+        self._learn(list({w for words in cut for w in words if w not in self.words}))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
