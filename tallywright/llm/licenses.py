@@ -1,22 +1,25 @@
-"""License scans: sparse TF-IDF cosine of lines and whole files to templates, then inheritance along paths.
+"""License scans: sparse TF-IDF cosine of lines, windows of lines and whole files to templates, then inheritance along paths.
 
 Only DataFrame functions. Terms are runs of a-z and 0-9 of the lower-case text. The weight of a template's term
 is its frequency times ``ln((documents + 1) / (documents with it + 1)) + 1``, over all documents; other terms
-weigh 1. A line or file is of the licence of the closest template if the cosine reaches the threshold. A file
-without a licence of its own takes that of the nearest directory above it that holds a licence file.
+weigh 1. Lines and windows of adjoining lines are compared with notices and short licences, whole files also with
+full licence texts. The closest template that reaches the threshold names the licence. A file without a licence of
+its own takes that of the nearest directory above it that holds a licence file.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywright.llm.common import ROW, stored
 
 #: Wording of common notices, by SPDX name.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -26,7 +29,50 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Licences of the GNU family: SPDX name, words of its name, version.
+GNU = (
+    ("AGPL-3.0", "GNU Affero General Public License", "3"), ("GFDL-1.2", "GNU Free Documentation License", "1.2"), ("GFDL-1.3", "GNU Free Documentation License", "1.3"),
+    ("GPL-1.0", "GNU General Public License", "1"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+)
+#: Creative Commons 4.0 licences: short name, words of its name.
+COMMONS = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution ShareAlike"), ("BY-NC", "Attribution NonCommercial"), ("BY-NC-SA", "Attribution NonCommercial ShareAlike"),
+    ("BY-ND", "Attribution NoDerivatives"), ("BY-NC-ND", "Attribution NonCommercial NoDerivatives"),
+)
+#: Other licences that a line may name.
+NAMED = (
+    ("0BSD", "Zero-Clause BSD License"), ("Artistic-2.0", "Artistic License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"), ("EPL-1.0", "Eclipse Public License, version 1.0"), ("EPL-2.0", "Eclipse Public License, version 2.0"),
+    ("ISC", "ISC License"), ("MPL-1.1", "Mozilla Public License, version 1.1"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("NCSA", "University of Illinois NCSA Open Source License"), ("OFL-1.1", "SIL Open Font License, Version 1.1"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License"),
+)
+TEMPLATES = NOTICES + tuple((n, f"This work is licensed under the {name}, version {v}") for n, name, v in GNU) + tuple(
+    (n, f"This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.")
+    for n, name, v in GNU) + tuple((f"CC-{n}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License") for n, name in COMMONS if n != "BY") + tuple(
+    (f"CC-{n}-4.0", f"Licensed under CC {n} 4.0") for n, _ in COMMONS if n != "BY-NC") + tuple((n, f"{first} under the {name}") for n, name in NAMED for first in ("Licensed", "Released")) + (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal"),
+    ("MIT", "Licensed under the MIT License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+)
+#: Full texts of at most so many terms are also looked for as blocks within a file.
+BLOCK_TERMS = 400
+#: Lines (with a term) of a window.
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
+#: A block this close goes before a notice: the first sentence of two licences may be the same.
+BLOCK_SCORE = 0.85
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
+FOUND = "struct<block:boolean,score:double,name:string>"
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Full licence texts by SPDX name, from the files beside this module."""
+    folder = resources.files("tallywright.llm").joinpath("license_texts")
+    return tuple(sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir() if f.name.endswith(".txt")))
 
 
 def terms(text: Column) -> Column:
@@ -40,32 +86,56 @@ def template_terms(text: str) -> Counter:
 def weights_of(docs: DataFrame, text_col: str, templates=TEMPLATES) -> dict[str, float]:
     """Inverse document frequency of every template term, over all documents."""
     words = sorted({t for _, text in templates for t in template_terms(text)})
-    counts = docs.select(F.explode(F.array_union(F.array_intersect(terms(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, words))), F.array(F.lit("")))).alias("term"))
+    counts = docs.select(F.explode(F.array_union(F.array_intersect(terms(F.coalesce(F.col(text_col), F.lit(""))), _words(words)), F.array(F.lit("")))).alias("term"))
     seen = {r.term: r.n for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template term
     total = seen.get("", 0)
     return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1 for w in words}
 
 
+def _words(words) -> Column:
+    """A constant array of terms."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def anchors(idf: dict[str, float], threshold: float, templates=TEMPLATES) -> list[str]:
     """Terms of which a text must have one to reach the threshold.
 
     By Cauchy-Schwarz the cosine is at most the norm of the shared part of the template over the template's
-    norm; so the lightest terms of a template that together stay below the threshold can't do without others.
+    norm; so the most frequent terms of a template that together stay below the threshold can't do without others.
     """
     found: set[str] = set()
     for _, text in templates:
-        squares = sorted(((n * idf[t]) ** 2, t) for t, n in template_terms(text).items())
-        bound, run = threshold**2 * sum(s for s, _ in squares), 0.0
-        for square, term in squares:
+        squares = sorted((idf[t], t, (n * idf[t]) ** 2) for t, n in template_terms(text).items())
+        bound, run = threshold**2 * sum(s for _, _, s in squares), 0.0
+        for _, term, square in squares:
             run += square
-            if run >= bound * (1 - 1e-9):
+            if run >= bound * (1 - 1e-5):
                 found.add(term)
     return sorted(found)
 
 
-def cosines(tokens: Column, idf: dict[str, float], templates=TEMPLATES) -> Column:
-    """Array of (score, name) for a non-empty array of terms, by template."""
-    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
+def least_shared(own: Counter, idf: dict[str, float], threshold: float) -> int:
+    """Different terms of the template that a text must have to reach the threshold, by the same bound."""
+    squares = sorted(((n * idf[t]) ** 2 for t, n in own.items()), reverse=True)
+    bound, run = threshold**2 * sum(squares) * (1 - 1e-5), 0.0
+    for i, square in enumerate(squares, 1):
+        run += square
+        if run >= bound:
+            return i
+    return len(squares)
+
+
+def _map(pairs: dict) -> Column:
+    """A constant map of terms to numbers."""
+    return F.map_from_arrays(_words(pairs), F.split(F.lit(" ".join(map(repr, pairs.values()))), " ").cast("array<double>"))
+
+
+def cosines(tokens: Column, idf: dict[str, float], templates=TEMPLATES, threshold: float = 0.0, block_terms: int = 1 << 30) -> Column:
+    """Array of (block, score, name) for a non-empty array of terms, by template; null where the threshold is out of reach.
+
+    Templates of at least ``block_terms`` terms are blocks.
+    """
+    weight = _map({t: idf[t] for _, text in templates for t in template_terms(text)})
     start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
 
     def add(state: Column, term: Column) -> Column:
@@ -74,14 +144,30 @@ def cosines(tokens: Column, idf: dict[str, float], templates=TEMPLATES) -> Colum
         grown = (run * 2 - 1) * F.pow(F.coalesce(weight[term], F.lit(1.0)), F.lit(2))
         return F.struct(term.alias("term"), run.alias("run"), (state["squares"] + grown).alias("squares"))
 
+    def scores(norm: Column) -> Column:
+        out = []
+        for name, text in templates:
+            own = template_terms(text)
+            length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
+            score = F.round(_dot(tokens, _map({t: n * idf[t] ** 2 for t, n in sorted(own.items())})) / norm / length, 6)
+            block = (score >= BLOCK_SCORE) if sum(own.values()) >= block_terms else F.lit(False)
+            found = F.struct(block.alias("block"), score.alias("score"), F.lit(name).alias("name"))
+            out.append(F.when(_reaches(tokens, own, idf, threshold), found))
+        return F.array(*out)
+
     norm = F.sqrt(F.aggregate(F.array_sort(tokens), start, add)["squares"])
-    out = []
-    for name, text in templates:
-        own = template_terms(text)
-        length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
-        product = F.create_map(*[F.lit(x) for t, n in sorted(own.items()) for x in (t, n * idf[t] ** 2)])
-        out.append(F.struct(F.round(_dot(tokens, product) / norm / length, 6).alias("score"), F.lit(name).alias("name")))
-    return F.array(*out)
+    return F.flatten(F.transform(F.array(norm), scores))  # one norm for all templates
+
+
+def _reaches(tokens: Column, own: Counter, idf: dict[str, float], threshold: float) -> Column:
+    return F.size(F.array_intersect(tokens, _words(sorted(own)))) >= least_shared(own, idf, threshold)
+
+
+def _any_reaches(tokens: Column, idf: dict[str, float], threshold: float, templates) -> Column:
+    out = F.lit(False)
+    for _, text in templates:
+        out = out | _reaches(tokens, template_terms(text), idf, threshold)
+    return out
 
 
 def _dot(tokens: Column, product: Column) -> Column:
@@ -89,29 +175,60 @@ def _dot(tokens: Column, product: Column) -> Column:
 
 
 def _best(found: Column) -> Column:
-    """The highest score; ties to the first name."""
-    return F.aggregate(found, F.lit(None).cast("struct<score:double,name:string>"),
-                       lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]) | ((x["score"] == a["score"]) & (x["name"] < a["name"])), x).otherwise(a))
+    """A block before a notice, then the highest score; ties to the first name."""
+    def before(x: Column, a: Column) -> Column:
+        same = x["block"] == a["block"]
+        return (x["block"] & ~a["block"]) | (same & ((x["score"] > a["score"]) | ((x["score"] == a["score"]) & (x["name"] < a["name"]))))
+
+    return F.aggregate(found, F.lit(None).cast(FOUND), lambda a, x: F.when(x.isNotNull() & (a.isNull() | before(x, a)), x).otherwise(a))
+
+
+def windows_of(lines: Column, near: list[str], heavy: list[str]) -> Column:
+    """Terms of each window of adjoining lines that has a term of ``heavy``, and one of ``near`` in its first and last line.
+
+    ``lines`` has only lines with a term. A line at the edge without a term of a template can only lower the cosine.
+    """
+    n = F.size(lines)
+    hits = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(F.get(lines, i), _words(heavy)))
+    edges = F.transform(lines, lambda t: F.arrays_overlap(t, _words(near)))
+
+    def of_size(size: int, edge: Column, hit: Column) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(F.lit(0), i - size + 1), F.least(i, n - size)))))
+        starts = F.filter(starts, lambda i: F.get(edge, i) & F.get(edge, i + size - 1))
+        return F.when(n >= size, F.transform(starts, lambda i: F.flatten(F.slice(lines, i + 1, size)))).otherwise(F.array().cast("array<array<string>>"))
+
+    marks = F.array(F.struct(edges.alias("edge"), hits.alias("hit")))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(marks, lambda m: F.array(*[of_size(k, m["edge"], m["hit"]) for k in WINDOWS])))))
 
 
-def scan(docs: DataFrame, keep: list[str], path: Column, text_col: str = "text", threshold: float = 0.6, file_threshold: float = 0.9, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], path: Column, text_col: str = "text", threshold: float = 0.6, file_threshold: float = 0.9, templates=TEMPLATES, texts=None) -> DataFrame:
     """Columns ``keep`` packed as ``_row``, with path, license, kind and score of every document.
 
     kind: ``file`` (the whole text reaches ``file_threshold``, or a file with a licence's name has a close line),
-    ``header`` (a line is), ``inherited`` (from the nearest directory above that holds a ``file``; of several
+    ``header`` (a line or a window of adjoining lines is), ``inherited`` (from the nearest directory above that holds a ``file``; of several
     there the highest score, then the first name), ``none``. Null and empty texts and texts without a term have
     none of their own and may inherit. A null path has no directory: it neither gives nor inherits. Ties go to
-    the first licence name; equal rows get equal results; an empty table gives an empty result.
+    the first licence name; equal rows get equal results; an empty table gives an empty result. ``templates`` are
+    notices, ``texts`` whole licences (by default ``full_texts()``).
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias(ROW), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = weights_of(docs, text_col, templates)
-    heavy = F.array(*map(F.lit, anchors(idf, threshold, templates)))
-    lines = F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.arrays_overlap(t, heavy))
-    scored = rows.withColumn("lines", lines).withColumn("whole", F.when(F.size("lines") > 0, terms(F.col("text"))))
-    best_line = _best(F.transform("lines", lambda t: _best(cosines(t, idf, templates))))
-    best_whole = F.when(F.size("lines") > 0, _best(cosines(F.col("whole"), idf, templates)))
+    texts = full_texts() if texts is None else texts
+    idf = weights_of(docs, text_col, [*templates, *texts])
+    shorts = [(n, t) for n, t in texts if sum(template_terms(t).values()) <= BLOCK_TERMS]
+    parts, wholes = [*templates, *shorts], [*templates, *texts]
+    least_block = min([sum(template_terms(t).values()) for _, t in shorts], default=1 << 30)
+    heavy = sorted({*anchors(idf, threshold, parts), *anchors(idf, file_threshold, wholes)})
+    near = sorted({t for _, text in parts for t in template_terms(text)})
+    lines = F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.size(t) > 0)
+    marked = rows.withColumn("lines", lines).select(ROW, "path", F.when(F.exists("lines", lambda t: F.arrays_overlap(t, _words(heavy))), F.col("lines")).alias("lines"))
+    marked = stored(marked, "lines").withColumn("whole", F.flatten("lines"))  # tables, so that no step is computed once for each template
+    best_whole = F.when(F.col("whole").isNotNull(), _best(cosines(F.col("whole"), idf, wholes, file_threshold)))
+    marked = stored(marked.select(ROW, "path", "lines", best_whole.alias("all")), "wholes").withColumn("whole", F.flatten("lines"))
+    open_ = ~F.coalesce(F.col("all.score") >= file_threshold, F.lit(False)) & _any_reaches(F.col("whole"), idf, threshold, parts)
+    scored = stored(marked.select(ROW, "path", "all", F.when(open_, windows_of(F.col("lines"), near, heavy)).alias("windows")), "windows")
+    best_line = _best(F.transform("windows", lambda t: _best(cosines(t, idf, parts, threshold, least_block))))
     name = F.element_at(F.split("path", "/"), -1)
-    scored = scored.select(ROW, "path", best_line.alias("line"), best_whole.alias("all"), F.coalesce(name.rlike(FILE_NAME), F.lit(False)).alias("by_name"))
+    scored = scored.select(ROW, "path", best_line.alias("line"), "all", F.coalesce(name.rlike(FILE_NAME), F.lit(False)).alias("by_name"))
     closer = F.when(F.coalesce(F.col("all.score") >= file_threshold, F.lit(False)), F.struct(F.lit("file").alias("kind"), F.col("all.name").alias("name"), F.col("all.score").alias("score"))).when(
         F.col("line.score") >= threshold, F.struct(F.when(F.col("by_name"), "file").otherwise("header").alias("kind"), F.col("line.name").alias("name"), F.col("line.score").alias("score")))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))

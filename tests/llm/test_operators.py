@@ -190,6 +190,21 @@ def test_licenses_awkward(spark, odd, none):
     assert count_of(licenses.scan(none, ["doc_id"], F.col("source"))) == 0
 
 
+def test_license_families_and_full_texts(spark):
+    """A whole text names its own licence; a notice wrapped over lines does, too, and not a neighbour."""
+    texts = dict(licenses.full_texts())
+    named = ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "MIT", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "ISC")
+    rows = [(i, n, "Copyright (c) 2020 Jane Doe\n\n" + texts[n]) for i, n in enumerate(named)]
+    lesser = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    rows += [(20, "LGPL-2.1", "x = 1\nlicensed under the GNU Lesser General Public License, version 2.1\ny = 2"), (21, "LGPL-2.1", "import os\n" + lesser + "\n" + prose(1, 60)),
+             (22, "BSD-2-Clause", "x = 1\n" + texts["BSD-2-Clause"] + "\n" + "\n".join(prose(i, 40) for i in range(9))), (23, "", prose(2, 60))]
+    df = spark.createDataFrame(rows, "doc_id bigint, want string, text string")
+    got = licenses.scan(df, ["doc_id", "want"], F.lit(None).cast("string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.license or "", r.kind) == (r[ROW].want, "file" if r[ROW].doc_id < 20 else "header" if r[ROW].want else "none")
+
+
 # 5 sentence spans
 
 
