@@ -234,6 +234,26 @@ def test_sentence_spans_equal_brute_force(spark):
     assert sum(passage[20:200] in r.text for r in got) == 1
 
 
+def test_repeated_sentences_and_long_passages_are_removed(spark):
+    """No 51-word window of a later text may be in what an earlier one keeps."""
+    one = " ".join(words(3, 20)) + "."  # one sentence between changed ones
+    long, shared = " ".join(words(5, 90)), " ".join(words(6, 300))
+    rows = [(1, one), (2, f"{prose(8, 30)} {one} {prose(9, 30)}"), (3, long), (4, long), (5, " ".join(words(11, 70)) + " " + shared), (6, shared + " " + " ".join(words(12, 70)))]
+    got = {r[ROW].doc_id: r.text for r in sentences.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"]).collect()}
+    assert got[1] == one and one not in got[2] and got[2].startswith(prose(8, 30)) and got[3] == long and got[4] == ""
+    windows = lambda t: {tuple(t.split()[i : i + 51]) for i in range(len(t.split()) - 50)}
+    assert got[5] == rows[4][1] and not windows(got[5]) & windows(got[6])
+
+
+def test_runs_reach_the_end_of_a_passage():
+    """The last short sentences of a passage are in a run of their own that ends there."""
+    a, b, c = prose(1, 7) + " " + prose(2, 4), prose(3, 5), prose(4, 3)
+    ends = lambda text: {h for h, _, _ in sentences.runs(text, 2, 15, 15)}
+    n = len(sentences.cut(f"{a} {b} {c}"))
+    last = {h for h, i, k in sentences.runs(f"{a} {b} {c}", 2, 15, 15) if i + k == n}
+    assert last and last <= ends(f"{a} {b} {c} {prose(7, 7)}")
+
+
 def test_sentence_spans_awkward(odd, none):
     got = {(r[ROW].doc_id, r[ROW].text): r.text for r in sentences.deduplicate(odd, ["doc_id", "text", "spans"]).collect()}
     assert got[(6, prose(1, 80))] == "" and got[(1, prose(1, 80))] == prose(1, 80) and got[(2, None)] is None and got[(3, "")] == ""
