@@ -132,10 +132,11 @@ def payment_date(c: Column) -> Column:
     )
 
 
-def statement_account(name: Column, text: Column) -> Column:
+def statement_account(name: Column, text: Column, width: int | None = None) -> Column:
     in_name = _first_match(name, r"(?i)cc[_\s-]*(\d+)")
     account_pattern = r"(?i)conto\s*corrente\s*n\.?\s*([\d /]+)"
-    in_text = F.left(F.regexp_replace(F.regexp_extract(text, account_pattern, 1), r"\s+", ""), F.lit(20))
+    in_text = F.regexp_replace(F.regexp_extract(text, account_pattern, 1), r"\s+", "")
+    in_text = in_text if width is None else F.left(in_text, F.lit(width))
     iban = F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), r"(?i)IT\d{2}[A-Z]\d{10,}", 0)
     account = (
         F.when(in_name.isNotNull(), in_name)

@@ -115,3 +115,11 @@ def test_checklist_shows_eight_names(spark):
     overrides = constant_table(spark, "engagement_id string, scope string, target string, decision string, note string, seq int", [("P", "item", "A.1", "✗", "", 1)])
     rows = {r.item_id: r for r in V.checklist_status(docs.select("engagement_id").distinct(), docs, overrides).collect()}
     assert rows["E.1"].note.endswith("F24_07.pdf (+3)") and rows["C.3"].status == "✓" and rows["A.1"].status == "✗" and rows["B.1"].status == "wip"
+
+
+def test_statement_accounts_keep_all_their_digits(spark):
+    from tallywright.functions import text as T
+
+    df = constant_table(spark, "name string, text string", [("a", "Conto corrente n. 12345678901234567890123"), ("b", "Conto corrente n. 12345678901234567890124")])
+    account = lambda *width: [r[0] for r in df.select(T.statement_account(F.col("name"), F.col("text"), *width)).collect()]
+    assert account() == ["12345678901234567890123", "12345678901234567890124"] and set(account(20)) == {"12345678901234567890"}
