@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywright.llm import contamination, language, licenses, mixing, near, quality, search, secrets, sentences, token_files
+from tallywright.llm import contamination, language, licenses, mixing, near, quality, search, secrets, sentences, sharding, token_files, variants, whitening
 from tallywright.llm.common import ROW, table
 
 
@@ -90,8 +90,30 @@ def op10_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_ids(spark, folder, files)
 
 
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to eight shards of nearly equal bytes and read back."""
+    files = sharding.write_shards(table(spark, sf_dir, "documents"), shards=8)
+    return files.select(
+        "doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened by the first eight components of their covariance."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole_numbers(F.col("embedding")).alias("x")).filter("x IS NOT NULL")
+    model = whitening.fit(rows, components=8)
+    error = whitening.identity_error(rows, model) if model else 0.0
+    return whitening.whiten(rows, model).withColumn("identity_error", F.lit(error))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_top_k, op2_quality_compression, op3_decontamination, op4_license_scan, op5_sentence_spans, op6_secret_automaton,
-    op7_kneser_ney_language, op8_pivotal_mixing, op9_chosen_path_join, op10_wavelet_token_files)}
+    op7_kneser_ney_language, op8_pivotal_mixing, op9_chosen_path_join, op10_wavelet_token_files,
+    op11_sampled_splitters, op12_refined_whitening, op13_spelling_variants)}
 #: None of these can be written in SQL: they rest on seeded draws, trained models or scans by position.
 ORACLE: dict[str, str] = {}
