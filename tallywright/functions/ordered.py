@@ -18,33 +18,36 @@ def number_bucket(column: Column | str, width: int = BUCKET_ROWS) -> Column:
     return number - F.pmod(number, F.lit(width))
 
 
-def adjacent_pairs(
-    df: DataFrame, keys: list[str], levels: list[str], order: list[str], payload: list[str]
+def neighbours(
+    df: DataFrame, keys: list[str], levels: list[str], order: list[str], payload: list[str], hit: Column | None = None
 ) -> DataFrame:
-    """Every pair of neighbours in ``order`` inside ``keys`` as (keys, prev struct, next struct).
+    """Every row with the row that follows it in ``order`` inside ``keys``, as columns ``next_<name>``; rows without a follower go.
 
-    ``order`` sorts the rows of a key completely. ``levels`` are columns, coarse to fine, that follow
-    it: all rows of an earlier bucket come before all rows of a later one. Pairs inside the finest bucket come from the rows; pairs
-    across buckets from one (first, last) summary per bucket, level by level. Without levels each key
-    is one run, which suits keys known to be small.
+    ``order`` sorts the rows of a key completely. ``levels`` are columns, coarse to fine, that follow it: all rows of
+    an earlier bucket come before all rows of a later one. ``hit`` (over the columns and their ``next_`` ones) says
+    which pairs are wanted.
+
+    The input is read once. In the finest buckets every row gets its follower, and only wanted pairs and the border
+    rows of each bucket (first and last) go on. Of these, the border rows meet those of the other buckets of the next
+    level, where the last row of a bucket gets the first of the next one; wanted pairs inside stay spread by bucket.
     """
-    item = F.struct(*[F.col(c) for c in [*order, *[p for p in payload if p not in order]]])
-    rows = df.select(*keys, *levels, item.alias("prev"))
-    inner = rows.withColumn("next", F.lead("prev").over(W.partitionBy(*keys, *levels).orderBy("prev")))
-    found = inner.filter(F.col("next").isNotNull()).select(*keys, "prev", "next")
-    if not levels:
-        return found
-    runs = inner.groupBy(*keys, *levels).agg(F.min("prev").alias("first"), F.max("prev").alias("last"))
+    columns = list(dict.fromkeys([*order, *payload]))
+    wanted = F.coalesce(hit, F.lit(False)) if hit is not None else F.lit(True)
+    rows = df.select(*keys, *levels, *columns)
+    inside = W.partitionBy(*keys, *levels).orderBy(*order)
+    follower = {f"next_{c}": F.lead(c).over(inside) for c in columns}
+    rows = rows.withColumns(follower | {"_first": F.row_number().over(inside) == 1, "_last": F.lead(F.lit(True)).over(inside).isNull()})
     for depth in range(len(levels) - 1, -1, -1):
-        outer = [*keys, *levels[:depth]]
-        across = W.partitionBy(*outer).orderBy("first")
-        linked = runs.withColumn("next", F.lead("first").over(across))
-        found = found.unionByName(
-            linked.filter(F.col("next").isNotNull()).select(*keys, F.col("last").alias("prev"), "next")
-        )
-        if depth:
-            runs = linked.groupBy(*outer).agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return found
+        rows = rows.filter((wanted & ~F.col("_last")) | F.col("_first") | F.col("_last"))
+        border = F.col("_first") | F.col("_last")
+        rows = rows.withColumn("_spread", F.when(~border, F.xxhash64(*keys, *levels)))
+        across = W.partitionBy(*keys, *levels[:depth], "_spread").orderBy(*order)
+        found = {f"_{c}": F.lead(c).over(across) for c in columns}
+        rows = rows.withColumns(found | {"_top": F.row_number().over(across) == 1, "_end": F.lead(F.lit(True)).over(across).isNull()})
+        linked = {f"next_{c}": F.when(F.col("_last"), F.col(f"_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
+        rows = rows.withColumns(linked | {"_first": border & F.col("_top"), "_last": F.col("_last") & F.col("_end")})
+        rows = rows.drop("_spread", "_top", "_end", *found)
+    return rows.filter(wanted & ~F.col("_last")).drop("_first", "_last", *levels)
 
 
 def number_rows(df: DataFrame, keys: list[str], bucket: list[str], order: list[str], name: str) -> DataFrame:

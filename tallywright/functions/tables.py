@@ -72,6 +72,22 @@ def broadcast_if_small(df: DataFrame, bound: DataFrame | None = None) -> DataFra
     return df
 
 
+#: A row of two text keys and a flag as the planner counts it.
+KEY_ROW_BYTES, LEAST_ROW_BYTES = 100, 8
+
+
+def broadcast_if_bounded(df: DataFrame, source: DataFrame, rows_each: int) -> DataFrame:
+    """Hint a broadcast of ``df``, which has at most one row per ``rows_each`` rows of ``source``, where that bound is small.
+
+    ``source`` has at most its planned bytes over the least size of a row as rows.
+    """
+    size = planned_bytes(source)
+    limit = session_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold", DEFAULT_BROADCAST_BYTES)
+    if size is not None and 0 <= size // LEAST_ROW_BYTES // max(rows_each, 1) * KEY_ROW_BYTES <= limit:
+        return F.broadcast(df)
+    return df
+
+
 def session_bytes(spark: SparkSession, key: str, default: int) -> int:
     """A session setting in bytes, written plainly or with a unit."""
     text = str(spark.conf.get(key, str(default))).strip().lower()
@@ -90,13 +106,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back, so later steps start from the table.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class StoredTable:
+    """A result on the shared folder, written when it is first read and removed by ``release``.
 
-    Used where several steps share one costly result; it survives the loss of executors and cuts
-    the lineage.
+    Used where several steps share one costly result: they start from the table, which survives the loss of executors
+    and cuts the lineage. Making the handle runs nothing.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, df: DataFrame, name: str):
+        self.source, self.schema, self.spark = df, df.schema, df.sparkSession
+        self.name, self.path = name, None
+
+    def read(self) -> DataFrame:
+        if self.path is None:
+            path = f"{shared_folder(self.spark)}/{self.name}-{uuid.uuid4().hex}"
+            self.source.write.parquet(path)
+            self.path, self.source = path, None
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def release(self) -> None:
+        if self.path is not None:
+            remove_folder(self.spark, self.path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A result written to the shared folder and read back; it stays there for as long as the folder does."""
+    return StoredTable(df, name).read()

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallywright.constants import FIRST_DIGIT_SHARES
-from tallywright.functions.ordered import BUCKET_ROWS, adjacent_pairs, number_bucket
+from tallywright.functions.ordered import BUCKET_ROWS, neighbours, number_bucket
+from tallywright.functions.tables import broadcast_if_bounded
 from tallywright.operators import entries as E
 from tallywright.operators.entries import ENTRY_KEY, anomaly
+from tallywright.operators.entry_layout import EntryJournal
 
 MINIMUM_DIGITS = 50
 DEVIATION_LIMIT = "0.15"
@@ -53,41 +55,33 @@ def benford_first_digit(totalled: DataFrame, limit: str = DEVIATION_LIMIT) -> Da
     )
 
 
-def quick_reversals(
-    totalled: DataFrame, lines: DataFrame, window_days: int = 7, line_order: list[str] | None = None,
-    busy_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """Neighbouring movements of an account on opposite sides with the same entry amount.
+def quick_reversals(lines: DataFrame, window_days: int = 7, busy_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Neighbouring movements of an account on opposite sides with the same entry amount, from laid-out lines.
 
-    Movements of an account are ordered by date and load order. Identical lines of an entry are on
-    the same side and cannot reverse each other, so copies collapse first. An account with more than
-    ``busy_rows`` movements is cut into (date, load-order range) and joined up from summaries; the
-    table of such accounts has at most one row per ``busy_rows`` lines; adaptive execution broadcasts it when it is small.
+    Movements of an account are ordered by date, load order and position in the entry. An account with more than
+    ``busy_rows`` movements is cut into (date, load-order range), all others are one run; there are at most
+    ``lines / busy_rows`` such accounts, and their table is broadcast where that bound is small.
     """
-    order = line_order or ["debit", "credit"]
-    movements = lines.filter("account IS NOT NULL").select(
-        *ENTRY_KEY, "account", F.when(F.col("debit") > 0, "D").otherwise("A").alias("side"), *order
-    )
-    usage = movements.groupBy("engagement_id", "account").agg(F.count(F.lit(1)).alias("uses"))
     account = ["engagement_id", "account"]
-    busy = usage.filter(F.col("uses") > busy_rows).select(*account)
-    heads = totalled.select(*ENTRY_KEY, "entry_number", "registration_date", "load_order", "amount")
-    dated = movements.distinct().join(heads, ENTRY_KEY)
-    sort, payload = ["registration_date", "load_order", *order], ["entry_id", "entry_number", "amount", "side"]
-    calm = adjacent_pairs(dated.join(busy, account, "left_anti"), account, [], sort, payload)
-    cut = dated.join(busy, account).withColumn("_range", number_bucket("load_order", 100_000))
-    pairs = calm.unionByName(adjacent_pairs(cut, account, ["registration_date", "_range"], sort, payload))
-    days = F.date_diff(F.col("next.registration_date"), F.col("prev.registration_date"))
-    hits = pairs.filter(
-        (F.col("prev.side") != F.col("next.side"))
+    movements = lines.filter("account IS NOT NULL AND load_order IS NOT NULL").select(
+        *account, "entry_id", "entry_number", "registration_date", "load_order", "position", "amount", (F.col("debit") > 0).alias("debited"))
+    usage = lines.filter("account IS NOT NULL").groupBy(*account).agg(F.count(F.lit(1)).alias("uses"))
+    busy = usage.filter(F.col("uses") > busy_rows).select(*account, F.lit(True).alias("_busy"))
+    marked = movements.join(broadcast_if_bounded(busy, lines, busy_rows), account, "left")
+    cut = marked.withColumns({
+        "_day": F.when(F.col("_busy"), F.col("registration_date")), "_range": F.when(F.col("_busy"), number_bucket("load_order", 100_000))})
+    days = F.date_diff(F.col("next_registration_date"), F.col("registration_date"))
+    turned = (
+        (F.col("debited") != F.col("next_debited"))
         & (days <= window_days)
-        & (F.abs(F.col("prev.amount") - F.col("next.amount")) < F.lit("0.01").cast("decimal(3,2)"))
-    )
-    rows = hits.select(
-        "engagement_id", "account", F.col("next.entry_id").alias("entry_id"),
-        F.col("next.entry_number").alias("entry_number"), F.col("prev.entry_number").alias("first_number"),
-        F.col("prev.amount").alias("amount"), days.alias("days"),
-    ).join(usage.filter("uses >= 3"), ["engagement_id", "account"], "left_semi")
+        & (F.abs(F.col("amount") - F.col("next_amount")) < F.lit("0.01").cast("decimal(3,2)"))
+    )
+    pairs = neighbours(cut, account, ["_day", "_range"], ["registration_date", "load_order", "position"],
+                       ["entry_id", "entry_number", "amount", "debited"], turned)
+    rows = pairs.select(
+        *account, F.col("next_entry_id").alias("entry_id"), F.col("next_entry_number").alias("entry_number"),
+        F.col("entry_number").alias("first_number"), "amount", days.alias("days"),
+    ).join(usage.filter("uses >= 3"), account, "left_semi")
     c = F.col
     text = E._say(
         "Possibile round-tripping: registrazione {b} inverte la {a} sullo stesso conto '{k}' entro {d} giorni "
@@ -135,21 +129,24 @@ def month_end_spikes(totalled: DataFrame, factor: int = 2) -> DataFrame:
     )
 
 
-def unusual_accounts(
-    totalled: DataFrame, lines: DataFrame, maximum_uses: int = 2, minimum_total: int = 1000
-) -> DataFrame:
-    """Accounts used at most ``maximum_uses`` times whose distinct entries total more than the minimum."""
-    per_entry = lines.groupBy("engagement_id", "account", "entry_id").agg(F.count(F.lit(1)).alias("uses"))
-    heads = totalled.select(*ENTRY_KEY, "entry_number", "load_order", "amount")
-    per_account = per_entry.join(heads, ENTRY_KEY).groupBy("engagement_id", "account").agg(
-        F.sum("uses").alias("usage_count"),
+def unusual_accounts(lines: DataFrame, maximum_uses: int = 2, minimum_total: int = 1000) -> DataFrame:
+    """Accounts used at most ``maximum_uses`` times whose distinct entries total more than the minimum, from laid-out lines.
+
+    Uses are counted first; the rest looks only at the few lines of the rare accounts.
+    """
+    account = ["engagement_id", "account"]
+    usage = lines.groupBy(*account).agg(F.count(F.lit(1)).alias("usage_count")).filter(F.col("usage_count") <= maximum_uses)
+    own = lines.filter("load_order IS NOT NULL").join(usage, account)
+    per_entry = own.select(*account, "usage_count", "entry_id", "entry_number", "load_order", "amount").distinct()
+    per_account = per_entry.groupBy(*account).agg(
+        F.max("usage_count").alias("usage_count"),
         F.sum("amount").alias("total_amount"),
         F.min_by("entry_id", "load_order").alias("entry_id"),
         F.min_by("entry_number", "load_order").alias("entry_number"),
         F.max_by("entry_number", "load_order").alias("last_number"),
     )
     c = F.col
-    rare = per_account.filter((c("usage_count") <= maximum_uses) & (c("total_amount") > minimum_total))
+    rare = per_account.filter(c("total_amount") > minimum_total)
     text = E._say(
         "Conto '{a}' usato raramente ({k} volte) ma con importo totale significativo: {t}",
         a=c("account"), k=c("usage_count"), t=c("total_amount"),
@@ -165,32 +162,27 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def all_anomalies(
-    entries: DataFrame, lines: DataFrame, sample: DataFrame, chart: DataFrame | None = None,
-    check_sequence: bool = True, check_duplicates: bool = True,
+    journal: EntryJournal, sample: DataFrame, chart: DataFrame | None = None,
+    check_sequence: bool = True, check_duplicates: bool = True, listed: int | None = None,
 ) -> DataFrame:
     """Validations of the sampled entries plus numbering gaps and duplicates of the population."""
-    sampled_lines = lines.join(sample.select(*ENTRY_KEY), ENTRY_KEY, "left_semi")
-    parts = [
-        E.unbalanced_entries(sample),
-        E.missing_description(sample),
-        E.too_few_lines(sample),
-        E.weekend_entries(sample),
-    ]
+    parts = [E.entry_findings(sample)]
     if chart is not None:
-        parts.append(E.unknown_accounts(sampled_lines, chart))
+        sampled = sample.select(*ENTRY_KEY)
+        parts.append(E.unknown_accounts(journal.lines.join(sampled, ENTRY_KEY, "left_semi"), chart))
     if check_sequence:
-        parts.append(E.entry_number_gaps(entries))
+        parts.append(E.entry_number_gaps(journal.entries, listed))
     if check_duplicates:
-        parts.append(E.duplicate_entries(entries, lines))
+        parts.append(E.duplicate_entries(journal.lines))
     return _union(parts)
 
 
-def advanced_anomalies(totalled: DataFrame, lines: DataFrame) -> DataFrame:
+def advanced_anomalies(journal: EntryJournal) -> DataFrame:
     return _union(
         [
-            benford_first_digit(totalled),
-            quick_reversals(totalled, lines),
-            month_end_spikes(totalled),
-            unusual_accounts(totalled, lines),
+            benford_first_digit(journal.entries),
+            quick_reversals(journal.lines),
+            month_end_spikes(journal.entries),
+            unusual_accounts(journal.lines),
         ]
     )

@@ -1,19 +1,19 @@
 """Entry-level journal tests: assembling entries from lines, totals, validations and duplicates.
 
 ``entries``: engagement_id, entry_id, entry_number, registration_date, description, load_order.
-``lines``: engagement_id, entry_id, entry_number, account, debit, credit (+ line order columns).
-Load order is data: "first" always means the lowest ``load_order``.
+``lines``: engagement_id, entry_id, entry_number, position, account, debit, credit.
+Order is data: the first entry is the one of lowest ``load_order``, the first line of an entry that of lowest ``position``.
+``entry_layout.lay_out`` joins the two once; functions that say "laid-out" read its tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallywright.functions.ordered import adjacent_pairs, number_bucket
+from tallywright.functions.ordered import neighbours, number_bucket
 from tallywright.functions.parsing import strip
 
 ENTRY_KEY = ["engagement_id", "entry_id"]
-LINE_ORDER = ["account", "debit", "credit"]
 ANOMALY = ["engagement_id", "anomaly_type", "severity", "entry_id", "entry_number", "description", "details"]
 
 
@@ -105,19 +105,26 @@ def with_totals(entries: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def anomaly(df: DataFrame, kind: str, severity: str, description: Column, **details: Column) -> DataFrame:
+def anomaly_cell(kind: str, severity: str, description: Column, **details: Column) -> Column:
+    """One finding on the row at hand, as a struct of the columns that follow the entry's keys."""
     pairs = [x for name, value in details.items() for x in (F.lit(name), value.cast("string"))]
-    return df.select(
-        "engagement_id",
+    return F.struct(
         F.lit(kind).alias("anomaly_type"),
         F.lit(severity).alias("severity"),
-        "entry_id",
-        "entry_number",
         description.alias("description"),
         (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("details"),
     )
 
 
+def _findings(df: DataFrame) -> DataFrame:
+    """Rows with a finding in ``_found`` as anomalies."""
+    return df.select("engagement_id", "_found.anomaly_type", "_found.severity", "entry_id", "entry_number", "_found.description", "_found.details")
+
+
+def anomaly(df: DataFrame, kind: str, severity: str, description: Column, **details: Column) -> DataFrame:
+    return _findings(df.withColumn("_found", anomaly_cell(kind, severity, description, **details)))
+
+
 def _say(template: str, **values: Column) -> Column:
     """Text with {name} placeholders filled from columns."""
     parts, rest = [], template
@@ -128,25 +135,66 @@ def _say(template: str, **values: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def unbalanced_entries(totalled: DataFrame) -> DataFrame:
+def _unbalanced() -> Column:
     c = F.col
     text = _say(
         "Registrazione n. {n} sbilanciata: Dare={d}, Avere={a}, Differenza={x}",
         n=c("entry_number"), d=c("total_debit"), a=c("total_credit"), x=F.abs("difference"),
     )
-    return anomaly(
-        totalled.filter(c("difference") != 0), "unbalanced", "critical", text,
-        debit=c("total_debit"), credit=c("total_credit"), difference=c("difference"),
-    )
+    cell = anomaly_cell("unbalanced", "critical", text, debit=c("total_debit"), credit=c("total_credit"), difference=c("difference"))
+    return F.when(c("difference") != 0, cell)
+
+
+def _undescribed() -> Column:
+    text = _say("Registrazione n. {n} senza causale/descrizione", n=F.col("entry_number"))
+    return F.when(_no_description(), anomaly_cell("missing_description", "info", text))
+
+
+def _thin() -> Column:
+    text = _say("Registrazione n. {n} con meno di 2 righe (trovate: {k})", n=F.col("entry_number"), k=F.col("line_count"))
+    return F.when(F.col("line_count") < 2, anomaly_cell("other", "warning", text, line_count=F.col("line_count")))
+
+
+def _on_weekend() -> Column:
+    day = F.weekday("registration_date")
+    name = F.when(day == 5, "Sabato").otherwise("Domenica")
+    text = _say("Registrazione n. {n} in {w} ({d})", n=F.col("entry_number"), w=name, d=F.col("registration_date"))
+    return F.when(day >= 5, anomaly_cell("weekend_entry", "info", text, date=F.col("registration_date"), weekday=day, day_name=name))
+
+
+def _checked(df: DataFrame, *checks: Column) -> DataFrame:
+    """Findings of several checks of single rows, in one pass over them."""
+    return _findings(df.withColumn("_found", F.explode(F.array_compact(F.array(*checks)))))
+
+
+def entry_findings(totalled: DataFrame) -> DataFrame:
+    """Unbalanced entries, entries without description or with fewer than two lines, and entries on a weekend."""
+    return _checked(totalled, _unbalanced(), _undescribed(), _thin(), _on_weekend())
+
+
+def unbalanced_entries(totalled: DataFrame) -> DataFrame:
+    return _checked(totalled, _unbalanced())
+
+
+def missing_description(entries: DataFrame) -> DataFrame:
+    return _checked(entries, _undescribed())
+
+
+def too_few_lines(totalled: DataFrame) -> DataFrame:
+    return _checked(totalled, _thin())
+
+
+def weekend_entries(entries: DataFrame) -> DataFrame:
+    return _checked(entries, _on_weekend())
 
 
 def date_regression(entries: DataFrame) -> DataFrame:
     """Entries dated before the entry that precedes them in load order."""
     levelled = entries.withColumn("_level", number_bucket("load_order"))
-    pairs = adjacent_pairs(
-        levelled, ["engagement_id"], ["_level"], ["load_order"], ["entry_id", "entry_number", "registration_date"]
-    ).filter(F.col("next.registration_date") < F.col("prev.registration_date"))
-    rows = pairs.select("engagement_id", "next.*", F.col("prev.registration_date").alias("previous_date"))
+    payload = ["entry_id", "entry_number", "registration_date"]
+    back = F.col("next_registration_date") < F.col("registration_date")
+    rows = neighbours(levelled, ["engagement_id"], ["_level"], ["load_order"], payload, back).select(
+        "engagement_id", *[F.col(f"next_{c}").alias(c) for c in payload], F.col("registration_date").alias("previous_date"))
     c = F.col
     text = _say(
         "Registrazione n. {n} con data anteriore alla precedente: {d} < {p}",
@@ -176,78 +224,47 @@ def _no_description() -> Column:
     return strip(F.coalesce("description", F.lit(""))) == ""
 
 
-def missing_description(entries: DataFrame) -> DataFrame:
-    text = _say("Registrazione n. {n} senza causale/descrizione", n=F.col("entry_number"))
-    return anomaly(entries.filter(_no_description()), "missing_description", "info", text)
-
+def entry_number_gaps(entries: DataFrame, listed: int | None = None) -> DataFrame:
+    """A warning per gap in entry numbers, on the first entry after it.
 
-def too_few_lines(totalled: DataFrame) -> DataFrame:
-    c = F.col
-    text = _say(
-        "Registrazione n. {n} con meno di 2 righe (trovate: {k})", n=c("entry_number"), k=c("line_count")
-    )
-    return anomaly(totalled.filter(c("line_count") < 2), "other", "warning", text, line_count=c("line_count"))
-
-
-def weekend_entries(entries: DataFrame) -> DataFrame:
-    day = F.weekday("registration_date")
-    name = F.when(day == 5, "Sabato").otherwise("Domenica")
-    text = _say(
-        "Registrazione n. {n} in {w} ({d})", n=F.col("entry_number"), w=name, d=F.col("registration_date")
-    )
-    return anomaly(
-        entries.filter(day >= 5), "weekend_entry", "info", text,
-        date=F.col("registration_date"), weekday=day, day_name=name,
-    )
-
-
-def entry_number_gaps(entries: DataFrame) -> DataFrame:
-    """A warning per gap in entry numbers, on the first entry after it, listing up to ten missing."""
-    first = entries.groupBy("engagement_id", "entry_number").agg(F.min_by("entry_id", "load_order").alias("entry_id"))
+    The gap is told by the numbers at its ends and its size; with ``listed`` the first missing numbers are listed too.
+    """
+    first = entries.groupBy("engagement_id", "entry_number").agg(F.min("load_order").alias("load_order"))
     levelled = first.withColumns(
         {"_far": number_bucket("entry_number", 10**12), "_near": number_bucket("entry_number")}
     )
-    pairs = adjacent_pairs(levelled, ["engagement_id"], ["_far", "_near"], ["entry_number"], ["entry_id"])
-    gaps = pairs.select(
-        "engagement_id", "next.*", F.col("prev.entry_number").alias("previous_number")
-    ).filter(F.col("entry_number") - F.col("previous_number") > 1)
+    apart = F.col("next_entry_number") - F.col("entry_number") > 1
+    gaps = neighbours(levelled, ["engagement_id"], ["_far", "_near"], ["entry_number"], ["load_order"], apart).select(
+        "engagement_id", F.col("next_entry_number").alias("entry_number"), F.col("next_load_order").alias("load_order"),
+        F.col("entry_number").alias("previous_number"))
+    named = gaps.join(entries.select("engagement_id", "load_order", "entry_id"), ["engagement_id", "load_order"])
     c = F.col
     count = c("entry_number") - c("previous_number") - 1
-    shown = F.sequence(c("previous_number") + 1, F.least(c("entry_number") - 1, c("previous_number") + 10))
     text = _say(
         "Buco nella numerazione: da {p} a {n}, mancano {k} registrazioni",
         p=c("previous_number"), n=c("entry_number"), k=count,
     )
-    return anomaly(
-        gaps, "sequence_gap", "warning", text, previous_number=c("previous_number"), current_number=c("entry_number"),
-        missing_count=count, missing_numbers=F.array_join(shown.cast("array<string>"), ","),
-    )
+    details = {"previous_number": c("previous_number"), "current_number": c("entry_number"), "missing_count": count}
+    if listed is not None:
+        shown = F.sequence(c("previous_number") + 1, F.least(c("entry_number") - 1, c("previous_number") + listed))
+        details["missing_numbers"] = F.array_join(shown.cast("array<string>"), ",")
+    return anomaly(named, "sequence_gap", "warning", text, **details)
 
 
-def duplicate_entries(entries: DataFrame, lines: DataFrame, line_order: list[str] | None = None) -> DataFrame:
-    """Entries after the first with the same date, first account and amount.
+def duplicate_entries(lines: DataFrame) -> DataFrame:
+    """Entries after the first with the same date, first account and amount, from laid-out lines.
 
     The first of each group is an aggregate that combines on the map side, so a large group of
     copies is never gathered; only groups with copies are joined back.
     """
-    order = line_order or LINE_ORDER
     signature = ["engagement_id", "registration_date", "first_account", "amount"]
-    heads = lines.groupBy(*ENTRY_KEY).agg(
-        F.min_by("account", F.struct(*order)).alias("first_account"),
-        F.greatest(F.sum("debit"), F.sum("credit")).alias("amount"),
-    )
-    signed = entries.join(heads, ENTRY_KEY).select(*signature, "entry_id", "entry_number", "load_order")
-    originals = (
-        signed.groupBy(*signature)
-        .agg(
-            F.min("load_order").alias("first_order"),
-            F.min_by("entry_number", "load_order").alias("original_number"),
-            F.count(F.lit(1)).alias("copies"),
-        )
-        .filter("copies > 1")
-        .drop("copies")
-    )
-    later = signed.join(originals, signature).filter(F.col("load_order") > F.col("first_order"))
+    signed = lines.filter("first_line").select(
+        *[F.col("account").alias(c) if c == "first_account" else c for c in signature], "entry_id", "entry_number", "load_order")
+    groups = signed.groupBy(*signature).agg(F.min("load_order").alias("first_order"), F.count(F.lit(1)).alias("copies"))
+    several = signed.join(groups.filter("copies > 1").drop("copies"), signature)
+    originals = several.filter(F.col("load_order") == F.col("first_order")).select(
+        "engagement_id", F.col("load_order").alias("first_order"), F.col("entry_number").alias("original_number"))
+    later = several.filter(F.col("load_order") > F.col("first_order")).join(originals, ["engagement_id", "first_order"])
     text = _say(
         "Possibile duplicato della registrazione n. {o}: stessa data, conto e importo", o=F.col("original_number")
     )
@@ -258,19 +275,19 @@ def duplicate_entries(entries: DataFrame, lines: DataFrame, line_order: list[str
 
 
 def validate_entries(
-    entries: DataFrame, lines: DataFrame, chart: DataFrame | None = None, order: str = "registration_date"
+    totalled: DataFrame, lines: DataFrame, chart: DataFrame | None = None, order: str = "registration_date"
 ) -> DataFrame:
     """Per entry the names of passed and failed checks and the valid flag.
 
     ``order`` is what entries are compared in for the date check: ``registration_date`` (each entry
     then follows an earlier date, so only the first has no check) or ``load_order``.
     """
-    totalled = with_totals(entries, lines)
-    sort = F.struct(*dict.fromkeys([order, "load_order"]), "entry_id")
-    firsts = entries.groupBy("engagement_id").agg(F.min(sort)["entry_id"].alias("entry_id")).withColumn("_first", F.lit(True))
-    marked = totalled.join(firsts, ENTRY_KEY, "left")
+    days = totalled.groupBy("engagement_id", "registration_date").agg(F.min("load_order").alias("load_order"))
+    first = F.min("load_order") if order == "load_order" else F.min_by("load_order", F.struct("registration_date", "load_order"))
+    firsts = days.groupBy("engagement_id").agg(first.alias("load_order")).withColumn("_first", F.lit(True))
+    marked = totalled.join(firsts, ["engagement_id", "load_order"], "left")
     if order == "load_order":
-        back = date_regression(entries).select(*ENTRY_KEY).distinct().withColumn("_back", F.lit(True))
+        back = date_regression(totalled).select(*ENTRY_KEY).distinct().withColumn("_back", F.lit(True))
         marked = marked.join(back, ENTRY_KEY, "left")
     else:
         marked = marked.withColumn("_back", F.lit(None).cast("boolean"))

@@ -37,10 +37,12 @@ def run_status(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"status": status, "reasoning": reasoning})
 
 
-def report_anomalies(anomalies: DataFrame, shown_notes: int = 10) -> DataFrame:
-    """All critical and warning anomalies and the first notes per engagement, worst first."""
+def report_anomalies(anomalies: DataFrame, shown_notes: int | None = None) -> DataFrame:
+    """All critical and warning anomalies and the notes of each engagement, only the first ones where a number is given."""
     columns = ["engagement_id", "severity", "entry_number", "anomaly_type", "description"]
     flat = anomalies.select(*columns)
+    if shown_notes is None:
+        return flat
     notes = first_n(
         flat.filter(F.col("severity") == "info"), ["engagement_id"],
         [F.col("entry_number"), F.col("anomaly_type"), F.col("description")], shown_notes,
@@ -48,19 +50,22 @@ def report_anomalies(anomalies: DataFrame, shown_notes: int = 10) -> DataFrame:
     return flat.filter(F.col("severity") != "info").unionByName(notes)
 
 
-def report_sample(sample: DataFrame, validations: DataFrame, shown: int = 10) -> DataFrame:
-    """The first sampled entries per engagement with their totals and validity."""
+def report_sample(sample: DataFrame, validations: DataFrame, shown: int | None = None, text_width: int | None = None) -> DataFrame:
+    """Sampled entries with their totals and validity, and with ``shown`` only the first of each engagement.
+
+    ``position`` is their place in the report (by reason and load order). It is a rank, so it is only given with ``shown``;
+    without it the rows carry reason and load order instead, and nothing is ranked. ``text_width`` cuts descriptions.
+    """
     reason = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("sample_reason"))
-    first = first_n(sample, ["engagement_id"], [reason, F.col("load_order")], shown)
+    if shown is None:
+        first, place = sample, [F.col("sample_reason"), F.col("load_order")]
+    else:
+        first = first_n(sample, ["engagement_id"], [reason, F.col("load_order")], shown)
+        place = [F.col("rank_no").alias("position")]
     valid = validations.select(*ENTRY_KEY, "is_valid")
+    text = F.col("description") if text_width is None else F.left("description", F.lit(text_width)).alias("description")
     return first.join(valid, ENTRY_KEY, "left").select(
-        "engagement_id",
-        F.col("rank_no").alias("position"),
-        "entry_number",
-        "registration_date",
-        F.left("description", F.lit(30)).alias("description"),
-        "total_debit",
-        "total_credit",
+        "engagement_id", *place, "entry_number", "registration_date", text, "total_debit", "total_credit",
         F.when(F.col("is_valid"), "✓").otherwise("⚠").alias("outcome"),
     )
 

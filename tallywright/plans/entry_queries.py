@@ -5,10 +5,10 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tallywright.constants import FIRST_DIGIT_SHARES
-from tallywright.operators import anomalies as A, entries as E, reporting as P, sampling as S
+from tallywright.operators import anomalies as A, entries as E, entry_layout as L, reporting as P, sampling as S
 from tallywright.plans.views import define, table, with_views
 
 QUERIES: dict = {}
@@ -26,18 +26,18 @@ def _add(name: str, build, sql: str | None, *views: str) -> None:
 COPY_OFFSET = 10_000_000
 
 define("item_lines", """
-SELECT l_orderkey AS entry_number, concat('A', CAST(l_partkey % 200 AS VARCHAR)) AS account,
+SELECT l_orderkey AS entry_number, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS position, concat('A', CAST(l_partkey % 200 AS VARCHAR)) AS account,
  CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_extendedprice END AS DECIMAL(18,2)) AS debit,
  CAST(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END AS DECIMAL(18,2)) AS credit FROM lineitem""")
 define("line_view", """
 SELECT concat('E', CAST(entry_number % 3 AS VARCHAR)) AS engagement_id, CAST(entry_number AS VARCHAR) AS entry_id,
- entry_number, account, debit, credit FROM (
+ entry_number, position, account, debit, credit FROM (
  SELECT * FROM item_lines
- UNION ALL SELECT entry_number, 'BALANCE', greatest(0, sum(credit) - sum(debit)), greatest(0, sum(debit) - sum(credit))
+ UNION ALL SELECT entry_number, 1000000000000, 'BALANCE', greatest(0, sum(credit) - sum(debit)), greatest(0, sum(debit) - sum(credit))
  FROM item_lines WHERE entry_number % 10 <> 0 GROUP BY entry_number) t
 UNION ALL
 SELECT concat('E', CAST(entry_number % 3 AS VARCHAR)), concat('D', CAST(entry_number AS VARCHAR)), entry_number + 10000000,
- account, debit, credit FROM item_lines WHERE entry_number % 500 = 0""", "item_lines")
+ position, account, debit, credit FROM item_lines WHERE entry_number % 500 = 0""", "item_lines")
 define("entry_view", """
 SELECT concat('E', CAST(k % 3 AS VARCHAR)) AS engagement_id, CAST(k AS VARCHAR) AS entry_id, k AS entry_number, d AS registration_date,
  description, k AS load_order FROM (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
@@ -56,52 +56,74 @@ SELECT *, total_debit - total_credit AS difference, total_debit = total_credit A
 define("chart", "SELECT DISTINCT concat('A', CAST(p_partkey % 190 AS VARCHAR)) AS account FROM part")
 
 
-def _keyed(number, prefix: str = "") -> list:
-    return [F.concat(F.lit("E"), (number % 3).cast("string")).alias("engagement_id"),
-            F.concat(F.lit(prefix), number.cast("string")).alias("entry_id")]
+def _keyed(number: Column, prefix: Column) -> list[Column]:
+    return [F.concat(F.lit("E"), (number % 3).cast("string")).alias("engagement_id"), F.concat(prefix, number.cast("string")).alias("entry_id")]
 
 
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as journal lines: nine of ten entries get a balancing line, every 500th a copy. The table is read once."""
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
     returned = F.col("l_returnflag") == "R"
+    number = F.col("entry_number")
     items = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("entry_number"),
+        (F.col("l_linenumber").cast("bigint") * 10**10 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).alias("position"),
         F.concat(F.lit("A"), F.col("l_partkey") % 200).alias("account"),
         F.when(returned, zero).otherwise(price).alias("debit"),
         F.when(returned, price).otherwise(zero).alias("credit"),
     )
-    number = F.col("entry_number")
-    open_amount = F.sum(F.col("debit") - F.col("credit"))
-    balances = items.filter(number % 10 != 0).groupBy("entry_number").agg(
-        F.lit("BALANCE").alias("account"),
-        F.greatest(zero, -open_amount).cast("decimal(18,2)").alias("debit"),
-        F.greatest(zero, open_amount).cast("decimal(18,2)").alias("credit"),
-    )
-    amounts = ["account", "debit", "credit"]
-    base = items.unionByName(balances.select(*items.columns)).select(*_keyed(number), "entry_number", *amounts)
-    copies = items.filter(number % 500 == 0).select(
-        *_keyed(number, "D"), (number + COPY_OFFSET).alias("entry_number"), *amounts)
-    return base.unionByName(copies)
+    entry = W.partitionBy("entry_number")  # an order has few items
+    open_amount = F.sum(F.col("debit") - F.col("credit")).over(entry)
+    first = F.row_number().over(entry.orderBy("position")) == 1
+    own = F.struct(F.lit("").alias("prefix"), "position", "account", "debit", "credit")
+    balance = F.struct(
+        F.lit("").alias("prefix"), F.lit(10**12).alias("position"), F.lit("BALANCE").alias("account"),
+        F.greatest(zero, -F.col("_open")).cast("decimal(18,2)").alias("debit"), F.greatest(zero, F.col("_open")).cast("decimal(18,2)").alias("credit"))
+    copy = F.struct(F.lit("D").alias("prefix"), "position", "account", "debit", "credit")
+    each = F.array_compact(F.array(own, F.when(F.col("_begins") & (number % 10 != 0), balance), F.when(number % 500 == 0, copy)))
+    rows = items.withColumns({"_open": open_amount, "_begins": first}).select("entry_number", F.explode(each).alias("x"))
+    return rows.select(
+        *_keyed(number, F.col("x.prefix")), (number + F.when(F.col("x.prefix") == "D", COPY_OFFSET).otherwise(0)).alias("entry_number"),
+        "x.position", "x.account", "x.debit", "x.credit")
 
 
 def journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries: those with items, a few without, and a copy of every 500th. Each table is read once."""
     key = F.col("o_orderkey")
     ordered = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("registration_date"), "o_orderpriority")
-    used = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    with_lines = ordered.join(used, "o_orderkey", "left_semi")
-    empty = ordered.filter(key % 701 == 0).join(used, "o_orderkey", "left_anti")
-    description = F.when(key % 40 == 0, "").otherwise(F.col("o_orderpriority")).alias("description")
-    base = with_lines.unionByName(empty).select(
-        *_keyed(key), key.alias("entry_number"), "registration_date", description, key.alias("load_order"))
-    copies = with_lines.filter(key % 500 == 0).select(
-        *_keyed(key, "D"), (key + COPY_OFFSET).alias("entry_number"), "registration_date",
-        F.col("o_orderpriority").alias("description"), (key + COPY_OFFSET).alias("load_order"))
-    return base.unionByName(copies)
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("_used", F.lit(True))
+    marked = ordered.join(used, "o_orderkey", "left").withColumn("_used", F.coalesce("_used", F.lit(False))).filter(F.col("_used") | (key % 701 == 0))
+    prefixes = F.when(F.col("_used") & (key % 500 == 0), F.array(F.lit(""), F.lit("D"))).otherwise(F.array(F.lit("")))
+    rows = marked.withColumn("_prefix", F.explode(prefixes))
+    copied = F.col("_prefix") == "D"
+    shift = F.when(copied, COPY_OFFSET).otherwise(0)
+    description = F.when((key % 40 == 0) & ~copied, "").otherwise(F.col("o_orderpriority")).alias("description")
+    return rows.select(
+        *_keyed(key, F.col("_prefix")), (key + shift).alias("entry_number"), "registration_date", description, (key + shift).alias("load_order"))
+
+
+STAGED: dict[tuple[str, str], L.EntryJournal] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str) -> L.EntryJournal:
+    """The journal as all queries below read it: staged by the first of them, for the session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in STAGED:
+        STAGED[key] = L.stage_journal(journal_entries(spark, sf_dir), journal_lines(spark, sf_dir))
+    return STAGED[key]
+
+
+def restaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal staged anew; its lines."""
+    old = STAGED.pop((spark.sparkContext.applicationId, sf_dir), None)
+    if old:
+        old.release()
+    return staged(spark, sf_dir).lines
 
 
 def totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.with_totals(journal_entries(spark, sf_dir), journal_lines(spark, sf_dir))
+    return staged(spark, sf_dir).entries
 
 
 def chart_of_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +183,7 @@ WHERE entry_start IS NOT NULL AND account <> ''""", "assembled")
 
 # --- validations ---------------------------------------------------------------------------------
 
-_add("E02_entry_totals", lambda s, d: E.entry_totals(journal_lines(s, d)), """
+_add("E02_entry_totals", lambda s, d: E.entry_totals(staged(s, d).lines), """
 SELECT engagement_id, entry_id, sum(debit) AS total_debit, sum(credit) AS total_credit, count(*) AS line_count,
  sum(debit) - sum(credit) AS difference, sum(debit) = sum(credit) AS balanced, greatest(sum(debit), sum(credit)) AS amount
 FROM line_view GROUP BY ALL""", "line_view")
@@ -185,11 +207,7 @@ _add("E03_unbalanced_entries", lambda s, d: _flat(E.unbalanced_entries(totalled(
      "SELECT * FROM a_unbalanced", "a_unbalanced")
 
 
-def loaded_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal_entries(spark, sf_dir)
-
-
-_add("E04_date_regression", lambda s, d: _flat(E.date_regression(loaded_entries(s, d)), "previous_date"), f"""
+_add("E04_date_regression", lambda s, d: _flat(E.date_regression(totalled(s, d)), "previous_date"), f"""
 SELECT {_head('invalid_date', 'warning')}, concat('Registrazione n. ', entry_number, ' con data anteriore alla precedente: ',
  registration_date, ' < ', previous_date) AS description, CAST(previous_date AS VARCHAR) AS previous_date FROM (
  SELECT *, lag(registration_date) OVER (PARTITION BY engagement_id ORDER BY load_order) AS previous_date FROM entry_view) t
@@ -199,12 +217,12 @@ SELECT {_head('missing_account', 'warning')}, concat('Registrazione n. ', entry_
  ''' non trovato nel piano dei conti') AS description, account AS account_code
 FROM line_view WHERE account NOT IN (SELECT account FROM chart)""", "line_view", "chart")
 _add("E05_unknown_accounts",
-     lambda s, d: _flat(E.unknown_accounts(journal_lines(s, d), chart_of_accounts(s, d)), "account_code"),
+     lambda s, d: _flat(E.unknown_accounts(staged(s, d).lines, chart_of_accounts(s, d)), "account_code"),
      "SELECT * FROM a_account", "a_account")
 define("a_description", f"""
 SELECT {_head('missing_description', 'info')}, concat('Registrazione n. ', entry_number, ' senza causale/descrizione') AS description
 FROM entry_view WHERE trim(description) = ''""", "entry_view")
-_add("E06_missing_description", lambda s, d: _flat(E.missing_description(journal_entries(s, d))),
+_add("E06_missing_description", lambda s, d: _flat(E.missing_description(totalled(s, d))),
      "SELECT * FROM a_description", "a_description")
 define("a_lines", f"""
 SELECT {_head('other', 'warning')}, concat('Registrazione n. ', entry_number, ' con meno di 2 righe (trovate: ', line_count, ')') AS description
@@ -214,14 +232,14 @@ define("a_weekend", f"""
 SELECT {_head('weekend_entry', 'info')}, concat('Registrazione n. ', entry_number, ' in ',
  CASE WHEN isodow(registration_date) = 6 THEN 'Sabato' ELSE 'Domenica' END, ' (', registration_date, ')') AS description
 FROM entry_view WHERE isodow(registration_date) >= 6""", "entry_view")
-_add("E08_weekend_entries", lambda s, d: _flat(E.weekend_entries(journal_entries(s, d))), "SELECT * FROM a_weekend", "a_weekend")
+_add("E08_weekend_entries", lambda s, d: _flat(E.weekend_entries(totalled(s, d))), "SELECT * FROM a_weekend", "a_weekend")
 define("a_gap", f"""
 SELECT {_head('sequence_gap', 'warning')}, concat('Buco nella numerazione: da ', p, ' a ', entry_number, ', mancano ',
  entry_number - p - 1, ' registrazioni') AS description,
  array_to_string(range(p + 1, least(entry_number, p + 11)), ',') AS missing_numbers FROM (
  SELECT *, lag(entry_number) OVER (PARTITION BY engagement_id ORDER BY entry_number, load_order) AS p FROM entry_view) t
 WHERE entry_number - p > 1""", "entry_view")
-_add("E09_entry_number_gaps", lambda s, d: _flat(E.entry_number_gaps(journal_entries(s, d)), "missing_numbers"),
+_add("E09_entry_number_gaps", lambda s, d: _flat(E.entry_number_gaps(totalled(s, d), listed=10), "missing_numbers"),
      "SELECT * FROM a_gap", "a_gap")
 define("a_duplicate", f"""
 SELECT {_head('duplicate', 'warning')}, concat('Possibile duplicato della registrazione n. ', o, ': stessa data, conto e importo') AS description,
@@ -229,14 +247,14 @@ SELECT {_head('duplicate', 'warning')}, concat('Possibile duplicato della regist
  SELECT *, row_number() OVER w AS rn, first_value(entry_number) OVER w AS o FROM (
   SELECT e.*, l.first_account, l.amount FROM entry_view e JOIN (
    SELECT engagement_id, entry_id, greatest(sum(debit), sum(credit)) AS amount,
-    (array_agg(account ORDER BY account, debit, credit))[1] AS first_account FROM line_view GROUP BY ALL) l
+    arg_min(account, position) AS first_account FROM line_view GROUP BY ALL) l
   ON l.engagement_id = e.engagement_id AND l.entry_id = e.entry_id) x
  WINDOW w AS (PARTITION BY engagement_id, registration_date, first_account, amount ORDER BY load_order)) t
 WHERE rn > 1""", "entry_view", "line_view")
 
 
 def unbalanced_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.duplicate_entries(journal_entries(spark, sf_dir), journal_lines(spark, sf_dir))
+    return E.duplicate_entries(staged(spark, sf_dir).lines)
 
 
 _add("E10_duplicate_entries", lambda s, d: _flat(unbalanced_copies(s, d), "signature"), "SELECT * FROM a_duplicate", "a_duplicate")
@@ -247,7 +265,8 @@ def _joined_checks(df: DataFrame) -> DataFrame:
 
 
 def validations(spark: SparkSession, sf_dir: str, order: str = "registration_date") -> DataFrame:
-    return E.validate_entries(journal_entries(spark, sf_dir), journal_lines(spark, sf_dir), chart_of_accounts(spark, sf_dir), order)
+    journal = staged(spark, sf_dir)
+    return E.validate_entries(journal.entries, journal.lines, chart_of_accounts(spark, sf_dir), order)
 
 
 def _validation_sql(order: str) -> str:
@@ -286,8 +305,9 @@ def round_totalled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("E12_sample_by_threshold", lambda s, d: S.sample_by_threshold(totalled(s, d), THRESHOLD).select(*_SAMPLE),
      f"SELECT {_SAMPLE_SQL} FROM totalled WHERE amount >= 400000", "totalled")
 _add("E13_sample_by_accounts",
-     lambda s, d: S.sample_by_accounts(totalled(s, d), journal_lines(s, d), FOCUS).select(*_SAMPLE), f"""
-SELECT {_SAMPLE_SQL} FROM totalled WHERE entry_id IN (SELECT entry_id FROM line_view WHERE lower(account) IN ('a7', 'a11'))""", "totalled")
+     lambda s, d: S.sample_by_accounts(totalled(s, d), staged(s, d).lines, FOCUS).select(*_SAMPLE), f"""
+SELECT {_SAMPLE_SQL} FROM totalled JOIN (SELECT DISTINCT engagement_id, entry_id FROM line_view WHERE lower(account) IN ('a7', 'a11')) f
+USING (engagement_id, entry_id)""", "totalled", "line_view")
 _add("E14_sample_unbalanced", lambda s, d: S.sample_unbalanced(totalled(s, d)).select(*_SAMPLE),
      f"SELECT {_SAMPLE_SQL} FROM totalled WHERE total_debit <> total_credit", "totalled")
 _add("E15_sample_round_amounts", lambda s, d: S.sample_round_amounts(round_totalled(s, d)).select(*_SAMPLE), """
@@ -300,7 +320,7 @@ _add("E16_sample_random", lambda s, d: S.sample_random(totalled(s, d), DRAWS, SE
 
 def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.combined_sample(
-        totalled(spark, sf_dir), journal_lines(spark, sf_dir), threshold=THRESHOLD, focus_accounts=FOCUS,
+        totalled(spark, sf_dir), staged(spark, sf_dir).lines, threshold=THRESHOLD, focus_accounts=FOCUS,
         include_round_amounts=True, random_count=DRAWS, seed=SEED, date_from=date(1996, 1, 1), date_to=date(1999, 12, 31))
 
 
@@ -324,7 +344,7 @@ LEFT JOIN (SELECT engagement_id, count(*) AS n, sum(amount) AS a FROM sampled GR
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sample_stats(combined(spark, sf_dir), journal_entries(spark, sf_dir))
+    return S.sample_stats(combined(spark, sf_dir), totalled(spark, sf_dir))
 
 
 _add("E18_sample_stats", statistics, "SELECT * FROM stats", "stats")
@@ -351,10 +371,10 @@ _add("E19_benford_anomaly", lambda s, d: _flat(A.benford_first_digit(totalled(s,
 ORACLE["E19_benford_anomaly"] = with_views("SELECT * FROM a_benford", "a_benford").replace("{limit}", "0.01")
 
 
-def cut_movements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries with amounts cut to whole 50,000s, so that equal neighbours occur."""
+def cut_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their entries' amounts cut to whole 50,000s, so that equal neighbours occur."""
     coarse = F.floor(F.col("amount") / 50000) * F.lit(50000).cast("decimal(18,2)")
-    return totalled(spark, sf_dir).withColumn("amount", coarse), journal_lines(spark, sf_dir)
+    return staged(spark, sf_dir).lines.withColumn("amount", coarse)
 
 
 define("a_reversal", """
@@ -362,14 +382,14 @@ SELECT engagement_id, 'other' AS anomaly_type, 'warning' AS severity, entry_id,
  concat('Possibile round-tripping: registrazione ', entry_number, ' inverte la ', p.entry_number, ' sullo stesso conto ''', account,
   ''' entro ', registration_date - p.registration_date, ' giorni (importo: ', p.amount, ')') AS description, account FROM (
  SELECT *, lag(struct_pack(side, registration_date, amount, entry_number)) OVER (PARTITION BY engagement_id, account
-   ORDER BY registration_date, load_order, debit, credit) AS p,
+   ORDER BY registration_date, load_order, position) AS p,
   count(*) OVER (PARTITION BY engagement_id, account) AS uses FROM (
-  SELECT l.engagement_id, l.entry_id, l.account, l.debit, l.credit, CASE WHEN l.debit > 0 THEN 'D' ELSE 'A' END AS side,
+  SELECT l.engagement_id, l.entry_id, l.account, l.position, CASE WHEN l.debit > 0 THEN 'D' ELSE 'A' END AS side,
    t.entry_number, t.registration_date, t.load_order, {amount} AS amount
   FROM line_view l JOIN totalled t ON t.engagement_id = l.engagement_id AND t.entry_id = l.entry_id) x) y
 WHERE uses >= 3 AND p.side <> side AND registration_date - p.registration_date <= 7 AND abs(p.amount - amount) < 0.01""",
        "line_view", "totalled")
-_add("E20_quick_reversals", lambda s, d: _flat(A.quick_reversals(*cut_movements(s, d)), "account"), "SELECT * FROM a_reversal", "a_reversal")
+_add("E20_quick_reversals", lambda s, d: _flat(A.quick_reversals(cut_movements(s, d)), "account"), "SELECT * FROM a_reversal", "a_reversal")
 ORACLE["E20_quick_reversals"] = ORACLE["E20_quick_reversals"].replace(
     "{amount}", "CAST(floor(t.amount / 50000) * 50000 AS DECIMAL(38,2))")
 
@@ -397,11 +417,11 @@ def lines_with_rare_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines where every 97th entry uses an account of its own."""
     own = F.concat(F.lit("X"), F.floor(F.col("entry_number") / 97))
     rare = (F.col("entry_number") % 97 == 0) & F.col("account").like("%7")
-    return journal_lines(spark, sf_dir).withColumn("account", F.when(rare, own).otherwise(F.col("account")))
+    return staged(spark, sf_dir).lines.withColumn("account", F.when(rare, own).otherwise(F.col("account")))
 
 
 _add("E22_unusual_accounts",
-     lambda s, d: _flat(A.unusual_accounts(totalled(s, d), lines_with_rare_accounts(s, d)), "usage_count", "last_number"), """
+     lambda s, d: _flat(A.unusual_accounts(lines_with_rare_accounts(s, d)), "usage_count", "last_number"), """
 SELECT engagement_id, 'unusual_account' AS anomaly_type, 'info' AS severity, f[1].entry_id AS entry_id, f[1].entry_number AS entry_number,
  concat('Conto ''', account, ''' usato raramente (', uses, ' volte) ma con importo totale significativo: ', total) AS description,
  CAST(uses AS VARCHAR) AS usage_count, CAST(f[-1].entry_number AS VARCHAR) AS last_number FROM (
@@ -425,12 +445,11 @@ UNION ALL SELECT {_COLUMNS} FROM a_gap UNION ALL SELECT {_COLUMNS} FROM a_duplic
 
 
 def found_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.all_anomalies(
-        journal_entries(spark, sf_dir), journal_lines(spark, sf_dir), combined(spark, sf_dir), chart_of_accounts(spark, sf_dir))
+    return A.all_anomalies(staged(spark, sf_dir), combined(spark, sf_dir), chart_of_accounts(spark, sf_dir))
 
 
 def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.advanced_anomalies(totalled(spark, sf_dir), journal_lines(spark, sf_dir))
+    return A.advanced_anomalies(staged(spark, sf_dir))
 
 
 def sample_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,9 +466,10 @@ _add("E23_advanced_anomalies", lambda s, d: _flat(advanced(s, d)), f"""
 SELECT {_COLUMNS} FROM a_benford UNION ALL SELECT {_COLUMNS} FROM a_reversal UNION ALL SELECT {_COLUMNS} FROM a_spike
 UNION ALL SELECT engagement_id, 'unusual_account', 'info', f[1].entry_id, f[1].entry_number,
  concat('Conto ''', account, ''' usato raramente (', uses, ' volte) ma con importo totale significativo: ', total) FROM (
- SELECT l.engagement_id, l.account, count(*) AS uses, sum(DISTINCT amount) AS total,
-  array_agg(struct_pack(entry_id := t.entry_id, entry_number := t.entry_number) ORDER BY load_order) AS f
- FROM line_view l JOIN totalled t ON t.engagement_id = l.engagement_id AND t.entry_id = l.entry_id GROUP BY ALL) y
+ SELECT engagement_id, account, CAST(sum(n) AS BIGINT) AS uses, sum(amount) AS total,
+  array_agg(struct_pack(entry_id := entry_id, entry_number := entry_number) ORDER BY load_order) AS f FROM (
+  SELECT l.engagement_id, l.account, t.entry_id, t.entry_number, t.load_order, t.amount, count(*) AS n
+  FROM line_view l JOIN totalled t ON t.engagement_id = l.engagement_id AND t.entry_id = l.entry_id GROUP BY ALL) x GROUP BY ALL) y
 WHERE uses <= 2 AND total > 1000""", "a_benford", "a_reversal", "a_spike", "line_view", "totalled")
 ORACLE["E23_advanced_anomalies"] = (
     ORACLE["E23_advanced_anomalies"].replace("{limit}", "0.15").replace("{amount}", "t.amount").replace("{day}", "registration_date"))
@@ -470,11 +490,11 @@ SELECT *, CASE WHEN entries_validated = 0 OR critical_anomalies > 0 THEN 'wip' E
    ' note di attenzione, nessuna anomalia critica.')
   ELSE concat('Test completato su ', entries_validated, ' registrazioni. Nessuna anomalia rilevata.') END AS reasoning FROM tally""", "tally")
 _add("E25_run_status", lambda s, d: P.run_status(counts(s, d)), "SELECT * FROM status", "status")
-_add("E26_anomaly_report", lambda s, d: P.report_anomalies(found_anomalies(s, d)), """
+_add("E26_anomaly_report", lambda s, d: P.report_anomalies(found_anomalies(s, d), shown_notes=10), """
 SELECT engagement_id, severity, entry_number, anomaly_type, description FROM (
  SELECT *, row_number() OVER (PARTITION BY engagement_id, severity ORDER BY entry_number, anomaly_type, description) AS rn FROM found) t
 WHERE severity <> 'info' OR rn <= 10""", "found")
-_add("E26_sample_report", lambda s, d: P.report_sample(combined(s, d), sample_validations(s, d)), """
+_add("E26_sample_report", lambda s, d: P.report_sample(combined(s, d), sample_validations(s, d), shown=10, text_width=30), """
 SELECT engagement_id, CAST(rn AS INT) AS position, entry_number, registration_date, left(description, 30) AS description, total_debit, total_credit,
  CASE WHEN is_valid THEN '✓' ELSE '⚠' END AS outcome FROM (
  SELECT s.*, v.is_valid, row_number() OVER (PARTITION BY s.engagement_id ORDER BY

@@ -3,11 +3,13 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallywright.functions.ordered import adjacent_pairs, number_rows
+from tallywright.functions.ordered import neighbours, number_rows
 from tallywright.functions.tables import constant_table
 from tallywright.operators import anomalies as A, entries as E, reporting as P, sampling as S
+from tallywright.operators.entry_layout import entries_of_sheets, lay_out, stage_journal
 from tallywright.plans import entry_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -19,8 +21,8 @@ def entries(spark, *rows):
 
 
 def lines(spark, *rows):
-    full = [("E", str(n), n, a, Decimal(d), Decimal(c)) for n, a, d, c in rows]
-    return constant_table(spark, "engagement_id string, entry_id string, entry_number bigint, account string, debit decimal(18,2), credit decimal(18,2)", full)
+    full = [("E", str(n), n, place, a, Decimal(d), Decimal(c)) for place, (n, a, d, c) in enumerate(rows)]
+    return constant_table(spark, "engagement_id string, entry_id string, entry_number bigint, position int, account string, debit decimal(18,2), credit decimal(18,2)", full)
 
 
 MONDAY = date(2026, 1, 5)
@@ -29,11 +31,12 @@ MONDAY = date(2026, 1, 5)
 def test_validations(spark):
     e = entries(spark, (1, MONDAY, "ok"), (2, MONDAY, " "), (3, date(2026, 1, 4), "x"), (9, date(2026, 1, 10), "y"))
     ln = lines(spark, (1, "A", 10, 0), (1, "B", 0, 10), (2, "A", 5, 0), (2, "Z", 0, 4), (3, "A", 1, 1))
-    v = {r.entry_number: (r.checks_failed, r.is_valid, r.checks_passed) for r in E.validate_entries(e, ln, constant_table(spark, "account string", [("A",), ("B",)])).collect()}
+    v = {r.entry_number: (r.checks_failed, r.is_valid, r.checks_passed) for r in E.validate_entries(E.with_totals(e, ln), ln, constant_table(spark, "account string", [("A",), ("B",)])).collect()}
     assert v[1][:2] == ([], True) and v[2][0] == ["bilanciamento", "codici_conto", "completezza"] and v[9][0] == ["completezza"]
     assert "sequenza_date" not in v[3][2] and "sequenza_date" in v[1][2]
     assert [r.entry_number for r in E.date_regression(e).collect()] == [3]
-    gap = E.entry_number_gaps(e).first()
+    gap = E.entry_number_gaps(e, listed=10).first()
+    assert "missing_numbers" not in E.entry_number_gaps(e).first().details
     assert gap.entry_number == 9 and gap.details["missing_numbers"] == "4,5,6,7,8"
     assert {r.entry_number: r.details["day_name"] for r in E.weekend_entries(e).collect()} == {3: "Domenica", 9: "Sabato"}
     assert E.unknown_accounts(ln, None).count() == 0
@@ -42,13 +45,56 @@ def test_validations(spark):
 def test_duplicates_name_the_first_entry(spark):
     e = entries(spark, *[(n, MONDAY, "x") for n in (7, 3, 5)], (4, date(2026, 1, 6), "x"))
     ln = lines(spark, *[(n, "A", 10, 0) for n in (7, 3, 5, 4)])
-    assert {(r.entry_number, r.details["original_number"]) for r in E.duplicate_entries(e, ln).collect()} == {(3, "7"), (5, "7")}
+    assert {(r.entry_number, r.details["original_number"]) for r in E.duplicate_entries(lay_out(e, ln).lines).collect()} == {(3, "7"), (5, "7")}
+
+
+def test_first_account_is_that_of_the_first_line(spark):
+    """The smallest account of both entries is A, but only 1 and 3 begin with the same one."""
+    e = entries(spark, *[(n, MONDAY, "x") for n in (1, 2, 3)])
+    ln = lines(spark, (1, "Z", 10, 0), (1, "A", 0, 10), (2, "A", 10, 0), (2, "Z", 0, 10), (3, "Z", 0, 10), (3, "A", 10, 0))
+    found = E.duplicate_entries(lay_out(e, ln).lines).collect()
+    assert [(r.entry_number, r.details["signature"]) for r in found] == [(3, "2026-01-05|Z|10.00")]
+
+
+def test_reversals_follow_line_order(spark):
+    """Within one entry the lines stand as credit, debit, debit: only the first two are neighbours on opposite sides."""
+    e = entries(spark, (1, MONDAY, "x"))
+    ln = lines(spark, (1, "A", 0, 10), (1, "A", 10, 0), (1, "A", 10, 0))
+    assert A.quick_reversals(lay_out(e, ln).lines).count() == 1
+    ln = lines(spark, (1, "A", 10, 0), (1, "A", 0, 10), (1, "A", 10, 0))
+    assert A.quick_reversals(lay_out(e, ln).lines).count() == 2
+
+
+def test_lay_out_keeps_entries_without_lines_and_lines_without_entry(spark):
+    journal = stage_journal(entries(spark, (1, MONDAY, "x"), (2, MONDAY, "y")), lines(spark, (1, "B", 5, 0), (1, "A", 0, 5), (9, "C", 1, 0)))
+    assert {r.entry_number: (r.line_count, str(r.amount), r.balanced) for r in journal.entries.collect()} == {1: (2, "5.00", True), 2: (0, "0.00", True)}
+    assert {(r.entry_number, r.account): (r.load_order, r.first_line) for r in journal.lines.collect()} == {(1, "B"): (0, True), (1, "A"): (0, False), (9, "C"): (None, None)}
+    journal.release()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(journal.tables[1].path).count()
+
+
+def test_sheets_become_entries_and_lines(spark):
+    """From lines of two files to findings, with the files' own order of entries and lines."""
+    rows = [("f2", 1, 7, "B", "2026-01-05", "x", 10, 0), ("f2", 2, None, "A", "2026-01-05", "", 0, 10), ("f2", 3, 8, "B", "2026-01-02", "y", 10, 0),
+            ("f2", 4, None, "A", "2026-01-02", "", 0, 9), ("f1", 1, 7, "B", "2026-01-05", "z", 0, 10), ("f1", 2, 7, " ", "2026-01-05", "z", 3, 0)]
+    cells = spark.createDataFrame(rows, "source_id string, position bigint, entry_number bigint, account string, d string, description string, debit int, credit int")
+    cells = cells.select("source_id", "position", "entry_number", "account", F.col("d").cast("date").alias("registration_date"), "description",
+                         F.col("debit").cast("decimal(18,2)").alias("debit"), F.col("credit").cast("decimal(18,2)").alias("credit"))
+    sources = spark.createDataFrame([("f1", "E", 2), ("f2", "E", 1)], "source_id string, engagement_id string, source_order int")
+    journal = lay_out(*entries_of_sheets(E.assemble_entries(cells), sources))
+    got = [(r.entry_id, r.entry_number, r.line_count) for r in journal.entries.orderBy("load_order").collect()]
+    assert got == [("f2:1", 7, 2), ("f2:3", 8, 2), ("f1:1", 7, 1)]
+    found = A.all_anomalies(journal, journal.entries)
+    kinds = sorted((r.anomaly_type, r.entry_id) for r in found.collect())
+    assert kinds == [("duplicate", "f1:1"), ("other", "f1:1"), ("unbalanced", "f1:1"), ("unbalanced", "f2:3")]
+    assert [(r.entry_id) for r in E.date_regression(journal.entries).collect()] == ["f2:3"]
 
 
 def test_busy_accounts_give_the_same_reversals(spark):
-    totalled, movements = Q.cut_movements(spark, SF)
-    plain = sorted(r.description for r in A.quick_reversals(totalled, movements).collect())
-    split = sorted(r.description for r in A.quick_reversals(totalled, movements, busy_rows=5).collect())
+    movements = Q.cut_movements(spark, SF)
+    plain = sorted(r.description for r in A.quick_reversals(movements).collect())
+    split = sorted(r.description for r in A.quick_reversals(movements, busy_rows=5).collect())
     assert plain and plain == split
 
 
@@ -56,8 +102,8 @@ def test_reversal_needs_three_movements(spark):
     e = entries(spark, (1, MONDAY, "x"), (2, MONDAY, "x"))
     two = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10))
     three = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10), (2, "A", 0, 10))
-    assert A.quick_reversals(E.with_totals(e, two), two).count() == 0
-    assert A.quick_reversals(E.with_totals(e, two), three).count() == 1
+    assert A.quick_reversals(lay_out(e, two).lines).count() == 0
+    assert A.quick_reversals(lay_out(e, three).lines).count() == 1
 
 
 def test_sample_is_repeatable_and_disjoint(spark):
@@ -67,7 +113,7 @@ def test_sample_is_repeatable_and_disjoint(spark):
     per = {r.engagement_id: r["count"] for r in S.sample_random(totalled, 1200, 1).groupBy("engagement_id").count().collect()}
     total = {r.engagement_id: r["count"] for r in totalled.groupBy("engagement_id").count().collect()}
     assert per == {k: min(1200, n) for k, n in total.items()}
-    sample = S.combined_sample(totalled, Q.journal_lines(spark, SF), Decimal(300000), ["a7"], random_count=5)
+    sample = S.combined_sample(totalled, Q.staged(spark, SF).lines, Decimal(300000), ["a7"], random_count=5)
     assert sample.count() == sample.select("entry_id").distinct().count()
     assert sample.filter("sample_reason = 'random'").groupBy("engagement_id").count().select(F.max("count")).first()[0] == 5
     totalled.unpersist()
@@ -89,15 +135,18 @@ def test_status(spark):
     assert {r.engagement_id: r.status for r in P.run_status(counts).collect()} == {"A": "wip", "B": "wip", "C": "✓", "D": "✓"}
 
 
-def test_pairs_and_numbers_do_not_depend_on_bucket_width(spark):
-    rows = spark.range(500).select(F.lit("k").alias("k"), (F.col("id") * 37 % 1000).alias("n"))
-    want = sorted(r.n for r in rows.collect())
+def test_neighbours_and_numbers_do_not_depend_on_bucket_width(spark):
+    rows = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 37 % 1000).alias("n"), (F.col("id") % 3).alias("v"))
+    own = {k: sorted((r.n, r.v) for r in rows.collect() if r.k == k) for k in (0, 1)}
+    pairs = [(k, *x, *y) for k, v in own.items() for x, y in zip(v, v[1:])]
     for width in (3, 50, 10_000):
         levelled = rows.withColumns({"far": F.col("n") - F.col("n") % (width * 10), "near": F.col("n") - F.col("n") % width})
-        pairs = adjacent_pairs(levelled, ["k"], ["far", "near"], ["n"], [])
-        assert sorted((r.prev.n, r.next.n) for r in pairs.collect()) == list(zip(want, want[1:]))
+        for hit, want in ((None, pairs), (F.col("v") != F.col("next_v"), [p for p in pairs if p[2] != p[4]]),
+                          (F.col("next_n") - F.col("n") > 2, [p for p in pairs if p[3] - p[1] > 2]), (F.lit(None).cast("boolean"), [])):
+            found = neighbours(levelled, ["k"], ["far", "near"], ["n"], ["v"], hit).select("k", "n", "v", "next_n", "next_v")
+            assert sorted(map(tuple, found.collect())) == want
         numbered = number_rows(levelled, ["k"], ["near"], ["n"], "place")
-        assert [r.n for r in numbered.orderBy("place").collect()] == want
+        assert [r.n for r in numbered.orderBy("k", "place").collect()] == [n for k in (0, 1) for n, _ in own[k]]
 
 
 def test_missing_and_present_numbers_fill_the_range(spark):

@@ -143,7 +143,20 @@ def test_numbering(spark):
         Q.sequence_missing(rows, -1)
     long = numbers(spark, "1" * 39, "2", "4", "0" * 40 + "5")
     assert [r.expected_number for r in Q.sequence_missing(long).collect()] == ["3"]
-    assert [r.document_number for r in Q.unreadable_numbers(long).collect()] == ["1" * 39]
+    assert [(r.previous_number, r.next_number, r.missing_count) for r in Q.sequence_wide_gaps(long).collect()] == [("5", "1" * 39, "1" * 38 + "05")]
+
+
+def test_numbers_of_any_length(spark):
+    """Distinct numbers of 6 to 72 digits, with borders of ranges and of decimal arithmetic among them."""
+    r = random.Random(3)
+    bases = [10**5, 10**17, 10**18, 10**37, 10**38 - 50, 10**38, 10**39, 10**54 - 3, 10**60, 10**71 - 1]
+    held = sorted({b + r.randint(0, 60) for b in bases for _ in range(12)} | {7 * b for b in bases})
+    rows = numbers(spark, *[("00" if n % 3 == 0 else "") + str(n) for n in held], "x1", None)
+    gaps = [(a, b, b - a - 1) for a, b in zip(held, held[1:]) if b - a > 1]
+    assert sorted((int(x.previous), int(x.following), int(x.missing)) for x in Q.numbering_gaps(rows).collect()) == gaps
+    assert sorted(int(x.expected_number) for x in Q.sequence_missing(rows, 50).collect()) == [k for a, b, m in gaps if m <= 50 for k in range(a + 1, b)]
+    assert sorted((int(x.previous_number), int(x.next_number), int(x.missing_count)) for x in Q.sequence_wide_gaps(rows, 50).collect()) == [
+        g for g in gaps if g[2] > 50]
 
 
 def test_calendar(spark):
