@@ -16,28 +16,81 @@ from tallywright.operators.classification import minutes_date
 
 RECORD_LINES = 7
 RECORD_BUCKET = 1_000_000
+#: Lines whose record starts are walked in one cell.
+RECORD_BLOCK = 4096
 ENGAGEMENT = "engagement_id"
 
 
-def _record_starts(lines: DataFrame) -> DataFrame:
-    """Every possible record start with its six following lines and whether one starts just before.
+def _record_starts(lines: DataFrame, block: int = RECORD_BLOCK) -> DataFrame:
+    """Every possible record start with its six following lines, and ``overlaps`` where it lies inside a record kept before.
 
-    Non-blank lines are numbered per source; a bucket of lines also holds the six lines on either
-    side of it, so a record that crosses a border is still seen whole.
+    Non-blank lines are numbered per source; a bucket of lines also holds the six lines after it, so a record that
+    crosses a border is still seen whole.
     """
     filled = lines.select("source_id", "line_number", strip(F.col("value")).alias("value")).filter("value <> ''")
     bucketed = filled.withColumn("_b", number_bucket("line_number"))
     numbered = number_rows(bucketed, ["source_id"], ["_b"], ["line_number"], "n").drop("_b")
-    reach = RECORD_LINES - 1
     home = F.floor(F.col("n") / RECORD_BUCKET)
-    near = F.sequence(F.floor((F.col("n") - reach) / RECORD_BUCKET), F.floor((F.col("n") + reach) / RECORD_BUCKET))
+    near = F.sequence(F.floor((F.col("n") - RECORD_LINES + 1) / RECORD_BUCKET), home)
     spread = numbered.withColumn("_home", home).withColumn("_part", F.explode(near))
     part = W.partitionBy("source_id", "_part").orderBy("n")
     seen = spread.withColumns({f"l{i}": F.lead("value", i).over(part) for i in range(1, RECORD_LINES)})
     starts = F.col("value").rlike(r"(?i)^(BU|SA)\d{2}$") & F.col("l2").rlike("^[A-Z]{3}$") & F.col("l6").isNotNull()
-    seen = seen.withColumn("_starts", F.coalesce(starts, F.lit(False)))
-    before = F.max(F.when(F.col("_starts"), 1)).over(part.rowsBetween(-reach, -1))
-    return seen.withColumn("overlaps", before.isNotNull()).filter("_starts AND _part = _home")
+    found = seen.filter(F.coalesce(starts, F.lit(False)) & (F.col("_part") == F.col("_home")))
+    kept = kept_starts(found.select("source_id", "n"), block).withColumn("_kept", F.lit(True))
+    return found.join(kept, ["source_id", "n"], "left").withColumn("overlaps", F.col("_kept").isNull())
+
+
+def _walk(numbers: Column, free: Column) -> Column:
+    """Of rising numbers those kept, each at least a record after the one kept before, and the next free number."""
+    begin = F.struct(free.alias("free"), F.array().cast("array<bigint>").alias("kept"))
+    take = lambda s, n: F.struct((n + RECORD_LINES).alias("free"), F.array_append(s["kept"], n).alias("kept"))
+    return F.aggregate(numbers, begin, lambda s, n: F.when(n >= s["free"], take(s, n)).otherwise(s))
+
+
+def _pass(units: Column, state: Column, first: Column) -> Column:
+    """States in which units (place, after: state by state) are entered one after another; the state that is left in the end.
+
+    The first place that can be entered in ``state`` is ``first``. A unit that doesn't follow the one before at once is entered in state 0.
+    """
+    begin = F.struct(first.alias("next"), state.alias("state"), F.array().cast("array<struct<place:bigint,entered:int>>").alias("seen"))
+
+    def step(s: Column, unit: Column) -> Column:
+        entered = F.when(unit["place"] == s["next"], s["state"]).otherwise(F.lit(0))
+        seen = F.array_append(s["seen"], F.struct(unit["place"].alias("place"), entered.alias("entered")))
+        return F.struct((unit["place"] + 1).alias("next"), F.get(unit["after"], entered).alias("state"), seen.alias("seen"))
+
+    return F.aggregate(units, begin, step)
+
+
+def kept_starts(starts: DataFrame, block: int = RECORD_BLOCK, blocks: int = 256) -> DataFrame:
+    """(source_id, n) of the starts that count: taken in order, each at least seven lines after the last one that counted.
+
+    What a block of lines does to those after it is a function of seven states, the lines still taken by a record
+    when the block begins. Blocks are folded from every state at once, runs of blocks from their blocks' functions, and a
+    source from its runs; then the states go back down, and each block is walked from the one it is entered in. A cell
+    holds one block's starts, one run's blocks or one source's runs (one for every ``block * blocks`` lines).
+    """
+    states = F.sequence(F.lit(0), F.lit(RECORD_LINES - 1))
+    place = F.floor(F.col("n") / block).cast("bigint")
+    walked = starts.groupBy("source_id", place.alias("place")).agg(F.sort_array(F.collect_list(F.col("n").cast("bigint"))).alias("numbers"))
+    begin = F.col("place") * block
+    leaves = F.transform(states, lambda k: F.greatest(_walk(F.col("numbers"), begin + k)["free"] - begin - block, F.lit(0)).cast("int"))
+    walked = walked.withColumns({"after": leaves, "run": F.floor(F.col("place") / blocks).cast("bigint")})
+    units = F.sort_array(F.collect_list(F.struct("place", "after"))).alias("units")
+    runs = walked.groupBy("source_id", "run").agg(units)
+    first = F.col("run") * blocks
+
+    def left(k: Column) -> Column:
+        s = _pass(F.col("units"), k, first)
+        return F.when(s["next"] == first + blocks, s["state"]).otherwise(F.lit(0))
+
+    sources = runs.select("source_id", F.col("run").alias("place"), F.transform(states, left).alias("after")).groupBy("source_id").agg(units)
+    entered = sources.select("source_id", F.explode(_pass(F.col("units"), F.lit(0), F.lit(-1).cast("bigint"))["seen"]).alias("s"))
+    entered = entered.select("source_id", F.col("s.place").alias("run"), F.col("s.entered").alias("state"))
+    inside = runs.join(entered, ["source_id", "run"]).select("source_id", F.explode(_pass(F.col("units"), F.col("state"), first)["seen"]).alias("s"))
+    inside = inside.select("source_id", "s.place", "s.entered")
+    return walked.join(inside, ["source_id", "place"]).select("source_id", F.explode(_walk(F.col("numbers"), begin + F.col("entered"))["kept"]).alias("n"))
 
 
 def balance_records(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from decimal import Decimal
 
 import pytest
@@ -107,6 +109,25 @@ def test_records_across_bucket_borders(spark, monkeypatch):
         assert got.count() == 9 and got.first().booked == Decimal("900.00")
     nested = spark.createDataFrame([("s", i, v) for i, v in enumerate(["BU01", "SA02", "EUR", "EUR", "1,00", "2,00", "3,00", "4,00"], 1)], lines.schema)
     assert B.balance_records(nested).count() == 1 and B.overlapping_records(nested).count() == 1
+    chain = ["BU01", "bank", "EUR", "SA02", "5,00", "EUR", "1,00", "x", "BU03", "bank", "EUR", "30/06/2026", "1,00", "2,00", "3,00"]
+    starts = spark.createDataFrame([("s", i, v) for i, v in enumerate(chain, 1)], lines.schema)
+    assert sorted(r.line_number for r in B.balance_records(starts).collect()) == [1, 9]
+    assert [r.line_number for r in B.overlapping_records(starts).collect()] == [4]
+
+
+@pytest.mark.parametrize("block, blocks", [(7, 2), (10, 3), (4096, 256)])
+def test_kept_starts_do_not_depend_on_blocks(spark, block, blocks):
+    r = random.Random(block)
+    sources = {f"s{k}": sorted(r.sample(range(500), k)) for k in (1, 60, 150, 300)} | {"dense": list(range(0, 400, 2)), "probe": [1, 4, 9]}
+    want = []
+    for source, numbers in sources.items():
+        free = 0
+        for n in numbers:
+            if n >= free:
+                want.append((source, n))
+                free = n + 7
+    df = spark.createDataFrame([(s, n) for s, own in sources.items() for n in own], "source_id string, n bigint")
+    assert sorted(map(tuple, B.kept_starts(df, block, blocks).collect())) == sorted(want)
 
 
 def test_checklist_shows_eight_names(spark):

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import csv
+import io
+import random
+
 import unicodedata
 from datetime import date
 from decimal import Decimal
@@ -107,6 +111,118 @@ def test_replacing_by_nothing_leaves_nothing(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [0, 2, 4]
 
 
+@pytest.mark.parametrize("value", ["E:1", None, "", "a/b=c%"])
+def test_replacing_any_value_by_nothing(spark, tmp_path, value):
+    rows = spark.createDataFrame([(1, value), (2, "other")], "id int, engagement_id string")
+    K.replace_partition(rows, str(tmp_path / "t"))
+    K.replace_partition(rows.limit(0), str(tmp_path / "t"), replaced=[value])
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [2]
+
+
+def test_failed_replacement_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "E1"), (2, "E2")], "id int, engagement_id string")
+    K.replace_partition(rows, path)
+    with pytest.raises(Exception, match="broken"):
+        K.replace_partition(rows.withColumn("id", F.when(F.col("id") == 2, F.raise_error(F.lit("broken")).cast("int")).otherwise(9)), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    K.replace_partition(spark.read.parquet(path).withColumn("id", F.col("id") + 10).filter("id = 11"), path)  # reads what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 11]
+
+
+def test_first_blank_cells_cut_nothing_off(spark):
+    df = constant_table(spark, "source_id string, line_number bigint, value string", [("s", 1, ";b;c;d;EXTRA"), ("s", 2, ";;;;;x"), ("s", 3, "")])
+    cells = [r.cells for r in D.delimited_cells(df, 4).orderBy("line_number").collect()]
+    assert cells == [[None, "b", "c", "d", "EXTRA"], [None] * 5 + ["x"], [None] * 4]
+
+
+def made_files(seed):
+    """Files written by a CSV writer, with separators, quotes and line breaks in cells, and files of random characters."""
+    r = random.Random(seed)
+    cell = lambda: "".join(r.choice('ab ;"\n') for _ in range(r.randint(0, 6)))
+    for i in range(12):
+        if i % 2:
+            out = io.StringIO()
+            csv.writer(out, delimiter=";", lineterminator="\n").writerows([[cell() for _ in range(r.randint(1, 6))] for _ in range(40)])
+            yield f"f{i}", out.getvalue().split("\n")[:-1]
+        else:
+            yield f"f{i}", ["".join(r.choice('ab;"x') for _ in range(r.randint(0, 12))) for _ in range(40)]
+
+
+@pytest.mark.parametrize("width", [3, 7, 1_000_000])
+def test_records_equal_those_of_a_csv_reader(spark, width):
+    files = dict(made_files(width))
+    df = spark.createDataFrame([(s, i + 1, line) for s, lines in files.items() for i, line in enumerate(lines)], "source_id string, line_number bigint, value string")
+    got = {}
+    for r in D.delimited_cells(D.delimited_records(df, ";", width), 0).collect():
+        got.setdefault(r.source_id, []).append((r.line_number, r.cells))
+    for source, lines in files.items():
+        reader, want, line = csv.reader([x + "\n" for x in lines], delimiter=";"), [], 1
+        for row in reader:
+            want.append((line, [c or None for c in row] or [None]))
+            line = reader.line_num + 1
+        mine = sorted(got[source])
+        last = want[-1][1]
+        if last[-1] != mine[-1][1][-1]:  # a quote that is never closed: the reader adds the file's last line break
+            last[-1] = last[-1][:-1] or None
+        assert mine == want
+
+
+def test_a_quote_never_closed_stops_the_job(spark):
+    df = spark.createDataFrame([("s", i, 'a;"b' if i == 5 else "a;b") for i in range(1, 200)], "source_id string, line_number bigint, value string")
+    assert D.delimited_records(df).count() == 5
+    with pytest.raises(Exception, match="quote of line 5 of s is not closed"):
+        D.delimited_records(df, most_lines=50).count()
+
+
+def test_a_record_across_splits_of_a_file(spark, tmp_path):
+    """Splits of 64 bytes cut quoted cells; header and skipped rows are counted as records."""
+    body = "".join(f'{i};"first {i}\nsecond; ""{i}""\nthird";x\n' for i in range(50))
+    (tmp_path / "j.csv").write_text('\ufeffN;"Causa\nle";Conto\n-;-;-\n' + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        lines = X.read_lines(spark, str(tmp_path))
+        got = sorted((int(r.cells[0]), r.cells[1], r.line_number) for r in D.delimited_journal_scan(lines, 3, 0, 1).collect())
+        heads = [r.header for r in D.header_cells(lines, 3).orderBy("position").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f'first {i}\nsecond; "{i}"\nthird', 4 + 3 * i) for i in range(50)] and heads == ["N", "Causa\nle", "Conto"]
+
+
+def test_each_file_in_its_own_encoding(spark, tmp_path):
+    texts = {"u.csv": ("utf-8", "Città;perché €\n1;è\n"), "w.csv": ("cp1252", "Città;perché €\n2;è\n"), "l.csv": ("latin-1", "Citt\xe0;\x81\n3;\xe8\n")}
+    for name, (code, text) in texts.items():
+        (tmp_path / name).write_bytes(text.encode(code))
+    (tmp_path / "z.csv").write_bytes(b"\x00\x01\x02\xff\n")
+    got = {}
+    for r in X.read_lines(spark, str(tmp_path)).orderBy("line_number").collect():
+        got.setdefault(r.source_id.split("/")[-1], []).append((r.encoding, r.value))
+    for name, (code, text) in texts.items():
+        assert got[name] == [(code, line) for line in text.split("\n")[:-1]]
+    assert got["z.csv"] == [(None, None)]
+    fallback = {r.encoding for r in X.read_lines(spark, str(tmp_path / "w.csv"), ("utf-8", "latin-1")).collect()}
+    assert fallback == {"latin-1"}
+
+
+def test_another_header_refuses_the_file(spark):
+    rows = [("a", 1, " "), ("a", 2, HEADER), ("a", 3, fixed_line(1)), ("b", 1, "OTHER"), ("b", 2, fixed_line(2)), ("b", 3, HEADER), ("c", 1, "  ")]
+    df = constant_table(spark, "source_id string, line_number bigint, value string", rows)
+    got = {(r.source_id, r.line_number): r.error for r in X.fixed_width_scan(df, HEADER, POSITIONS).collect()}
+    assert got == {("a", 3): None, ("b", 1): "L'intestazione del file TXT non corrisponde al profilo applicato"}
+
+
+def test_trial_balances_with_their_own_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Conto;Nome;Saldo\n1;"Cassa; contanti";"1.234,50"\n;x;1\n')
+    (tmp_path / "b.txt").write_bytes("Acc Nb\tDescrizione\tImporto\tPrior\n2\tCittà\t10\t5,5\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_text("codice|nome|amount\n3|Banca|-7\n")
+    lines = X.read_lines(spark, str(tmp_path))
+    kinds = {r.source_id[-5:]: r.separator for r in D.separators(lines).collect()}
+    assert kinds == {"a.csv": ";", "b.txt": "\t", "c.csv": "|"}
+    got = sorted((r.account, r.name, str(r.amount), str(r.prior)) for r in D.read_trial_balance(lines).collect())
+    assert got == [("1", "Cassa; contanti", "1234.50", "None"), ("2", "Città", "10.00", "5.50"), ("3", "Banca", "-7.00", "None")]
+
+
 def test_ragged_lines_keep_their_cells(spark):
     lines = [("s", 1, "a;b;c;d;EXTRA"), ("s", 2, "a;b"), ("s", 3, '"x;y";b;c;d;"e ""f"";g";;h'), ("s", 4, "a;b;c;")]
     df = constant_table(spark, "source_id string, line_number bigint, value string", lines)
