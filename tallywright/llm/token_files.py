@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -31,6 +33,9 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
+
 @cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark spreads the work
@@ -47,45 +52,66 @@ class WordEncoder:
     tokenizer is of that kind; others encode each text at once. Kept words are bounded, not texts.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
-        self.model, self.kept, self.words = tokenizer(path), kept, {}
+    def __init__(self, path: str, kept: int = 500_000):
+        self.model, self.kept = tokenizer(path), kept
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
         self.by_word = self.splits()
         self.by_piece = self.by_word and all(
-            self._pieces(SIMPLE.fullmatch(p)) == self._plain(p) for p in ("The", "tokenization.", "etc.,", "Wh!?", "Ingthatou", "a", "Óciónes.", "Ärßöø", "Šžçœ!"))
+            self._simple(SIMPLE.fullmatch(p)) == _packed(self._plain(p)) for p in ("The", "tokenization.", "etc.,", "Wh!?", "Ingthatou", "a", "Óciónes.", "Ärßöø", "Šžçœ!"))
 
     def splits(self) -> bool:
         probe = ["a b", "x\ny", "'s the", "é 1", "A  B."]
         return all(self._plain(p) == [i for w in BLANK.split(p) for i in self._plain(w)] for p in probe)
 
-    def _pieces(self, found: re.Match) -> list[int]:
-        """The library's merges on the pieces of a simple word, without its checks for other scripts."""
-        merge = self.model.model.tokenize
-        letters, marks = found[1].lower(), found[2]
-        ids = [t.id for t in merge(letters if letters.isascii() else letters.encode().decode("latin-1").translate(AS_BYTES))]
-        return ids + [t.id for t in merge(marks)] if marks else ids
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece, which many words share; the library's merges without its checks for other scripts."""
+        found = self.letters.get(text)
+        if found is None:
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(AS_BYTES)
+            found = self.letters[text] = array("I", [t.id for t in self.model.model.tokenize(shown)]).tobytes()
+        return found
+
+    def _simple(self, found: re.Match) -> bytes:
+        letters, marks = found.groups()
+        return self._piece(letters.lower()) + self._piece(marks) if marks else self._piece(letters.lower())
 
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        if self.by_piece:
-            simple = [(w, m) for w in words if (m := SIMPLE.fullmatch(w))]
-            self.words.update((w, _packed(self._pieces(m))) for w, m in simple)
-            words = [w for w in words if w not in self.words]
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        self.words.update((w, _packed(e.ids)) for w, e in zip(words, found))
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words not seen lately. Words of before the last change of generation are taken over, others found."""
+        known, older, plain = self.words, self.older, []
+        for word in words:
+            if word in older:
+                known[word] = older[word]
+            elif self.by_piece and (found := SIMPLE.fullmatch(word)):
+                known[word] = self._simple(found)
+            else:
+                plain.append(word)
+        if plain:
+            known.update((w, _packed(e.ids)) for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return [_packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.words) > self.kept:
-            self.words = {}
-        cut = [BLANK.split(text) for text in texts]
-        self._learn(list({w for words in cut for w in words if w not in self.words}))
+            self.words, self.older = {}, self.words
+        if len(self.letters) > self.kept:
+            self.letters = {}
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        self._learn(set().union(*cut).difference(self.words))
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that words are learned once and not in every task."""
+    return WordEncoder(path)
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     """Whole files only: written under a name of its own, then moved to its place; a rerun replaces it by the same bytes."""
     system, path = fs.FileSystem.from_uri(folder)
@@ -97,7 +123,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 def _write_batches(path: str, folder: str, end_id: int, shard_ids: int, step: int = 64):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         part, shard, doc_ids, lengths, parts, size = None, 0, [], [], [], 0
 
         def close():
@@ -111,7 +137,7 @@ def _write_batches(path: str, folder: str, end_id: int, shard_ids: int, step: in
             part = batch.column(2)[0].as_py() if batch.num_rows else part
             for a in range(0, batch.num_rows, step):
                 texts = [t or "" for t in batch.column(1).slice(a, step).to_pylist()]
-                for doc_id, data in zip(batch.column(0).slice(a, step).to_pylist(), encoder.encode(texts)):
+                for doc_id, data in zip(batch.column(0).slice(a, step).to_pylist(), words.encode(texts)):
                     doc_ids.append(doc_id)
                     lengths.append(len(data) // 4 + 1)
                     parts += (data, end)
