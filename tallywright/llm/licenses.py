@@ -9,14 +9,15 @@ its own takes that of the nearest directory above it that holds a licence file.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from functools import cache
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallywright.llm.common import ROW, stored
+from tallywright.llm.common import ROW, run_parts, stored
 
 #: Wording of common notices, by SPDX name.
 NOTICES = (
@@ -86,12 +87,45 @@ def template_terms(text: str) -> Counter:
 def weights_of(docs: DataFrame, text_col: str, templates=TEMPLATES) -> dict[str, float]:
     """Inverse document frequency of every template term, over all documents."""
     words = sorted({t for _, text in templates for t in template_terms(text)})
-    counts = docs.select(F.explode(F.array_union(F.array_intersect(terms(F.coalesce(F.col(text_col), F.lit(""))), _words(words)), F.array(F.lit("")))).alias("term"))
-    seen = {r.term: r.n for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per template term
+    each = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.coalesce(F.col(text_col), F.lit("")))))).alias("term"))
+    counts = each.filter(F.col("term").isin(["", *words])).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    seen = {r.term: r.n for r in counts.collect()}  # one row per template term
     total = seen.get("", 0)
     return {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1 for w in words}
 
 
+class Codes:
+    """Terms as numbers: a template's term by its place among all of them, any other by a negative hash.
+
+    Spark looks a key up in a map by scanning the keys, so the terms are dealt to many small maps by their hash. Weights
+    and products then are constant arrays indexed by the number.
+    """
+
+    def __init__(self, spark: SparkSession, words: list[str], maps: int = 1024):
+        self.place = {w: i for i, w in enumerate(words)}
+        buckets: list[dict[str, int]] = [{} for _ in range(maps)]
+        hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(maps)).alias("h")).collect() if words else []
+        for row in hashed:
+            buckets[row.h][row.w] = self.place[row.w]
+        self.tables = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>")  # constant, so the optimizer reads it once
+        self.maps = maps
+
+    def of(self, term: Column) -> Column:
+        h = F.xxhash64(term)
+        known = F.get(self.tables, F.pmod(h, F.lit(self.maps)).cast("int"))[term]
+        return F.coalesce(known, F.when(h < 0, h).otherwise(-h - 1))
+
+    def array(self, values: dict[str, float], default: float) -> Column:
+        """A constant array of numbers by code."""
+        line = [default] * len(self.place)
+        for term, value in values.items():
+            line[self.place[term]] = value
+        return F.split(F.lit(" ".join(map(repr, line))), " ").cast("array<double>")
+
+    def set(self, words) -> Column:
+        return F.split(F.lit(" ".join(str(self.place[w]) for w in sorted(words))), " ").cast("array<bigint>")
+
+
 def _words(words) -> Column:
     """A constant array of terms."""
     return F.split(F.lit(" ".join(words)), " ")
@@ -125,53 +159,58 @@ def least_shared(own: Counter, idf: dict[str, float], threshold: float) -> int:
     return len(squares)
 
 
-def _map(pairs: dict) -> Column:
-    """A constant map of terms to numbers."""
-    return F.map_from_arrays(_words(pairs), F.split(F.lit(" ".join(map(repr, pairs.values()))), " ").cast("array<double>"))
-
-
-def cosines(tokens: Column, idf: dict[str, float], templates=TEMPLATES, threshold: float = 0.0, block_terms: int = 1 << 30) -> Column:
-    """Array of (block, score, name) for a non-empty array of terms, by template; null where the threshold is out of reach.
+def cosines(tokens: Column, codes: Codes, idf: dict[str, float], templates=TEMPLATES, threshold: float = 0.0, block_terms: int = 1 << 30) -> Column:
+    """Array of (block, score, name) for a non-empty array of coded terms, by template; null where the threshold is out of reach.
 
     Templates of at least ``block_terms`` terms are blocks.
     """
-    weight = _map({t: idf[t] for _, text in templates for t in template_terms(text)})
-    start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
+    weight = codes.array(idf, 1.0)
+    start = F.struct(F.lit(0).cast("bigint").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
 
     def add(state: Column, term: Column) -> Column:
         """The nth occurrence of a term makes its square grow from (n - 1)^2 to n^2."""
         run = F.when(state["term"] == term, state["run"] + 1).otherwise(F.lit(1.0))
-        grown = (run * 2 - 1) * F.pow(F.coalesce(weight[term], F.lit(1.0)), F.lit(2))
-        return F.struct(term.alias("term"), run.alias("run"), (state["squares"] + grown).alias("squares"))
+        own = F.coalesce(_known(weight, term), F.lit(1.0))
+        return F.struct(term.alias("term"), run.alias("run"), (state["squares"] + (run * 2 - 1) * own * own).alias("squares"))
 
-    def scores(norm: Column) -> Column:
+    def scores(facts: Column) -> Column:
         out = []
         for name, text in templates:
             own = template_terms(text)
             length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
-            score = F.round(_dot(tokens, _map({t: n * idf[t] ** 2 for t, n in sorted(own.items())})) / norm / length, 6)
+            product = codes.array({t: n * idf[t] ** 2 for t, n in own.items()}, 0.0)
+            score = F.round(_dot(facts["known"], product) / facts["norm"] / length, 6)
             block = (score >= BLOCK_SCORE) if sum(own.values()) >= block_terms else F.lit(False)
             found = F.struct(block.alias("block"), score.alias("score"), F.lit(name).alias("name"))
-            out.append(F.when(_reaches(tokens, own, idf, threshold), found))
+            out.append(F.when(_reaches(facts["different"], codes, own, idf, threshold), found))
         return F.array(*out)
 
     norm = F.sqrt(F.aggregate(F.array_sort(tokens), start, add)["squares"])
-    return F.flatten(F.transform(F.array(norm), scores))  # one norm for all templates
+    known = F.filter(tokens, lambda t: t >= 0)
+    facts = F.array(F.struct(norm.alias("norm"), F.transform(known, lambda t: t.cast("int")).alias("known"), F.array_distinct(known).alias("different")))
+    return F.flatten(F.transform(facts, scores))  # one norm for all templates
+
+
+def _known(values: Column, code: Column) -> Column:
+    """The value of a template's term; NULL for any other."""
+    return F.get(values, F.when(code >= 0, code).cast("int"))
 
 
-def _reaches(tokens: Column, own: Counter, idf: dict[str, float], threshold: float) -> Column:
-    return F.size(F.array_intersect(tokens, _words(sorted(own)))) >= least_shared(own, idf, threshold)
+def _reaches(different: Column, codes: Codes, own: Counter, idf: dict[str, float], threshold: float) -> Column:
+    """Whether enough of the template's terms are there; ``different`` has each of the text's template terms once."""
+    least = least_shared(own, idf, threshold)
+    return (F.size(different) >= least) & (F.size(F.array_intersect(different, codes.set(own))) >= least)
 
 
-def _any_reaches(tokens: Column, idf: dict[str, float], threshold: float, templates) -> Column:
+def _any_reaches(different: Column, codes: Codes, idf: dict[str, float], threshold: float, templates) -> Column:
     out = F.lit(False)
     for _, text in templates:
-        out = out | _reaches(tokens, template_terms(text), idf, threshold)
+        out = out | _reaches(different, codes, template_terms(text), idf, threshold)
     return out
 
 
 def _dot(tokens: Column, product: Column) -> Column:
-    return F.aggregate(tokens, F.lit(0.0), lambda total, term: total + F.coalesce(product[term], F.lit(0.0)))
+    return F.aggregate(tokens, F.lit(0.0), lambda total, term: total + F.get(product, term))
 
 
 def _best(found: Column) -> Column:
@@ -183,19 +222,19 @@ def _best(found: Column) -> Column:
     return F.aggregate(found, F.lit(None).cast(FOUND), lambda a, x: F.when(x.isNotNull() & (a.isNull() | before(x, a)), x).otherwise(a))
 
 
-def windows_of(lines: Column, near: list[str], heavy: list[str]) -> Column:
-    """Terms of each window of adjoining lines that has a term of ``heavy``, and one of ``near`` in its first and last line.
+def windows_of(lines: Column, near: Column, heavy: Column) -> Column:
+    """Coded terms of each window of adjoining lines that has a term of ``heavy``, and one of ``near`` in its first and last line.
 
     ``lines`` has only lines with a term. A line at the edge without a term of a template can only lower the cosine.
     """
     n = F.size(lines)
-    hits = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(F.get(lines, i), _words(heavy)))
-    edges = F.transform(lines, lambda t: F.arrays_overlap(t, _words(near)))
+    hits = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(F.get(lines, i), heavy))
+    edges = F.transform(lines, lambda t: F.exists(t, lambda x: F.coalesce(_known(near, x), F.lit(0.0)) > 0))
 
     def of_size(size: int, edge: Column, hit: Column) -> Column:
         starts = F.array_distinct(F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(F.lit(0), i - size + 1), F.least(i, n - size)))))
         starts = F.filter(starts, lambda i: F.get(edge, i) & F.get(edge, i + size - 1))
-        return F.when(n >= size, F.transform(starts, lambda i: F.flatten(F.slice(lines, i + 1, size)))).otherwise(F.array().cast("array<array<string>>"))
+        return F.when(n >= size, F.transform(starts, lambda i: F.flatten(F.slice(lines, i + 1, size)))).otherwise(F.array().cast("array<array<bigint>>"))
 
     marks = F.array(F.struct(edges.alias("edge"), hits.alias("hit")))
     return F.array_distinct(F.flatten(F.flatten(F.transform(marks, lambda m: F.array(*[of_size(k, m["edge"], m["hit"]) for k in WINDOWS])))))
@@ -204,31 +243,41 @@ def windows_of(lines: Column, near: list[str], heavy: list[str]) -> Column:
 def scan(docs: DataFrame, keep: list[str], path: Column, text_col: str = "text", threshold: float = 0.6, file_threshold: float = 0.9, templates=TEMPLATES, texts=None) -> DataFrame:
     """Columns ``keep`` packed as ``_row``, with path, license, kind and score of every document.
 
-    kind: ``file`` (the whole text reaches ``file_threshold``, or a file with a licence's name has a close line),
-    ``header`` (a line or a window of adjoining lines is), ``inherited`` (from the nearest directory above that holds a ``file``; of several
-    there the highest score, then the first name), ``none``. Null and empty texts and texts without a term have
+    kind: ``file`` (the whole text reaches ``file_threshold`` of a full licence text, or a file with a licence's name has a close
+    line), ``header`` (a line or a window of adjoining lines is close), ``inherited`` (from the nearest directory above that holds a
+    ``file``; of several there the highest score, then the first name), ``none``. A text that is only a notice is a ``header`` and gives
+    nothing to its folder. Null and empty texts and texts without a term have
     none of their own and may inherit. A null path has no directory: it neither gives nor inherits. Ties go to
-    the first licence name; equal rows get equal results; an empty table gives an empty result. ``templates`` are
+    the first licence name; equal rows get equal results; an empty table gives an empty result. A long text is scored
+    line by line and window by window: each close line is in at most 76 windows, and each of these is one row. ``templates`` are
     notices, ``texts`` whole licences (by default ``full_texts()``).
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias(ROW), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = full_texts() if texts is None else texts
     idf = weights_of(docs, text_col, [*templates, *texts])
     shorts = [(n, t) for n, t in texts if sum(template_terms(t).values()) <= BLOCK_TERMS]
-    parts, wholes = [*templates, *shorts], [*templates, *texts]
+    parts, wholes = [*templates, *shorts], list(texts)
     least_block = min([sum(template_terms(t).values()) for _, t in shorts], default=1 << 30)
     heavy = sorted({*anchors(idf, threshold, parts), *anchors(idf, file_threshold, wholes)})
-    near = sorted({t for _, text in parts for t in template_terms(text)})
+    codes = Codes(docs.sparkSession, sorted(idf))
+    near = codes.array({t: 1.0 for _, text in parts for t in template_terms(text)}, 0.0)
     lines = F.filter(F.transform(F.split("text", "\n"), terms), lambda t: F.size(t) > 0)
-    marked = rows.withColumn("lines", lines).select(ROW, "path", F.when(F.exists("lines", lambda t: F.arrays_overlap(t, _words(heavy))), F.col("lines")).alias("lines"))
-    marked = stored(marked, "lines").withColumn("whole", F.flatten("lines"))  # tables, so that no step is computed once for each template
-    best_whole = F.when(F.col("whole").isNotNull(), _best(cosines(F.col("whole"), idf, wholes, file_threshold)))
-    marked = stored(marked.select(ROW, "path", "lines", best_whole.alias("all")), "wholes").withColumn("whole", F.flatten("lines"))
-    open_ = ~F.coalesce(F.col("all.score") >= file_threshold, F.lit(False)) & _any_reaches(F.col("whole"), idf, threshold, parts)
-    scored = stored(marked.select(ROW, "path", "all", F.when(open_, windows_of(F.col("lines"), near, heavy)).alias("windows")), "windows")
-    best_line = _best(F.transform("windows", lambda t: _best(cosines(t, idf, parts, threshold, least_block))))
+    marked = rows.withColumn("lines", lines).select(ROW, "path", F.when(
+        F.exists("lines", lambda t: F.exists(t, lambda x: x.isin(heavy))), F.transform("lines", lambda t: F.transform(t, codes.of))).alias("lines"))
+    marked = stored(marked.withColumn("rid", F.monotonically_increasing_id()), "lines")  # tables, so that no step is computed once for each template
+    coded = marked.filter("lines IS NOT NULL").select("rid", "lines").repartition(run_parts(docs))
+    whole = coded.withColumn("whole", F.flatten("lines")).withColumn("different", F.array_distinct(F.filter("whole", lambda t: t >= 0)))
+    best_whole = _best(cosines(F.col("whole"), codes, idf, wholes, file_threshold))
+    whole = stored(whole.select("rid", "lines", best_whole.alias("all"), _any_reaches(F.col("different"), codes, idf, threshold, parts).alias("reaches")), "wholes")
+    open_ = ~F.coalesce(F.col("all.score") >= file_threshold, F.lit(False)) & F.col("reaches")
+    window = whole.filter(open_).select("rid", F.explode(windows_of(F.col("lines"), near, codes.set(heavy))).alias("window"))
+    window = stored(window.repartition(run_parts(docs)), "windows")
+    found = window.select("rid", _best(cosines(F.col("window"), codes, idf, parts, threshold, least_block)).alias("f")).filter(F.col("f.score") >= threshold)
+    order = F.struct((~F.col("f.block")).alias("a"), (-F.col("f.score")).alias("b"), F.col("f.name").alias("c"))
+    best_line = found.groupBy("rid").agg(F.min(order).alias("o")).select("rid", F.struct((~F.col("o.a")).alias("block"), (-F.col("o.b")).alias("score"), F.col("o.c").alias("name")).alias("line"))
+    scored = marked.select("rid", ROW, "path").join(whole.select("rid", "all"), "rid", "left").join(best_line, "rid", "left")
     name = F.element_at(F.split("path", "/"), -1)
-    scored = scored.select(ROW, "path", best_line.alias("line"), "all", F.coalesce(name.rlike(FILE_NAME), F.lit(False)).alias("by_name"))
+    scored = scored.select(ROW, "path", "line", "all", F.coalesce(name.rlike(FILE_NAME), F.lit(False)).alias("by_name"))
     closer = F.when(F.coalesce(F.col("all.score") >= file_threshold, F.lit(False)), F.struct(F.lit("file").alias("kind"), F.col("all.name").alias("name"), F.col("all.score").alias("score"))).when(
         F.col("line.score") >= threshold, F.struct(F.when(F.col("by_name"), "file").otherwise("header").alias("kind"), F.col("line.name").alias("name"), F.col("line.score").alias("score")))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
