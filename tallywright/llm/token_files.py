@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -22,6 +23,7 @@ from tallywright.llm.common import new_folder, run_parts, stored
 
 BLANK = re.compile("[ \n]+")
 #: Letters (one code point each, in either case) and marks of a word that a lower-casing tokenizer cuts into these two pieces.
+MARKS = ".,;:!?"
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([.,;:!?]*)")
 #: Byte-level tokenizers write a byte as a visible character: its own, or the next one from 256 on.
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -54,6 +56,7 @@ class WordEncoder:
 
     def __init__(self, path: str, kept: int = 500_000):
         self.model, self.kept = tokenizer(path), kept
+        self.merge = self.model.model.tokenize
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
@@ -70,7 +73,7 @@ class WordEncoder:
         found = self.letters.get(text)
         if found is None:
             shown = text if text.isascii() else text.encode().decode("latin-1").translate(AS_BYTES)
-            found = self.letters[text] = array("I", [t.id for t in self.model.model.tokenize(shown)]).tobytes()
+            found = self.letters[text] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         return found
 
     def _simple(self, found: re.Match) -> bytes:
@@ -80,30 +83,49 @@ class WordEncoder:
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Ids of words not seen lately. Words of before the last change of generation are taken over, others found."""
-        known, older, plain = self.words, self.older, []
+        known, older, pieces, by_piece, plain = self.words, self.older, self.letters, self.by_piece, []
         for word in words:
             if word in older:
                 known[word] = older[word]
-            elif self.by_piece and (found := SIMPLE.fullmatch(word)):
-                known[word] = self._simple(found)
+                continue
+            letters = word.rstrip(MARKS)
+            if by_piece and letters.isascii() and letters.isalpha():
+                found = pieces.get(letters.lower()) or self._piece(letters.lower())
+                known[word] = found if len(letters) == len(word) else found + self._piece(word[len(letters) :])
+            elif by_piece and (match := SIMPLE.fullmatch(word)):
+                known[word] = self._simple(match)
             else:
                 plain.append(word)
         if plain:
             known.update((w, _packed(e.ids)) for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; null texts have none.
+
+        The words of all texts are cut and numbered at once; only different ones are looked up, and the ids are laid out by their numbers.
+        """
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return [_packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [e.ids for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], "i8")
         if len(self.words) > self.kept:
             self.words, self.older = {}, self.words
         if len(self.letters) > self.kept:
             self.letters = {}
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        self._learn(set().union(*cut).difference(self.words))
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        different, place = words.dictionary.to_pylist(), words.indices.to_numpy()
+        self._learn([w for w in different if w not in self.words])
+        ids = [self.words[w] for w in different]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], "i8")
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[place]
+        ends = np.cumsum(counts)
+        out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[place] - (ends - counts), counts)]
+        reached = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return out, np.diff(reached)
 
 
 @cache
@@ -121,30 +143,44 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(draft, f"{path}/{name}")
 
 
-def _write_batches(path: str, folder: str, end_id: int, shard_ids: int, step: int = 64):
+def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes, so that the arrays made of their words stay small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _write_batches(path: str, folder: str, end_id: int, shard_ids: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        words = encoder(path)
         part, shard, doc_ids, lengths, parts, size = None, 0, [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(parts), "<u4")
             name = f"part-{part:06d}-{shard:06d}.wvm"
+            ids = np.concatenate(parts)
             _put(folder, name, wavelet.pack(doc_ids, lengths, ids))
             return pa.RecordBatch.from_pylist([{"name": name, "part": part, "shard": shard, "n_docs": len(doc_ids), "n_ids": len(ids)}],
                                               schema=pa.schema([("name", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for a in range(0, batch.num_rows, step):
-                texts = [t or "" for t in batch.column(1).slice(a, step).to_pylist()]
-                for doc_id, data in zip(batch.column(0).slice(a, step).to_pylist(), words.encode(texts)):
+            for a, b in _slices(batch.column(1)):
+                ids, counts = words.encode(batch.column(1).slice(a, b - a))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ends, begin = np.cumsum(counts + 1), 0
+                for doc_id, count, end in zip(batch.column(0).slice(a, b - a).to_pylist(), (counts + 1).tolist(), ends.tolist()):
                     doc_ids.append(doc_id)
-                    lengths.append(len(data) // 4 + 1)
-                    parts += (data, end)
-                    size += lengths[-1]
+                    lengths.append(count)
+                    size += count
                     if size >= shard_ids:
+                        parts.append(ids[begin:end])
+                        begin = end
                         yield close()
                         shard, doc_ids, lengths, parts, size = shard + 1, [], [], [], 0
+                parts.append(ids[begin:])
         if doc_ids:
             yield close()
 
