@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from tallywright.plans import (
-    document_queries, entry_queries, ingest_queries, journal_queries, reconcile_queries, verification_queries,
+    document_queries, entry_queries, file_queries, ingest_queries, journal_queries, reconcile_queries, verification_queries,
 )
 
 MODULES = [
-    journal_queries, entry_queries, ingest_queries, document_queries, verification_queries, reconcile_queries,
+    journal_queries, entry_queries, file_queries, ingest_queries, document_queries, verification_queries, reconcile_queries,
 ]
 
 

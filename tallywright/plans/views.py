@@ -16,19 +16,20 @@ SQL_VIEWS: dict[str, str] = {}
 DEPENDS: dict[str, list[str]] = {}
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the named SQL views and everything they depend on."""
+def with_views(sql: str, *names: str, instead: dict[str, str] | None = None) -> str:
+    """Prefix ``sql`` with the named SQL views and everything they depend on; ``instead`` has other text for some of them."""
+    instead = instead or {}
     ordered: list[str] = []
 
     def visit(name: str) -> None:
-        for other in DEPENDS.get(name, []):
+        for other in [] if name in instead else DEPENDS.get(name, []):
             visit(other)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         visit(name)
-    body = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in ordered)
+    body = ",\n".join(f"{name} AS ({instead.get(name, SQL_VIEWS[name])})" for name in ordered)
     return f"WITH {body}\n{sql}"
 
 
