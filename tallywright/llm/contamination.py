@@ -71,17 +71,49 @@ class Passage(NamedTuple):
 
 
 class Index:
-    """q-grams of passages with the passages and places they come from."""
+    """All passages, by the length of their q-grams.
+
+    A passage of m characters and e edits has a bound of at least one q-gram as long as ``q`` is at most m / (e + 1). So
+    passages for which the wanted length is too much get shorter q-grams, in an index of their own, and every one
+    has its full budget.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], q: int, error_rate: float):
-        self.q, self.passages, self.short = q, [], {}
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        by_length: dict[int, list[Passage]] = {}
         for item_id, text in items:
             codes = normal(text or "")[0]
             if len(codes) >= q:
-                edits = min(int(error_rate * len(codes)), (len(codes) - q) // q)
-                self.passages.append(Passage(item_id, codes, edits, len(codes) - q + 1 - q * edits))
+                edits = int(error_rate * len(codes))
+                own = min(q, len(codes) // (edits + 1))
+                by_length.setdefault(own, []).append(Passage(item_id, codes, edits, len(codes) - own + 1 - own * edits))
             elif len(codes):  # shorter than a q-gram: found as a whole, without edits
                 self.short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(item_id)
+        self.grams = [Grams(passages, own) for own, passages in sorted(by_length.items())]
+
+    def leaks(self, text: str) -> list[dict]:
+        """Occurrences in one text: item_id, start, end, edits; overlapping ones of an item count once, the best."""
+        codes, places = normal(text)
+        found: list[tuple[int, int, int, int]] = []
+        for length, wanted in self.short.items():
+            hashes = {window_hashes(np.frombuffer(k, np.uint32), length)[0]: k for k in wanted}
+            at = np.flatnonzero(np.isin(window_hashes(codes, length), np.array(list(hashes), np.uint64)))
+            for i in at.tolist():
+                found += [(item, i, i + length, 0) for item in wanted.get(codes[i : i + length].tobytes(), [])]
+        for grams in self.grams:
+            found += grams.found(codes)
+        best: list[tuple[int, int, int, int]] = []
+        for x in sorted(found, key=lambda x: (x[0], x[3], x[1], x[2])):
+            if all(x[0] != y[0] or x[2] <= y[1] or y[2] <= x[1] for y in best):
+                best.append(x)
+        return [{"item_id": i, "start": int(places[a]), "end": int(places[b - 1]) + 1, "edits": e} for i, a, b, e in sorted(best)]
+
+
+class Grams:
+    """q-grams of one length, with the passages and places they come from."""
+
+    def __init__(self, passages: list[Passage], q: int):
+        self.q, self.passages = q, passages
         grams = [window_hashes(p.codes, q) for p in self.passages]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner, place = (np.concatenate([f(g, i) for i, g in enumerate(grams)]) if grams else np.zeros(0, np.int64)
@@ -92,7 +124,7 @@ class Index:
         self.keys = HashArray(keys)
         self.width = np.array([p.edits + 1 for p in self.passages], np.int64)
         self.least = np.array([p.least for p in self.passages], np.int64)
-        self.longest = max([len(p.codes) + p.edits for p in self.passages] + list(self.short), default=0)
+        self.longest = max([len(p.codes) + p.edits for p in self.passages], default=0)
 
     def bands(self, codes: np.ndarray, most: int = 2_000_000) -> list[tuple[int, int]]:
         """(passage, band) pairs that reach the bound; band b covers diagonals b * (e + 1) to (b + 2) * (e + 1) - 1."""
@@ -125,15 +157,9 @@ class Index:
         good = sums >= least[owner]
         return list(zip(owner[good].tolist(), band[good].tolist()))
 
-    def leaks(self, text: str) -> list[dict]:
-        """Occurrences in one text: item_id, start, end, edits; overlapping ones of an item count once, the best."""
-        codes, places = normal(text)
-        found: list[tuple[int, int, int, int]] = []
-        for length, wanted in self.short.items():
-            hashes = {window_hashes(np.frombuffer(k, np.uint32), length)[0]: k for k in wanted}
-            at = np.flatnonzero(np.isin(window_hashes(codes, length), np.array(list(hashes), np.uint64)))
-            for i in at.tolist():
-                found += [(item, i, i + length, 0) for item in wanted.get(codes[i : i + length].tobytes(), [])]
+    def found(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Occurrences in normalised text: item id, start, end, edits."""
+        out: list[tuple[int, int, int, int]] = []
         regions: list[list[int]] = []
         for owner, band in sorted(self.bands(codes)):
             step = self.passages[owner].edits + 1
@@ -144,13 +170,8 @@ class Index:
                 regions.append([owner, low, high])
         for owner, low, high in regions:
             p = self.passages[owner]
-            for start, end, edits in occurrences(p.codes, codes, low, high, p.edits):
-                found.append((p.item_id, start, end, edits))
-        best: list[tuple[int, int, int, int]] = []
-        for x in sorted(found, key=lambda x: (x[0], x[3], x[1], x[2])):
-            if all(x[0] != y[0] or x[2] <= y[1] or y[2] <= x[1] for y in best):
-                best.append(x)
-        return [{"item_id": i, "start": int(places[a]), "end": int(places[b - 1]) + 1, "edits": e} for i, a, b, e in sorted(best)]
+            out += [(p.item_id, *x) for x in occurrences(p.codes, codes, low, high, p.edits)]
+        return out
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -241,7 +262,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str
                clean_only: bool = False, block_chars: int = 8 << 20) -> DataFrame:
     """Columns ``keep`` packed as ``_row``, and leaks: array of (item_id, start, end, edits) of every whole text.
 
-    An item leaks where the text holds it with at most ``error_rate`` edits per character. With ``clean_only``
+    An item of m characters (normalised) leaks where the text holds it with at most ``int(error_rate * m)`` edits. With ``clean_only``
     only documents without a leak are returned. Null and empty texts have no leak; null or empty items, and
     items without an id, take no part; items shorter than ``q`` must occur without edits. Equal documents get
     equal results; repeated items count once each by id. Empty tables give no leaks. Each block of items is one

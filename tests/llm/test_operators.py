@@ -132,7 +132,7 @@ def test_leaks_with_edits_are_found():
     for _ in range(40):
         i, text = r.choice(items)
         chars = list(flat(text))
-        for _ in range(min(int(0.08 * len(chars)), (len(chars) - 10) // 10)):
+        for _ in range(int(0.08 * len(chars))):
             at, kind = r.randrange(len(chars)), r.random()
             chars[at : at + 1] = [] if kind < 0.3 else [r.choice("xyz")] if kind < 0.6 else [chars[at], "q"]
         doc = prose(r.randrange(99), 70) + " " + "".join(chars) + "\n" + prose(3, 20)
@@ -143,6 +143,46 @@ def test_leaks_with_edits_are_found():
     assert all(index.leaks(prose(1000 + k, 300)) == [] for k in range(30))
 
 
+def least_edits(item: str, text: str) -> int:
+    """Fewest edits of the whole item against any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("length", [10, 12, 13, 15, 19, 20, 24, 25, 28, 29, 37, 38, 39, 49, 50, 60, 63, 100])
+def test_every_length_has_its_whole_budget(length):
+    """Items of all lengths are found with the promised edits, however these lie, and not with more than unbanded alignment allows."""
+    r = random.Random(length)
+    for _ in range(25):
+        item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        chars, budget = list(item), int(0.08 * length)
+        for at in sorted(r.sample(range(1, length - 1), budget), reverse=True):
+            chars[at : at + 1] = r.choice(([], ["#"], [chars[at], "#"]))
+        noise = lambda: "".join(r.choice("0123456789") for _ in range(r.randint(0, 40)))
+        index = contamination.Index([(1, item)], 10, 0.08)
+        doc = noise() + "".join(chars) + noise()
+        found = index.leaks(doc)
+        assert len(found) == 1 and found[0]["edits"] == least_edits(item, doc) <= budget
+        far = "".join(c if i % 9 else "#" for i, c in enumerate(item))
+        assert bool(index.leaks(far)) == (least_edits(item, far) <= budget)
+
+
+def test_leaks_equal_unbanded_alignment(spark):
+    """Every (text, short item) pair of the smallest tables: found exactly where the whole item fits within its budget."""
+    docs = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    items = [(i, flat(t)[k : k + n]) for i, (t, k, n) in enumerate(zip([d for d in docs if len(d) > 200][:6], (20, 40, 60, 80, 5, 9), (13, 19, 28, 39, 45, 60)))]
+    index = contamination.Index(items, 10, 0.08)
+    for text in docs:
+        whole = flat(text)[:1500]
+        got = {x["item_id"] for x in index.leaks(whole)}
+        assert got == {i for i, item in items if least_edits(flat(item), whole) <= int(0.08 * len(flat(item)))}
+
+
 def test_leaks_awkward(spark, odd, none):
     items = spark.createDataFrame([(1, prose(1, 80)), (1, prose(1, 80)), (2, None), (None, "one"), (3, ""), (4, "one"), (5, prose(99, 60_000)[5000:5200])], "item_id bigint, text string")
     rows = contamination.find_leaks(odd, items, ["doc_id", "leaks", "start"]).collect()
