@@ -85,14 +85,17 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words not seen lately. Words of before the last change of generation are taken over, others found."""
-        known, older, pieces, by_piece, plain = self.words, self.older, self.letters, self.by_piece, []
+        known, older, pieces, by_piece, merge, plain = self.words, self.older, self.letters, self.by_piece, self.merge, []
         for word in words:
             if word in older:
                 known[word] = older[word]
                 continue
             letters = word.rstrip(MARKS)
             if by_piece and letters.isascii() and letters.isalpha():
-                found = pieces.get(letters.lower()) or self._piece(letters.lower())
+                lower = letters.lower()
+                found = pieces.get(lower)
+                if found is None:
+                    found = pieces[lower] = array("I", [t.id for t in merge(lower)]).tobytes()
                 known[word] = found if len(letters) == len(word) else found + self._piece(word[len(letters) :])
             elif by_piece and (match := SIMPLE.fullmatch(word)):
                 known[word] = self._simple(match)
@@ -117,9 +120,12 @@ class WordEncoder:
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
         different, place = words.dictionary.to_pylist(), words.indices.to_numpy()
-        self._learn([w for w in different if w not in self.words])
-        ids = [self.words[w] for w in different]
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], "i8")
+        ids = list(map(self.words.get, different))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        self._learn([different[i] for i in fresh])
+        for i in fresh:
+            ids[i] = self.words[different[i]]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
         counts = sizes[place]
         ends = np.cumsum(counts)

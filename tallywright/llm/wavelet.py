@@ -35,10 +35,10 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
         for level in range(width - 1, -1, -1):
-            bit = (now >> level & 1).astype(bool)
+            bit = (now & now.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(bit))
             if level:
-                now = np.concatenate([now[~bit], now[bit]])
+                now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         return cls(planes, len(ids))
 
     def bits(self, level: int) -> np.ndarray:
