@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
 
@@ -102,6 +105,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="tallywright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # this process made it for itself
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -134,6 +138,23 @@ class StoredTable:
             remove_folder(self.spark, self.path)
 
 
+HELD: dict[tuple[str, str, str], StoredTable] = {}
+
+
+def held(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` made from the data at ``source``: stored by the first who asks, read by all others of the session."""
+    key = spark.sparkContext.applicationId, name, source
+    if key not in HELD:
+        HELD[key] = StoredTable(build(), name)
+    return HELD[key].read()
+
+
+def release_held(spark: SparkSession) -> None:
+    """Remove all tables that ``held`` has stored in this session."""
+    for key in [k for k in HELD if k[0] == spark.sparkContext.applicationId]:
+        HELD.pop(key).release()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A result written to the shared folder and read back; it stays there for as long as the folder does."""
     return StoredTable(df, name).read()

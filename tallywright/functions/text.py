@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from tallywright.constants import BANK_ALIASES, MONTHS, MONTH_PREFIXES, UNKNOWN_BANK
@@ -33,22 +34,12 @@ def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 FOLD_FROM, FOLD_TO, FOLD_LONGER = _fold_table()
-COMPOSED = [
-    (unicodedata.normalize("NFD", chr(code)), chr(code))
-    for code in range(0xC0, 0x250)
-    if len(unicodedata.normalize("NFD", chr(code))) == 2
-]
 
 
-def _replace_pairs(c: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Replace each pair in turn; the pairs travel as one string literal to keep the plan small."""
-    width = len(pairs[0][0])
-    table = F.split(F.lit("\n".join(old + new for old, new in pairs)), "\n")
-    return F.aggregate(
-        table,
-        c,
-        lambda acc, pair: F.replace(acc, F.substring(pair, 1, width), F.substring(pair, width + 1, 99)),
-    )
+@F.pandas_udf("string")
+def _composed(paths: pd.Series) -> pd.Series:
+    """Canonical composition (NFC), which no built-in function has; names are short, and a batch of them crosses at once."""
+    return paths.map(lambda p: p if p is None else unicodedata.normalize("NFC", p))
 
 
 def fold_text(c: Column) -> Column:
@@ -320,9 +311,8 @@ def ledger_closing(c: Column) -> Column:
 
 
 def normalise_path(c: Column) -> Column:
-    """Composed accents, forward slashes, no ``.`` or ``..`` segment, never above the root."""
-    composed = F.when(c.rlike(r"[\u0300-\u036f]"), _replace_pairs(c, COMPOSED)).otherwise(c)
-    parts = F.split(strip(F.replace(F.coalesce(composed, F.lit("")), F.lit("\\"), F.lit("/"))), "/")
+    """Canonically composed characters, forward slashes, no ``.`` or ``..`` segment, never above the root."""
+    parts = F.split(strip(F.replace(F.coalesce(_composed(c), F.lit("")), F.lit("\\"), F.lit("/"))), "/")
     empty = F.array().cast("array<string>")
     kept = F.aggregate(
         parts,

@@ -147,11 +147,13 @@ def pick_statements(documents: DataFrame, rows: int | None = None) -> DataFrame:
         {"points": statement_points(F.col("name"), month), "bank_key": T.bank_key(F.col("name"))}
     ).filter("points >= 0")
     rank = F.struct((-F.col("points")).alias("a"), F.col("load_order").alias("b"))
-    rest = [c for c in scored.columns if c not in (ENGAGEMENT, "bank_key")]
-    best = scored.groupBy(ENGAGEMENT, "bank_key").agg(F.min_by(F.struct(*rest), rank).alias("d")).select(
-        ENGAGEMENT, "bank_key", "d.*"
-    )
-    return _ranked(best, [ENGAGEMENT], [F.desc("points"), F.col("load_order")], rows, "row_no")
+    best = scored.groupBy(ENGAGEMENT, "bank_key").agg(F.min(rank)["b"].alias("load_order"))  # texts join later
+    own = scored.join(best, [ENGAGEMENT, "bank_key", "load_order"])
+    if rows is not None:
+        return first_n(own, [ENGAGEMENT], [F.desc("points"), F.col("load_order")], rows, "row_no")
+    cut = own.select(ENGAGEMENT, "load_order", (-F.col("points")).alias("_worse"), number_bucket("load_order").alias("_range"))
+    numbers = number_rows(cut, [ENGAGEMENT], ["_worse", "_range"], ["load_order"], "row_no").drop("_worse", "_range")
+    return own.join(numbers, [ENGAGEMENT, "load_order"])
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], most: int | None, name: str) -> DataFrame:
@@ -248,7 +250,11 @@ def tax_payment_slots(documents: DataFrame, slots: int | None = None) -> DataFra
     stamp = F.contains(F.lower("name"), F.lit("bollo"))
     others = receipts.groupBy(ENGAGEMENT).agg(F.bool_or(~stamp).alias("_others"))
     used = receipts.join(others, ENGAGEMENT).filter(~stamp | ~F.col("_others")).drop("_others")
-    early = _ranked(used.select(ENGAGEMENT, "load_order"), [ENGAGEMENT], [F.col("load_order")], slots, "_place")
+    orders = used.select(ENGAGEMENT, "load_order")
+    if slots is None:
+        early = number_rows(orders.withColumn("_range", number_bucket("load_order")), [ENGAGEMENT], ["_range"], ["load_order"], "_place").drop("_range")
+    else:
+        early = first_n(orders, [ENGAGEMENT], [F.col("load_order")], slots, "_place")
     placed = used.join(early, [ENGAGEMENT, "load_order"], "left")
 
     name, text = F.col("name"), F.coalesce("text", F.lit(""))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallywright.functions.ordered import BUCKET_ROWS, number_bucket
 
 
 def filter_results(
@@ -18,12 +19,28 @@ def filter_results(
     return results
 
 
-def page_results(results: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
-    """One page, highest score first; the first page is a distributed top-k."""
+def page_results(results: DataFrame, page: int = 1, size: int = 50, width: int = BUCKET_ROWS) -> DataFrame:
+    """One page, highest score first, then load order.
+
+    The first page is a distributed top-k. For a later one the rows are counted by score and load-order range; the
+    ranges that the page lies in, at most ``size + 1`` of them, follow from these counts, and only their rows are ordered.
+    """
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
-    ordered = results.orderBy(F.col("risk_score").desc(), F.col("load_order").asc())
-    return (ordered if page == 1 else ordered.offset((page - 1) * size)).limit(size)
+    ordered = [F.col("risk_score").desc(), F.col("load_order").asc()]
+    if page == 1:
+        return results.orderBy(*ordered).limit(size)
+    skipped = (page - 1) * size
+    placed = results.withColumn("_range", number_bucket("load_order", width))
+    counts = placed.groupBy(F.col("risk_score").alias("_score"), F.col("_range").alias("_place")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.orderBy(F.col("_score").desc(), F.col("_place")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    touched = counts.filter((F.col("_before") < skipped + size) & (F.col("_before") + F.col("_rows") > skipped)).drop("_rows")
+    same = F.col("risk_score").eqNullSafe(F.col("_score")) & F.col("_range").eqNullSafe(F.col("_place"))
+    rows = placed.join(F.broadcast(touched), same)  # no more rows than the page has, and one
+    rank = F.col("_before") + F.row_number().over(W.partitionBy("_score", "_place").orderBy("load_order"))
+    chosen = rows.withColumn("_rank", rank).filter((F.col("_rank") > skipped) & (F.col("_rank") <= skipped + size))
+    return chosen.orderBy(*ordered).select(*results.columns)
 
 
 def page_totals(results: DataFrame, size: int = 50) -> DataFrame:

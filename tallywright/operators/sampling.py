@@ -5,14 +5,13 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallywright.functions.ordered import first_n
 from tallywright.operators.entries import ENTRY_KEY
 
 REASONS = ["threshold", "focus_account", "unbalanced", "round_amount", "random"]
-GROUP_LIMIT = 1000
-SALTS = 256
+#: Characters of a digest by which entries are counted.
+PREFIX = 4
 
 
 def sample_by_threshold(totalled: DataFrame, threshold: Decimal) -> DataFrame:
@@ -43,16 +42,23 @@ def sample_round_amounts(totalled: DataFrame, unit: int = 1000) -> DataFrame:
 def sample_random(totalled: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """``n`` entries per engagement without replacement; same seed, same sample, any partitioning.
 
-    Entries are ranked by a digest of seed and id. Beyond the planner's own top-n limit the rank is
-    taken in salted parts first, so an engagement is never sorted whole.
+    Entries are ordered by a digest of seed and id. Counts of the digests' first characters tell where the nth entry
+    lies: entries before that prefix are drawn as they are, those behind it are not, and only the entries that share the
+    prefix (one in 65,536) are ranked.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("entry_id")))
-    ranked = totalled.withColumn("_digest", digest)
-    order = [F.col("_digest"), F.col("entry_id")]
-    if n > GROUP_LIMIT:
-        ranked = ranked.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)))
-        ranked = first_n(ranked, ["engagement_id", "_salt"], order, n, "_rank").drop("_salt", "_rank")
-    return first_n(ranked, ["engagement_id"], order, n, "_rank").drop("_digest", "_rank")
+    marked = totalled.withColumn("_digest", digest).withColumn("_prefix", F.left("_digest", F.lit(PREFIX)))
+    counts = marked.groupBy("engagement_id", "_prefix").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("engagement_id").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    borders = counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n)).select(
+        F.col("engagement_id").alias("_key"), F.col("_prefix").alias("_border"), (F.lit(n) - F.col("_before")).alias("_left"))
+    near = marked.join(borders, F.col("engagement_id").eqNullSafe(F.col("_key")), "left").filter(
+        F.col("_border").isNull() | (F.col("_prefix") <= F.col("_border")))
+    place = F.row_number().over(W.partitionBy("engagement_id", "_prefix").orderBy("_digest", "entry_id"))
+    drawn = near.withColumn("_place", place).filter(
+        F.lit(n > 0) & (F.col("_border").isNull() | (F.col("_prefix") < F.col("_border")) | (F.col("_place") <= F.col("_left"))))
+    return drawn.select(*totalled.columns)
 
 
 def combined_sample(

@@ -8,7 +8,7 @@ from tallywright.constants import (
     BANK_ALIASES, CATALOGUE, FOLDER_RULES, HINT_POINTS_NAME, HINT_POINTS_TEXT, ITEM_HINTS, MONTHS, NAME_RULES, UNKNOWN_BANK,
 )
 from tallywright.functions import text as T
-from tallywright.functions.tables import constant_table, stored
+from tallywright.functions.tables import constant_table, held
 from tallywright.operators import classification as D
 from tallywright.plans.views import define, define_shared, italian_amount, shared, table, with_views
 
@@ -297,8 +297,8 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assigned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified and corrected documents without their text, stored once for the steps that follow."""
-    return stored(assigned(spark, sf_dir).drop("text"), "assigned")
+    """Classified and corrected documents without their text, stored once a session for the queries that follow."""
+    return held(spark, "assigned", sf_dir, lambda: assigned(spark, sf_dir).drop("text"))
 
 
 _add("D07_manual_assignment", lambda s, d: assigned(s, d).select(*_RESULT, "skip"), f"SELECT {_RESULT_SQL}, skip FROM assigned", "assigned")

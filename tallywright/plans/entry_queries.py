@@ -8,6 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tallywright.constants import FIRST_DIGIT_SHARES
+from tallywright.functions.tables import held
 from tallywright.operators import anomalies as A, entries as E, entry_layout as L, reporting as P, sampling as S
 from tallywright.plans.views import define, table, with_views
 
@@ -324,6 +325,11 @@ def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
         include_round_amounts=True, random_count=DRAWS, seed=SEED, date_from=date(1996, 1, 1), date_to=date(1999, 12, 31))
 
 
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample as a table, for queries that read it several times."""
+    return held(spark, "sample", sf_dir, lambda: combined(spark, sf_dir))
+
+
 define("sampled", """
 SELECT * FROM (SELECT * REPLACE (CASE WHEN sample_reason IS NULL AND row_number() OVER (PARTITION BY engagement_id, sample_reason IS NULL
   ORDER BY md5(concat('42:', entry_id)), entry_id) <= 25 THEN 'random' ELSE sample_reason END AS sample_reason) FROM (
@@ -344,7 +350,7 @@ LEFT JOIN (SELECT engagement_id, count(*) AS n, sum(amount) AS a FROM sampled GR
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.sample_stats(combined(spark, sf_dir), totalled(spark, sf_dir))
+    return S.sample_stats(drawn(spark, sf_dir), totalled(spark, sf_dir))
 
 
 _add("E18_sample_stats", statistics, "SELECT * FROM stats", "stats")
@@ -445,7 +451,7 @@ UNION ALL SELECT {_COLUMNS} FROM a_gap UNION ALL SELECT {_COLUMNS} FROM a_duplic
 
 
 def found_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.all_anomalies(staged(spark, sf_dir), combined(spark, sf_dir), chart_of_accounts(spark, sf_dir))
+    return A.all_anomalies(staged(spark, sf_dir), drawn(spark, sf_dir), chart_of_accounts(spark, sf_dir))
 
 
 def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,8 +459,8 @@ def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_validations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = combined(spark, sf_dir).select("engagement_id", "entry_id")
-    return validations(spark, sf_dir).join(drawn, ["engagement_id", "entry_id"], "left_semi")
+    own = drawn(spark, sf_dir).select("engagement_id", "entry_id")
+    return validations(spark, sf_dir).join(own, ["engagement_id", "entry_id"], "left_semi")
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,7 +500,7 @@ _add("E26_anomaly_report", lambda s, d: P.report_anomalies(found_anomalies(s, d)
 SELECT engagement_id, severity, entry_number, anomaly_type, description FROM (
  SELECT *, row_number() OVER (PARTITION BY engagement_id, severity ORDER BY entry_number, anomaly_type, description) AS rn FROM found) t
 WHERE severity <> 'info' OR rn <= 10""", "found")
-_add("E26_sample_report", lambda s, d: P.report_sample(combined(s, d), sample_validations(s, d), shown=10, text_width=30), """
+_add("E26_sample_report", lambda s, d: P.report_sample(drawn(s, d), sample_validations(s, d), shown=10, text_width=30), """
 SELECT engagement_id, CAST(rn AS INT) AS position, entry_number, registration_date, left(description, 30) AS description, total_debit, total_credit,
  CASE WHEN is_valid THEN '✓' ELSE '⚠' END AS outcome FROM (
  SELECT s.*, v.is_valid, row_number() OVER (PARTITION BY s.engagement_id ORDER BY

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywright.constants import CATALOGUE, JUDGEMENT_NOTE_ITEMS, SECTION_ITEMS
-from tallywright.functions.tables import constant_table, stored
+from tallywright.functions.tables import constant_table, held
 from tallywright.operators import classification as D, verification as V
 from tallywright.plans.document_queries import applicable, assigned_table, engagements
 from tallywright.plans.views import define, define_shared, shared, with_views
@@ -174,7 +174,7 @@ USING (engagement_id, section) WHERE section IN ('A','D','H','I')""", "nine", "u
 
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = assigned_table(spark, sf_dir)
-    items = stored(checklist(spark, sf_dir, docs), "checklist")
+    items = held(spark, "checklist", sf_dir, lambda: checklist(spark, sf_dir, docs))
     return V.control_kpis(docs, items, light(spark, sf_dir, items))
 
 
@@ -186,7 +186,7 @@ SELECT engagement_id, count(*) AS files, count(item_id) AS classified,
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = assigned_table(spark, sf_dir)
-    items = stored(checklist(spark, sf_dir, docs), "checklist")
+    items = held(spark, "checklist", sf_dir, lambda: checklist(spark, sf_dir, docs))
     return V.section_board(light(spark, sf_dir, items), V.missing_documents(items), docs)
 
 
@@ -202,7 +202,7 @@ LEFT JOIN (SELECT engagement_id, left(item_id, 1) AS section, arg_min(name, load
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = shared(spark, sf_dir, "findings").withColumn("engagement_id", F.translate("engagement_id", "P", "E"))
     seen, items, decided = evidence(spark, sf_dir), connected(spark, sf_dir), overrides(spark)
-    status = stored(V.section_status(engagements(spark, sf_dir), items, seen, decided), "sections")
+    status = held(spark, "sections", sf_dir, lambda: V.section_status(engagements(spark, sf_dir), items, seen, decided))
     return V.section_detail(status, items, seen, V.missing_items(items, seen, decided), raised)
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 from datetime import date
 from decimal import Decimal
 
@@ -119,6 +121,15 @@ def test_sample_is_repeatable_and_disjoint(spark):
     totalled.unpersist()
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 999, 1000, 1001, 5000])
+def test_samples_of_any_size_are_the_first_by_digest(spark, n):
+    rows = spark.range(3000).select(F.concat(F.lit("E"), F.col("id") % 2).alias("engagement_id"), F.col("id").cast("string").alias("entry_id"))
+    got = sorted((r.engagement_id, r.entry_id) for r in S.sample_random(rows, n, 7).collect())
+    order = lambda e: hashlib.md5(f"7:{e}".encode()).hexdigest()
+    want = [(f"E{k}", e) for k in (0, 1) for e in sorted((str(i) for i in range(k, 3000, 2)), key=order)[:n]]
+    assert got == sorted(want)
+
+
 def test_first_digits_need_fifty_amounts(spark):
     def digits(n):
         e = entries(spark, *[(i, MONDAY, "x") for i in range(n)])

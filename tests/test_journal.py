@@ -177,6 +177,14 @@ def test_pages_cover_every_row_once(spark):
     assert R.page_totals(rows, 1000).first().asDict() == {"total": 2503, "pages": 3}
 
 
+@pytest.mark.parametrize("width", [10, 400, 1_000_000])
+def test_deep_pages_do_not_depend_on_ranges(spark, width):
+    rows = spark.range(2503).select((F.col("id") * 7 % 2503).alias("load_order"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).cast("int").alias("risk_score"))
+    want = [r.load_order for r in rows.orderBy(F.col("risk_score").desc(), "load_order").collect()]
+    for page in (1, 2, 17, 50, 51, 52):
+        assert [r.load_order for r in R.page_results(rows, page, 50, width).collect()] == want[(page - 1) * 50 : page * 50]
+
+
 def test_null_aware_sort(spark):
     rows = spark.createDataFrame([("b",), (None,), ("a",)], "k string")
     assert [r.k for r in R.null_aware_sort(rows, "k").collect()] == ["a", "b", None]

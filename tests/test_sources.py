@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import random
-
 import unicodedata
 from datetime import date
 from decimal import Decimal
@@ -223,6 +223,17 @@ def test_trial_balances_with_their_own_separators(spark, tmp_path):
     assert got == [("1", "Cassa; contanti", "1234.50", "None"), ("2", "Città", "10.00", "5.50"), ("3", "Banca", "-7.00", "None")]
 
 
+def test_document_ids_equal_those_of_composed_paths(spark):
+    r = random.Random(8)
+    pool = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x300, 0x345), *range(0x1100, 0x1176), *range(0xAC00, 0xAC40), 0x1E9B, 0x212B, 0x0958, 0x1D15E, 0x2126)]
+    paths = ["/".join("".join(r.choice(pool) for _ in range(r.randint(1, 8))) for _ in range(2)) for _ in range(10_000)]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.document_key(F.lit("E1"), F.col("p")).alias("k")).collect()
+    for row in got:
+        path = unicodedata.normalize("NFC", row.p)
+        parts = [x for x in path.strip().split("/") if x not in ("", ".")]
+        assert row.k == hashlib.sha1(f"E1:{'/'.join(parts)}".encode()).hexdigest()[:12]
+
+
 def test_ragged_lines_keep_their_cells(spark):
     lines = [("s", 1, "a;b;c;d;EXTRA"), ("s", 2, "a;b"), ("s", 3, '"x;y";b;c;d;"e ""f"";g";;h'), ("s", 4, "a;b;c;")]
     df = constant_table(spark, "source_id string, line_number bigint, value string", lines)
