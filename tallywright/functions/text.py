@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from tallywright.constants import BANK_ALIASES, MONTHS, MONTH_PREFIXES, UNKNOWN_BANK
 from tallywright.functions.parsing import amount_text, date_lenient, strip
@@ -36,7 +37,7 @@ def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
 FOLD_FROM, FOLD_TO, FOLD_LONGER = _fold_table()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: modules are imported before there is a session
 def _composed(paths: pd.Series) -> pd.Series:
     """Canonical composition (NFC), which no built-in function has; names are short, and a batch of them crosses at once."""
     return paths.map(lambda p: p if p is None else unicodedata.normalize("NFC", p))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -11,7 +13,7 @@ import __spark_entry__ as contract
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-SOME = ["J00_scored_journal", "J23_score_without_criterion", "Q01_sequence_missing", "X01_over_limit_events", "S13_drop_identical_rows", "E01_assemble_entries",
+SOME = ["E00_file_to_status", "F24_document_key", "R02_page_results", "E16_sample_random", "B01_balance_records", "J00_scored_journal", "J23_score_without_criterion", "Q01_sequence_missing", "X01_over_limit_events", "S13_drop_identical_rows", "E01_assemble_entries",
         "E10_duplicate_entries", "E20_quick_reversals", "D05_classify_documents", "V03_section_status", "B05_bank_check"]
 
 
@@ -34,3 +36,8 @@ def test_query_matches_sql(spark, sql, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+def test_entry_point_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= 155 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(contract.__file__), timeout=120)
