@@ -54,7 +54,7 @@ class WordEncoder:
     tokenizer is of that kind; others encode each text at once. Kept words are bounded, not texts.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 60_000):
         self.model, self.kept = tokenizer(path), kept
         self.merge = self.model.model.tokenize
         self.words: dict[str, bytes] = {}
@@ -136,7 +136,10 @@ class WordEncoder:
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process, so that words are learned once and not in every task."""
+    """One for each worker process, so that common words are learned once and not in every task.
+
+    A worker keeps it for its later tasks, of other stages as well, so it holds few words: those of the last batches.
+    """
     return WordEncoder(path)
 
 
@@ -149,7 +152,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(draft, f"{path}/{name}")
 
 
-def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, so that the arrays made of their words stay small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
     a = 0
