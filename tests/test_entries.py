@@ -101,11 +101,14 @@ def test_busy_accounts_give_the_same_reversals(spark):
 
 
 def test_reversal_needs_three_movements(spark):
-    e = entries(spark, (1, MONDAY, "x"), (2, MONDAY, "x"))
+    """Totals come from the lines at hand now, so the third movement is an entry of its own: as a second line of entry 2 it would change that entry's amount."""
+    e = entries(spark, (1, MONDAY, "x"), (2, MONDAY, "x"), (3, MONDAY, "x"))
     two = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10))
-    three = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10), (2, "A", 0, 10))
+    three = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10), (3, "A", 7, 0))
     assert A.quick_reversals(lay_out(e, two).lines).count() == 0
-    assert A.quick_reversals(lay_out(e, three).lines).count() == 1
+    assert [r.entry_number for r in A.quick_reversals(lay_out(e, three).lines).collect()] == [2]
+    doubled = lines(spark, (1, "A", 10, 0), (2, "A", 0, 10), (2, "A", 0, 10))  # amounts 10 and 20
+    assert A.quick_reversals(lay_out(e, doubled).lines).count() == 0
 
 
 def test_sample_is_repeatable_and_disjoint(spark):
