@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from datetime import date
 from decimal import Decimal
 
