@@ -38,9 +38,9 @@ SOURCES = [("S0", "F", 2), ("S1", "F", 1)]
 FOCUS, THRESHOLD, DAYS = ["c7", "C11"], Decimal("300.00"), (date(2024, 1, 1), date(2024, 12, 31))
 
 
-def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sheet(lines: DataFrame) -> DataFrame:
     """Cells of both files as typed columns."""
-    rows = D.delimited_journal_scan(shared(spark, sf_dir, "file_lines"), width=6)
+    rows = D.delimited_journal_scan(lines, width=6)
     cell = lambda i: F.col("cells")[i]
     return rows.select(
         "source_id", F.col("line_number").alias("position"), cell(0).try_cast("bigint").alias("entry_number"), date_lenient(cell(1)).alias("registration_date"),
@@ -60,16 +60,17 @@ def journal(spark: SparkSession, sf_dir: str) -> L.EntryJournal:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in RUNS:
         sources = constant_table(spark, "source_id string, engagement_id string, source_order int", SOURCES)
-        cells = StoredTable(sheet(spark, sf_dir), "sheet")
+        lines = StoredTable(shared(spark, sf_dir, "file_lines"), "file-lines")  # as files are: scanned by each step, not made anew
+        cells = StoredTable(sheet(lines.read()), "sheet")
         assembled = StoredTable(E.assemble_entries(cells.read()), "assembled")
-        RUNS[key] = L.stage_journal(*L.entries_of_sheets(assembled.read(), sources))
-        assembled.release()
+        RUNS[key] = L.stage_journal(*L.entries_of_sheets(assembled.read(), sources), (assembled,))
         cells.release()
+        lines.release()
     return RUNS[key]
 
 
 def sample(run: L.EntryJournal) -> DataFrame:
-    return S.combined_sample(run.entries, run.lines, threshold=THRESHOLD, focus_accounts=FOCUS, include_round_amounts=True, random_count=25, seed=42,
+    return S.combined_sample(run.entries, run.rows, threshold=THRESHOLD, focus_accounts=FOCUS, include_round_amounts=True, random_count=25, seed=42,
                              date_from=DAYS[0], date_to=DAYS[1])
 
 
@@ -82,7 +83,7 @@ def file_to_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of the run over both files: sample, validations, anomalies, counts."""
     run = journal(spark, sf_dir)
     drawn = sample(run)
-    checked = E.validate_entries(run.entries, run.lines, chart(spark)).join(drawn.select(*E.ENTRY_KEY), E.ENTRY_KEY, "left_semi")
+    checked = E.validate_entries(run.entries, run.rows, chart(spark)).join(drawn.select(*E.ENTRY_KEY), E.ENTRY_KEY, "left_semi")
     return P.run_status(P.severity_counts(checked, A.all_anomalies(run, drawn, chart(spark))))
 
 

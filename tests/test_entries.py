@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.ordered import neighbours, number_rows
 from tallywright.functions.tables import constant_table
 from tallywright.operators import anomalies as A, entries as E, reporting as P, sampling as S
-from tallywright.operators.entry_layout import entries_of_sheets, lay_out, stage_journal
+from tallywright.operators.entry_layout import entries_of_sheets, lay_out, stage_journal, totals_of_lines
 from tallywright.plans import entry_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -171,3 +171,33 @@ def test_missing_and_present_numbers_fill_the_range(spark):
     missing = {int(r.expected_number) for r in sequence_missing(rows).collect()}
     present = {int(r.document_number) for r in rows.filter("document_number RLIKE '^[0-9]+$'").collect()}
     assert not missing & present and missing | present == set(range(min(present), max(present) + 1))
+
+
+def test_staged_tables_are_made_when_first_read(spark):
+    """A test that reads only entries pays for no laid-out lines; each table is written once."""
+    journal = stage_journal(entries(spark, (1, MONDAY, "x")), lines(spark, (1, "A", 5, 0)))
+    assert journal.tables == []
+    assert E.unbalanced_entries(journal.entries).count() == 1
+    assert [t.name for t in journal.tables] == ["journal-rows", "journal-entries"]
+    assert journal.lines.count() == journal.lines.count() == 1 and len(journal.tables) == 3
+    journal.release()
+
+
+def test_first_lines_and_totals_are_those_of_laid_out_lines(spark):
+    """Repeated entries, repeated first lines, lines without position, entry or key count as in laid-out lines."""
+    e = entries(spark, (1, MONDAY, "x"), (2, MONDAY, "y"), (3, MONDAY, "z")).unionByName(entries(spark, (1, MONDAY, "x")))
+    ln = constant_table(spark, "engagement_id string, entry_id string, entry_number bigint, position int, account string, debit decimal(18,2), credit decimal(18,2)", [
+        ("E", "1", 1, 5, "A", Decimal(7), Decimal(0)), ("E", "1", 1, 5, "B", Decimal(3), Decimal(0)), ("E", "1", 1, 6, "C", Decimal(0), Decimal(2)),
+        ("E", "2", 2, None, "D", Decimal(1), Decimal(0)), ("E", "2", 2, 1, "E", Decimal(9), Decimal(0)), ("E", "9", 9, 1, "F", Decimal(4), Decimal(0)),
+        (None, None, None, 1, "G", None, Decimal(6))])
+    journal = lay_out(e, ln)
+    kept = journal.first_lines.columns
+    plain = lambda df: sorted(map(repr, df.select(*kept).collect()))
+    assert plain(journal.first_lines) == plain(journal.lines.filter("first_line")) and journal.first_lines.count() == 5
+    assert totals_of_lines(journal).schema == E.entry_totals(journal.lines).schema
+    assert sorted(map(repr, totals_of_lines(journal).collect())) == sorted(map(repr, E.entry_totals(journal.lines).collect()))
+    chart = constant_table(spark, "account string", [("E",)])
+    named = lambda df: sorted((r.entry_id, r.details["account_code"]) for r in df.filter("anomaly_type = 'missing_account'").collect())
+    sampled = journal.entries.filter("entry_number < 3")
+    old = E.unknown_accounts(journal.lines.join(sampled.select(*E.ENTRY_KEY), E.ENTRY_KEY, "left_semi"), chart)
+    assert named(A.all_anomalies(journal, sampled, chart, False, False)) == named(old) and len(named(old)) == 7
