@@ -12,6 +12,8 @@ from tallywright.functions.tables import broadcast_if_small
 SEPARATORS = ";|\t,"
 #: A record of more lines is taken for an unclosed quote and stops the job instead of filling a task.
 RECORD_LINES = 10_000
+#: Parts in which the records of a file meet a row about the file.
+SLICES = 256
 INSIDE = '(?:[^"]++|"")*+'
 
 
@@ -103,20 +105,30 @@ def delimited_cells(records: DataFrame, width: int, sep: str = ";") -> DataFrame
     return records.select("source_id", "line_number", filled.alias("cells"))
 
 
-def _after_rows(records: DataFrame, rows: int) -> DataFrame:
-    """Records after the first ``rows`` of each source."""
+def _after_rows(lines: DataFrame, rows: int, sep: str) -> DataFrame:
+    """Records after the first ``rows`` of each source.
+
+    Only the first ``rows`` records of several lines can lie among the first ``rows`` records, so the others aren't looked at to find these.
+    Records meet their source's bound in ``SLICES`` parts, so that a file is never one task.
+    """
+    records = delimited_records(lines, sep)
     if rows == 0:
         return records
-    top = first_n(records.select("source_id", "line_number"), ["source_id"], [F.col("line_number")], rows)
+    early = first_n(quoted_spans(lines, sep), ["source_id"], [F.col("start")], rows).select(F.col("source_id").alias("_source"), "start", "stop")
+    later = (F.col("line_number") > F.col("start")) & (F.col("stop").isNull() | (F.col("line_number") <= F.col("stop")))
+    begins = lines.select("source_id", "line_number").join(early, (F.col("source_id") == F.col("_source")) & later, "left_anti")
+    top = first_n(begins, ["source_id"], [F.col("line_number")], rows)
     bound = top.groupBy("source_id").agg(F.max("line_number").alias("_bound"))
-    return records.join(bound, "source_id").filter(F.col("line_number") > F.col("_bound")).drop("_bound")
+    spread = bound.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)).cast("array<bigint>")))
+    sliced = records.withColumn("_slice", F.pmod("line_number", F.lit(SLICES)).cast("bigint")).join(spread, ["source_id", "_slice"])
+    return sliced.filter(F.col("line_number") > F.col("_bound")).drop("_bound", "_slice")
 
 
 def delimited_journal_scan(
     lines: DataFrame, width: int, header_row: int = 0, skip_rows: int = 0, sep: str = ";"
 ) -> DataFrame:
     """Records after the header row and the rows to skip; rows without any filled cell are dropped."""
-    body = _after_rows(delimited_records(lines, sep), header_row + 1 + skip_rows)
+    body = _after_rows(lines, header_row + 1 + skip_rows, sep)
     filled = F.exists("cells", lambda cell: strip(F.coalesce(cell, F.lit(""))) != "")
     return delimited_cells(body, width, sep).filter(filled)
 
@@ -191,7 +203,7 @@ def read_trial_balance(lines: DataFrame, width: int = 64) -> DataFrame:
         heads = header_cells(own, width, 0, sep).select("source_id", "position", *[c.alias(f) for f, c in known.items()])
         places = heads.groupBy("source_id").agg(*[
             F.sort_array(F.collect_list(F.when(F.col(f) > 0, F.struct(F.col(f).alias("a"), -F.col("position"))))).alias(f) for f in known])
-        cells = delimited_cells(_after_rows(delimited_records(own, sep), 1), width, sep).join(broadcast_if_small(places), "source_id")
+        cells = delimited_cells(_after_rows(own, 1, sep), width, sep).join(broadcast_if_small(places), "source_id")
         cell = {f: F.filter(F.transform(f, lambda x: F.element_at("cells", (-x["col2"]).cast("int"))), lambda c: c.isNotNull()) for f in known}
         parts.append(cells.select("source_id", *[F.get(c, F.lit(0)).alias(f) for f, c in cell.items()]))
     rows = parts[0]

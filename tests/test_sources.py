@@ -302,3 +302,21 @@ def test_figures_with_other_blanks_and_scripts(spark):
     rows = df.select(T.find_amounts(F.col("t")).alias("a"), T.fold_text(F.col("t")).alias("f"), "t").orderBy("i").collect()
     assert rows[0].a == [Decimal("1234.56")] and rows[1].a == [Decimal("12500.40")]
     assert [r.f for r in rows] == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() for t in texts]
+
+
+def test_records_after_the_header_are_not_one_task_per_file(spark):
+    """The records of one file are spread when they meet the file's first row; the header itself may span lines."""
+    rows = [("f", 1, 'a;"head'), ("f", 2, 'line";c')] + [("f", i, f"{i};x;y") for i in range(3, 4003)] + [("f", 4003, '9;"open'), ("f", 4004, 'end";z')]
+    lines = constant_table(spark, "source_id string, line_number bigint, value string", rows)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = D._after_rows(lines, 1, ";")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        got = sorted((r.line_number, r.value) for r in found.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [(i, f"{i};x;y") for i in range(3, 4003)] + [(4003, '9;"open\nend";z')]
+    assert len(sizes) > 1 and max(sizes) < 4001 / 2
