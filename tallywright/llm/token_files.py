@@ -22,9 +22,12 @@ from tallywright.llm import wavelet
 from tallywright.llm.common import new_folder, run_parts, stored
 
 BLANK = re.compile("[ \n]+")
-#: Letters (one code point each, in either case) and marks of a word that a lower-casing tokenizer cuts into these two pieces.
-MARKS = ".,;:!?"
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([.,;:!?]*)")
+#: Letters (one code point each, in either case) and marks of a word that a lower-casing tokenizer cuts into these two pieces. No mark
+#: begins a contraction or an added token.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+SIMPLE = f"^[{LETTERS}]*[{re.escape(MARKS)}]*$"
+EACH_LETTER = "".join(c for c in map(chr, range(0x180)) if re.match(f"[{LETTERS}]", c))
 #: Byte-level tokenizers write a byte as a visible character: its own, or the next one from 256 on.
 SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_LEVEL = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
@@ -46,99 +49,108 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat``, those numbered ``which`` one after another, and where each of them ends."""
+    counts = sizes[which]
+    ends = np.cumsum(counts)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - counts), counts)], ends
+
+
 class WordEncoder:
-    """Ids of whole texts, with the ids of words kept for later texts.
+    """Ids of whole texts, with the ids of pieces of words kept for later texts.
 
     Only for tokenizers whose text is cut at white space before the merges and that drop it: then a text's ids
     are those of its words between spaces and line breaks, one after another. ``splits`` tells whether a
-    tokenizer is of that kind; others encode each text at once. Kept words are bounded, not texts.
+    tokenizer is of that kind; others encode each text at once. A word of letters and marks has the ids of its
+    lower-case letters and those of its marks, if ``cuts`` holds; many words share these pieces. Other words are
+    encoded whole. Kept pieces are bounded, not texts.
     """
 
-    def __init__(self, path: str, kept: int = 60_000):
+    def __init__(self, path: str, kept: int = 100_000):
         self.model, self.kept = tokenizer(path), kept
         self.merge = self.model.model.tokenize
-        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         self.by_word = self.splits()
-        self.by_piece = self.by_word and all(
-            self._simple(SIMPLE.fullmatch(p)) == _packed(self._plain(p)) for p in ("The", "tokenization.", "etc.,", "Wh!?", "Ingthatou", "a", "Óciónes.", "Ärßöø", "Šžçœ!"))
+        self.by_piece = self.by_word and self.cuts()
 
     def splits(self) -> bool:
         probe = ["a b", "x\ny", "'s the", "é 1", "A  B."]
         return all(self._plain(p) == [i for w in BLANK.split(p) for i in self._plain(w)] for p in probe)
 
-    def _piece(self, text: str) -> bytes:
-        """Ids of one piece, which many words share; the library's merges without its checks for other scripts."""
-        found = self.letters.get(text)
-        if found is None:
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(AS_BYTES)
-            found = self.letters[text] = array("I", [t.id for t in self.merge(shown)]).tobytes()
-        return found
-
-    def _simple(self, found: re.Match) -> bytes:
-        letters, marks = found.groups()
-        return self._piece(letters.lower()) + self._piece(marks) if marks else self._piece(letters.lower())
+    def cuts(self) -> bool:
+        letters = ["The", "tokenization", "etc", "Wh", "Ingthatou", "a", "Óciónes", "Ärßöø", "Šžçœ", ""]
+        marks = ["", ".", ".,", "!?", "***", ".###", "!$&&&", MARKS, MARKS[::-1], *MARKS]
+        return all(self._plain(x + y) == self._merged([x.lower(), y]) for x in letters for y in marks)
 
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words not seen lately. Words of before the last change of generation are taken over, others found."""
-        known, older, pieces, by_piece, merge, plain = self.words, self.older, self.letters, self.by_piece, self.merge, []
-        for word in words:
-            if word in older:
-                known[word] = older[word]
-                continue
-            letters = word.rstrip(MARKS)
-            if by_piece and letters.isascii() and letters.isalpha():
-                lower = letters.lower()
-                found = pieces.get(lower)
-                if found is None:
-                    found = pieces[lower] = array("I", [t.id for t in merge(lower)]).tobytes()
-                known[word] = found if len(letters) == len(word) else found + self._piece(word[len(letters) :])
-            elif by_piece and (match := SIMPLE.fullmatch(word)):
-                known[word] = self._simple(match)
+    def _merged(self, pieces: list[str]) -> list[int]:
+        return [t.id for p in self._shown(pieces) for t in self.merge(p)]
+
+    def _shown(self, pieces: list[str]) -> list[str]:
+        return " ".join(pieces).encode().decode("latin-1").translate(AS_BYTES).split(BYTE_LEVEL[32])
+
+    def _learn(self, pieces: list[str], simple: list[bool]) -> None:
+        """Ids of pieces not seen lately. Pieces of before the last change of generation are taken over; of the others, simple ones
+        get the library's merges without its checks for other scripts."""
+        older, merged, plain = self.older, [], []
+        for piece, one in zip(pieces, simple):
+            if piece in older:
+                self.pieces[piece] = older[piece]
             else:
-                plain.append(word)
+                (merged if one else plain).append(piece)
+        for piece, shown in zip(merged, self._shown(merged)):
+            self.pieces[piece] = array("I", [t.id for t in self.merge(shown)]).tobytes()
         if plain:
-            known.update((w, _packed(e.ids)) for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False)))
+            self.pieces.update((w, _packed(e.ids)) for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False)))
+
+    def _simple(self, words: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(words, SIMPLE) if self.by_piece else pa.repeat(False, len(words))
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words one after another, where each begins and how many it has."""
+        simple = self._simple(words)
+        heads = pc.if_else(simple, pc.utf8_lower(pc.ascii_rtrim(words, MARKS)), words)
+        tails = pc.if_else(simple, pc.utf8_ltrim(words, EACH_LETTER), "")
+        cut = pa.concat_arrays([heads, tails]).dictionary_encode()
+        pieces = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.pieces.get, pieces))
+        fresh = [i for i, x in enumerate(ids) if x is None]
+        if fresh:
+            self._learn([pieces[i] for i in fresh], self._simple(cut.dictionary.take(pa.array(fresh, pa.int32()))).to_pylist())
+        for i in fresh:
+            ids[i] = self.pieces[pieces[i]]
+        sizes = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        flat, ends = _runs(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, sizes, cut.indices.to_numpy().reshape(2, -1).T.ravel())
+        ends = ends[1::2]
+        sizes = np.diff(ends, prepend=0)
+        return flat, ends - sizes, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has; null texts have none.
 
-        The words of all texts are cut and numbered at once; only different ones are looked up, and the ids are laid out by their numbers.
+        The words of all texts are cut and numbered at once; only pieces of different ones are looked up, and the ids are laid out by their numbers.
         """
         texts = pc.fill_null(texts, "")
         if not self.by_word:
             found = [e.ids for e in self.model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], "i8")
-        if len(self.words) > self.kept:
-            self.words, self.older = {}, self.words
-        if len(self.letters) > self.kept:
-            self.letters = {}
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        different, place = words.dictionary.to_pylist(), words.indices.to_numpy()
-        ids = list(map(self.words.get, different))
-        fresh = [i for i, x in enumerate(ids) if x is None]
-        self._learn([different[i] for i in fresh])
-        for i in fresh:
-            ids[i] = self.words[different[i]]
-        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        counts = sizes[place]
-        ends = np.cumsum(counts)
-        out = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[place] - (ends - counts), counts)]
+        out, ends = _runs(*self._word_ids(words.dictionary), words.indices.to_numpy())
+        if len(self.pieces) > self.kept:
+            self.pieces, self.older = {}, self.pieces
         reached = np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return out, np.diff(reached)
 
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process, so that common words are learned once and not in every task.
+    """One for each worker process, so that common pieces are learned once and not in every task.
 
-    A worker keeps it for its later tasks, of other stages as well, so it holds few words: those of the last batches.
+    A worker keeps it for its later tasks, of other stages as well, so it holds few pieces: those of the last batches.
     """
     return WordEncoder(path)
 
@@ -152,7 +164,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(draft, f"{path}/{name}")
 
 
-def _slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 3 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, so that the arrays made of their words stay small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
     a = 0

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -535,6 +536,39 @@ def test_word_encoder_equals_the_tokenizer():
     assert not byte_level.by_word and byte_level.encode(pa.array(["a b  c"]))[0].tolist() == byte_level.model.encode("a b  c").ids
 
 
+def test_word_encoder_merges_a_piece_once():
+    """Words that differ in case and marks only share their pieces, in later texts as well; the store stays bounded."""
+    encoder, model, merged, whole = token_files.WordEncoder(TOKENIZER), token_files.tokenizer(TOKENIZER), [], []
+
+    class Counted:
+        def encode_batch_fast(self, words, **kind):
+            whole.extend(words)
+            return model.encode_batch_fast(words, **kind)
+
+    merge = encoder.merge
+    encoder.merge, encoder.model = lambda piece: (merged.append(piece), merge(piece))[1], Counted()
+    for texts in (["Haus haus*** | HAUS.\nhaus%%%,", "haus### ***"], ["Haus&&& haus", "x1y don't"]):
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
+    assert sorted(filter(None, merged)) == sorted(["haus", "***", "|", ".", "%%%,", "###", "&&&"]) and sorted(whole) == ["don't", "x1y"]
+    small = token_files.WordEncoder(TOKENIZER, kept=20)
+    for seed in range(6):
+        small.encode(pa.array([prose(seed, 60)]))
+        assert len(small.pieces) <= 20 and len(small.older) <= 20 + 2 * 60
+
+
+def test_word_encoder_on_every_letter_and_mark():
+    encoder, model, r = token_files.WordEncoder(TOKENIZER), token_files.tokenizer(TOKENIZER), random.Random(7)
+    assert pc.utf8_lower(pa.array(list(token_files.EACH_LETTER))).to_pylist() == [c.lower() for c in token_files.EACH_LETTER]
+    pool = token_files.EACH_LETTER + 4 * token_files.MARKS + "'<>09\u0301\u0130\u0131\u200d\u017f日\t\r"
+    texts = [x + c for c in token_files.EACH_LETTER for x in ("", "a")] + [x + a + b for a in token_files.MARKS for b in token_files.MARKS for x in ("", "a")]
+    texts += [" ".join("".join(r.choices(pool, k=r.randint(0, 7))) for _ in range(4)) for _ in range(3000)]
+    ids, counts = encoder.encode(pa.array(texts))
+    want = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
 def test_token_files_round_trip(spark, odd, none):
     model = token_files.tokenizer(TOKENIZER)
     folder, files = token_files.write_ids(odd, TOKENIZER, shard_ids=150)
